@@ -1,0 +1,20 @@
+"""Join helper for hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 16
+
+
+def salted_join(many: DataFrame, unique: DataFrame, keys: list[str], spread_by: list[str],
+                salts: int = SALTS) -> DataFrame:
+    """Inner join in which one key may hold a large part of ``many``.
+
+    ``unique`` (one row per key, the smaller side) is repeated per salt, ``many`` gets a salt
+    from the columns ``spread_by``, so a hot key is shared by ``salts`` tasks.  No side is
+    hinted: Spark broadcasts ``unique`` when it measures it small enough.
+    """
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
