@@ -57,12 +57,13 @@ def features(spark, sf):
     return ft.file_features(code_files(spark, sf))
 
 
-def scan(spark, sf) -> jobs.Scan:
-    return jobs.scan_projects(code_files(spark, sf), keep=False)
+def scan(spark, sf, keep=False) -> jobs.Scan:
+    """``keep`` where a query reads the scan more than once: the texts are still read once."""
+    return jobs.scan_projects(code_files(spark, sf), keep=keep)
 
 
-def detection(spark, sf, base=None) -> jobs.Detection:
-    return jobs.detect_microservices(base or scan(spark, sf), keep=False)
+def detection(spark, sf) -> jobs.Detection:
+    return jobs.detect_microservices(scan(spark, sf, keep=True))
 
 
 # ---- corpus: sources, filters, facts ------------------------------------------------------------
@@ -481,7 +482,7 @@ def call_targets(spark, sf):
   s.primary_communication, (SELECT count(*) FROM endpoints e WHERE e.project = s.project) AS endpoint_count,
   (SELECT count(*) FROM calls c WHERE c.project = s.project) AS call_count FROM services s"""))
 def service_table(spark, sf):
-    base = scan(spark, sf)
+    base = scan(spark, sf, keep=True)
     return sv.service_table(base.projects, sv.dedup_endpoints(base.features), sv.dedup_calls(base.features))
 
 
@@ -532,7 +533,7 @@ def summary_totals(spark, sf):
   JOIN (SELECT root, count(*) AS total FROM projects GROUP BY root) t ON t.root = d.root
   WHERE dimension = 'framework'"""))
 def distribution_share(spark, sf):
-    base = scan(spark, sf)
+    base = scan(spark, sf, keep=True)
     return sm.with_share(sm.summary_frameworks(base.framework_scores), base.projects)
 
 
@@ -610,5 +611,5 @@ def project_index(spark, sf):
 @query(q("SELECT dimension, key, sum(n)::BIGINT AS n FROM dist "
          "WHERE dimension IN ('project_type', 'language', 'confidence', 'framework') GROUP BY ALL"))
 def multi_root_stats(spark, sf):
-    base = scan(spark, sf)
+    base = scan(spark, sf, keep=True)
     return sm.multi_root_stats(base.projects, base.framework_scores)

@@ -10,14 +10,13 @@ from pyspark.sql import Column, functions as F
 
 from .. import dictionaries as D
 from . import urls
-from .paths import quote
-
-NO_STRINGS = "array<string>"
+from .literals import no_strings, sql_array, sql_string, string_array
+from .paths import glob_regex, is_glob
 
 
 def decode_text(raw: Column) -> Column:
     """UTF-8 text of raw bytes with the undecodable bytes dropped."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def has_main(content: Column) -> Column:
@@ -28,7 +27,7 @@ def imports(content: Column) -> Column:
     """Distinct module names of the import statements in a Python text."""
     found = F.array_distinct(F.concat(*[
         F.regexp_extract_all(content, F.lit(form), F.lit(1)) for form in D.IMPORT_FORMS]))
-    return F.when(F.contains(content, F.lit("import")), found).otherwise(F.array().cast(NO_STRINGS))
+    return F.when(F.contains(content, F.lit("import")), found).otherwise(no_strings())
 
 
 def dotted_prefixes(module: Column) -> Column:
@@ -40,56 +39,49 @@ def dotted_prefixes(module: Column) -> Column:
 
 def matched_modules(imported: Column, listed: list[str]) -> Column:
     """Listed module names that equal an import or one of its parents."""
-    return F.array_intersect(F.flatten(F.transform(imported, dotted_prefixes)),
-                             F.array(*map(F.lit, listed)))
+    return F.array_intersect(F.flatten(F.transform(imported, dotted_prefixes)), string_array(listed))
 
 
-def _matches(content: Column, guard: str, form: str, group: int) -> Column:
-    return F.when(F.contains(content, F.lit(guard)),
-                  F.regexp_extract_all(content, F.lit(form), F.lit(group))
-                  ).otherwise(F.array().cast(NO_STRINGS))
+def _matches(column: str, guard: str, form: str, group: int) -> str:
+    """SQL: captured group of every match of one expression."""
+    return (f"if(contains({column}, {sql_string(guard)}), "
+            f"regexp_extract_all({column}, {sql_string(form)}, {group}), {sql_array([])})")
 
 
-def endpoints(content: Column) -> Column:
+def endpoints(column: str) -> Column:
     """Array of struct(form, nth, method, path, framework, type) of the endpoints in a text."""
-    def one(number, framework, guard, form, method_group, path_group):
-        paths = _matches(content, guard, form, path_group)
+    def found(number, framework, guard, form, method_group, path_group):
+        paths = _matches(column, guard, form, path_group)
         if method_group:
-            methods = _matches(content, guard, form, method_group)
-            pairs = F.arrays_zip(paths.alias("path"), methods.alias("method"))
+            methods = _matches(column, guard, form, method_group)
+            pairs = f"zip_with({methods}, {paths}, (m, p) -> struct(upper(m) AS m, p AS p))"
         else:
-            pairs = F.transform(paths, lambda p: F.struct(p.alias("path"), F.lit("unknown").alias("method")))
+            pairs = f"transform({paths}, p -> struct('UNKNOWN' AS m, p AS p))"
+        return (f"transform({pairs}, (x, i) -> struct({number} AS form, i AS nth, x.m AS method, "
+                f"x.p AS path, {sql_string(framework)} AS framework))")
 
-        def record(pair, nth):
-            path = urls.normalise_endpoint(pair["path"])
-            return F.struct(F.lit(number).alias("form"), nth.alias("nth"),
-                            F.upper(pair["method"]).alias("method"), path.alias("path"),
-                            F.lit(framework).alias("framework"),
-                            urls.endpoint_type(path).alias("type"))
+    raw = F.expr("concat(" + ", ".join(found(n, *f) for n, f in enumerate(D.ENDPOINT_FORMS)) + ")")
 
-        return F.transform(pairs, record)
+    def finish(e):
+        path = urls.normalise_endpoint(e["path"])
+        return F.struct(e["form"].alias("form"), e["nth"].alias("nth"), e["method"].alias("method"),
+                        path.alias("path"), e["framework"].alias("framework"),
+                        urls.endpoint_type(path).alias("type"))
 
-    return F.concat(*[one(n, *form) for n, form in enumerate(D.ENDPOINT_FORMS)])
+    return F.transform(raw, finish)
 
 
-def service_calls(content: Column) -> Column:
+def service_calls(column: str) -> Column:
     """Array of struct(form, nth, url, language) of the likely service calls in a text."""
-    def one(number, language, guard, form, groups, prefix):
-        found = [_matches(content, guard, form, g) for g in groups]
-        if len(found) == 1:
-            texts = found[0]
-        else:
-            texts = F.zip_with(found[0], found[1], lambda a, b: F.concat(a, b))
-
-        def record(text, nth):
-            return F.struct(F.lit(number).alias("form"), nth.alias("nth"),
-                            F.concat(F.lit(prefix), text).alias("url"),
-                            F.lit(language).alias("language"))
-
-        return F.transform(texts, record)
+    def found(number, language, guard, form, groups, prefix):
+        texts = _matches(column, guard, form, groups[0])
+        if len(groups) == 2:
+            texts = f"zip_with({texts}, {_matches(column, guard, form, groups[1])}, (a, b) -> a || b)"
+        return (f"transform({texts}, (u, i) -> struct({number} AS form, i AS nth, "
+                f"{sql_string(prefix)} || u AS url, {sql_string(language)} AS language))")
 
-    calls = F.concat(*[one(n, *form) for n, form in enumerate(D.CALL_FORMS)])
-    return F.filter(calls, lambda c: (c["url"] != "") & urls.is_service_url(c["url"]))
+    raw = F.expr("concat(" + ", ".join(found(n, *f) for n, f in enumerate(D.CALL_FORMS)) + ")")
+    return F.filter(raw, lambda c: (c["url"] != "") & urls.is_service_url(c["url"]))
 
 
 DEPENDENCY_GROUPS = ["dependencies", "devDependencies", "peerDependencies"]
@@ -103,17 +95,14 @@ def package_manifest(content: Column) -> Column:
                         "allowSingleQuotes": "false"})
 
 
-def dependencies(manifest: Column) -> Column:
+def dependencies(manifest: str) -> Column:
     """Array of struct(package, grp, pos, version): the groups merged, a later group winning on
     a name."""
-    def group(n, field):
-        return F.coalesce(
-            F.transform(F.map_entries(manifest[field]), lambda e, i: F.struct(
-                e["key"].alias("package"), F.lit(n).alias("grp"), i.alias("pos"), e["value"].alias("version"))),
-            F.array().cast("array<struct<package:string,grp:int,pos:int,version:string>>"))
-
-    entries = F.concat(*[group(n, field) for n, field in enumerate(DEPENDENCY_GROUPS)])
-    ordered = F.array_sort(entries)
+    groups = ", ".join(
+        f"coalesce(transform(map_entries({manifest}.{field}), (e, i) -> "
+        f"struct(e.key AS package, {n} AS grp, i AS pos, e.value AS version)), array())"
+        for n, field in enumerate(DEPENDENCY_GROUPS))
+    ordered = F.array_sort(F.expr(f"concat({groups})"))
     return F.filter(ordered, lambda e, i: F.coalesce(
         F.get(ordered, i + 1)["package"] != e["package"], F.lit(True)))
 
@@ -137,19 +126,14 @@ def manifest_error(content: Column, manifest: Column) -> Column:
 
 def literal_matches(text: Column, literals: list[str]) -> Column:
     """Literals that occur in the text, in list order."""
-    if not literals:
-        return F.array().cast(NO_STRINGS)
-    return F.filter(F.array(*map(F.lit, literals)), lambda p: F.contains(text, p))
+    return F.filter(string_array(literals), lambda p: F.contains(text, p))
 
 
 def pattern_matches(path: Column, patterns: list[str]) -> Column:
     """File patterns that occur in the path; a pattern with wildcards may match anywhere in it."""
-    from .paths import glob_regex, is_glob
-    plain = [p for p in patterns if not is_glob(p)]
+    found = literal_matches(path, [p for p in patterns if not is_glob(p)])
     globs = [p for p in patterns if is_glob(p)]
-    found = literal_matches(path, plain)
     if globs:
-        hits = F.array_compact(F.array(*[
-            F.when(F.contains(path, F.lit(p)) | path.rlike(glob_regex(p)), F.lit(p)) for p in globs]))
-        found = F.concat(found, hits)
+        found = F.concat(found, F.array_compact(F.array(*[
+            F.when(F.contains(path, F.lit(p)) | path.rlike(glob_regex(p)), F.lit(p)) for p in globs])))
     return found

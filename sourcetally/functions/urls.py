@@ -45,8 +45,8 @@ def url_keys(url: Column) -> Column:
     """Ordered look-up keys of a URL: lower-cased segments each with its hyphen and underscore
     variants, then the host, then the labels of the host."""
     def variants(part):
-        return F.array(part, F.replace(part, F.lit("-"), F.lit("")), F.replace(part, F.lit("_"), F.lit("")),
-                       F.replace(part, F.lit("-"), F.lit("_")), F.replace(part, F.lit("_"), F.lit("-")))
+        return F.array(part, F.translate(part, "-", ""), F.translate(part, "_", ""),
+                       F.translate(part, "-", "_"), F.translate(part, "_", "-"))
 
     segments = F.flatten(F.transform(F.split(F.lower(url), "/"), variants))
     host = F.regexp_extract(url, r"\A[\s\S]*?://([^/:]*)", 1)

@@ -40,18 +40,16 @@ def file_facts(kept: DataFrame, max_content: int = D.MAX_CONTENT_BYTES) -> DataF
     that are neither media nor too large.
     """
     name, path = F.col("name"), F.col("path")
+    oversized, present = F.col("length") > max_content, F.col("content").isNotNull()
     return (kept
-            .withColumn("ext", P.extension(name))
-            .withColumn("language", P.language(name))
-            .withColumn("is_key_file", P.is_key_file(name, path))
+            .withColumns({"ext": P.extension(name), "language": P.language(name),
+                          "is_key_file": P.is_key_file(name, path)})
             .withColumn("important", P.is_important(name, F.col("is_key_file")))
-            .withColumn("_readable", F.col("important") & ~P.is_media(name))
-            .withColumn("analyzed", F.col("_readable") & (F.col("length") <= max_content)
-                        & F.col("content").isNotNull())
-            .withColumn("error", F.when(F.col("_readable") & (F.col("length") > max_content),
-                                        F.lit("File too large for analysis"))
-                        .when(F.col("_readable") & F.col("content").isNull(), F.lit("No read access")))
-            .drop("_readable"))
+            .withColumn("_text", F.col("important") & ~P.is_media(name))
+            .withColumns({"analyzed": F.col("_text") & ~oversized & present,
+                          "error": F.when(F.col("_text") & oversized, F.lit("File too large for analysis"))
+                                    .when(F.col("_text") & ~present, F.lit("No read access"))})
+            .drop("_text"))
 
 
 def important_files(facts: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import paths as P, text
+from ..functions.literals import EMPTY, no_strings, sql_array, sql_string, string_array
 from ..sources.patterns import Patterns, default_patterns
 from .corpus import MAX_DEPTH, file_facts, kept_files
 from .matching import content_matches
 
 
+DEPENDENCIES = "array<struct<package:string,grp:int,pos:int,version:string>>"
+
+
 def _when(condition: Column, value: Column, kind: str = "array<string>") -> Column:
     return F.when(condition, value).otherwise(F.array().cast(kind))
 
@@ -22,7 +26,7 @@ def file_features(files: DataFrame, patterns: Patterns | None = None,
 
     Columns: root, path, name, ext, language, length, is_key_file, important, analyzed,
     projects, has_main, imports, dependencies, file_matches, content_matches, import_matches,
-    dependency_matches, endpoints, calls, error.  Unused ones are pruned with their cost.
+    path_matches, dependency_matches, endpoints, calls, error.  Unused ones are pruned with their cost.
     """
     patterns = patterns or default_patterns()
     facts = file_facts(kept_files(files, rules, max_depth))
@@ -32,42 +36,38 @@ def file_features(files: DataFrame, patterns: Patterns | None = None,
     manifest_file = analyzed & (name == "package.json")
     listed = patterns.literals("import", "framework")
     packages = patterns.literals("dependency", "framework")
-    return (
-        facts
-        .withColumn("content_matches", F.coalesce(
-            content_matches(content, patterns.literals("content"), engine),
-            F.array().cast("array<string>")))
-        .withColumn("has_main", python & F.coalesce(text.has_main(content), F.lit(False)))
-        .withColumn("imports", _when(python, text.imports(content)))
-        .withColumn("_manifest", F.when(manifest_file, text.package_manifest(content)))
-        .withColumn("dependencies", _when(manifest_file, text.dependencies(F.col("_manifest")),
-                                          "array<struct<package:string,grp:int,pos:int,version:string>>"))
-        .withColumn("error", F.coalesce(
-            "error", F.when(manifest_file, text.manifest_error(content, F.col("_manifest")))))
-        .withColumn("file_matches", text.pattern_matches(path, patterns.literals("file", "framework")))
-        .withColumn("path_matches", text.literal_matches(path, patterns.literals("file", "microservice")))
-        .withColumn("import_matches", text.matched_modules(F.col("imports"), listed))
-        .withColumn("dependency_matches", F.array_intersect(
-            F.transform("dependencies", lambda d: d["package"]),
-            F.array(*map(F.lit, packages)) if packages else F.array().cast("array<string>")))
-        .withColumn("endpoints", F.when(P.ends_with_any(path, D.ENDPOINT_SUFFIXES), text.endpoints(content)))
-        .withColumn("calls", F.when(P.ends_with_any(path, D.CALL_SUFFIXES), text.service_calls(content)))
-        .drop("content", "_manifest"))
-
-
-def _names(matches: str, patterns: Patterns, family: str, kind: str, once: bool = False) -> Column:
-    """Dictionary names behind matched patterns: one per pattern, or ``once`` per name."""
+    staged = (facts
+              .withColumns({
+                  "content_matches": F.coalesce(
+                      content_matches(content, patterns.literals("content"), engine), no_strings()),
+                  "imports": _when(python, text.imports(content)),
+                  "_manifest": F.when(manifest_file, text.package_manifest(content))})
+              .withColumn("dependencies", _when(manifest_file, text.dependencies("_manifest"), DEPENDENCIES)))
+    return staged.select(
+        "root", "path", "name", "ext", "language", "length", "is_key_file", "important", "analyzed",
+        "projects", "content_matches", "imports", "dependencies",
+        (python & F.coalesce(text.has_main(content), F.lit(False))).alias("has_main"),
+        F.coalesce("error", F.when(manifest_file, text.manifest_error(content, F.col("_manifest")))).alias("error"),
+        text.pattern_matches(path, patterns.literals("file", "framework")).alias("file_matches"),
+        text.literal_matches(path, patterns.literals("file", "microservice")).alias("path_matches"),
+        text.matched_modules(F.col("imports"), listed).alias("import_matches"),
+        F.array_intersect(F.expr("transform(dependencies, d -> d.package)"),
+                          string_array(packages)).alias("dependency_matches"),
+        F.when(P.ends_with_any(path, D.ENDPOINT_SUFFIXES), text.endpoints("content")).alias("endpoints"),
+        F.when(P.ends_with_any(path, D.CALL_SUFFIXES), text.service_calls("content")).alias("calls"))
+
+
+def _names(matches: str, patterns: Patterns, family: str, kind: str, once: bool = False) -> str:
+    """SQL: dictionary names behind matched patterns: one per pattern, or ``once`` per name."""
     owners: dict[str, list[str]] = {}
     for r in patterns.rows:
         if r[0] == family and r[2] == kind:
             owners.setdefault(r[3], []).append(r[1])
     if not owners:
-        return F.array().cast("array<string>")
-    table = F.map_from_arrays(F.array(*map(F.lit, owners)),
-                              F.array(*[F.array(*map(F.lit, names)) for names in owners.values()]))
-    names = F.flatten(F.transform(F.filter(matches, lambda p: F.map_contains_key(table, p)),
-                                  lambda p: F.element_at(table, p)))
-    return F.array_distinct(names) if once else names
+        return EMPTY
+    table = "map(" + ", ".join(f"{sql_string(p)}, {sql_array(names)}" for p, names in owners.items()) + ")"
+    names = f"flatten(array_compact(transform({matches}, p -> try_element_at({table}, p))))"
+    return f"array_distinct({names})" if once else names
 
 
 def file_hits(patterns: Patterns) -> Column:
@@ -76,39 +76,29 @@ def file_hits(patterns: Patterns) -> Column:
     A file name scores once per framework; a text scores once per pattern; every path pattern
     of a microservice indicator scores.
     """
-    def tagged(family, kind, names):
-        return F.transform(names, lambda n: F.struct(
-            F.lit(family).alias("family"), n.alias("name"), F.lit(kind).alias("kind")))
+    def tagged(family, kind, matches, once=False, only="true"):
+        return (f"transform(if({only}, {_names(matches, patterns, family, kind, once)}, {EMPTY}), n -> "
+                f"struct({sql_string(family)} AS family, n AS name, {sql_string(kind)} AS kind))")
 
-    analyzed = F.col("analyzed")
-    return F.concat(
-        tagged("framework", "file", _names("file_matches", patterns, "framework", "file", once=True)),
-        tagged("framework", "content",
-               _when(analyzed, _names("content_matches", patterns, "framework", "content"))),
-        tagged("framework", "import", _names("import_matches", patterns, "framework", "import")),
-        tagged("framework", "dependency",
-               _names("dependency_matches", patterns, "framework", "dependency")),
-        tagged("microservice", "file", _names("path_matches", patterns, "microservice", "file")),
-        tagged("microservice", "content",
-               _names("content_matches", patterns, "microservice", "content")),
-        tagged("communication", "content",
-               _names("content_matches", patterns, "communication", "content")))
+    return F.expr("concat(" + ", ".join([
+        tagged("framework", "file", "file_matches", once=True),
+        tagged("framework", "content", "content_matches", only="analyzed"),
+        tagged("framework", "import", "import_matches"),
+        tagged("framework", "dependency", "dependency_matches"),
+        tagged("microservice", "file", "path_matches"),
+        tagged("microservice", "content", "content_matches"),
+        tagged("communication", "content", "content_matches")]) + ")")
 
 
 def hits(features: DataFrame, patterns: Patterns | None = None) -> DataFrame:
     """One row per scoring hit: root, path, projects, family, name, kind, weight10."""
     patterns = patterns or default_patterns()
-    weights = F.broadcast(dictionary_names(features, patterns).drop("ord"))   # a few hundred rows at most
+    weights = F.broadcast(patterns.entries(features.sparkSession).drop("ord"))   # a few hundred rows at most
     return (features.select("root", "path", "projects", F.explode(file_hits(patterns)).alias("h"))
             .select("root", "path", "projects", "h.*")
             .join(weights, ["family", "name"]))
 
 
-def dictionary_names(like: DataFrame, patterns: Patterns) -> DataFrame:
-    """(family, name, weight10, ord): one row per dictionary entry."""
-    return patterns.table(like.sparkSession).select("family", "name", "weight10", "ord").distinct()
-
-
 def pattern_hits(features: DataFrame, matches: str, kind: str, family: str,
                  patterns: Patterns | None = None) -> DataFrame:
     """Explain a match column: root, path, name of the dictionary entry, pattern, weight10."""

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..functions import text
+from ..functions.literals import no_strings
 
 
 def content_matches(content: Column, literals: list[str], engine: str = "automaton") -> Column:
@@ -20,26 +21,26 @@ def content_matches(content: Column, literals: list[str], engine: str = "automat
     if engine != "automaton":
         raise ValueError(f"engine must be 'automaton' or 'builtin', not {engine!r}")
     if not literals:
-        return F.array().cast("array<string>")
+        return no_strings()
     return _automaton(literals)(content)
 
 
 def _automaton(literals: list[str]):
+    # One closure, so that it travels to the executors whole and this package need not be there.
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _finder(literals)                       # built once per task
+        try:
+            import ahocorasick
+            automaton = ahocorasick.Automaton()
+            for n, p in enumerate(literals):
+                automaton.add_word(p, n)
+            automaton.make_automaton()
+
+            def find(s):
+                return [literals[n] for n in sorted({n for _, n in automaton.iter(s)})]
+        except ImportError:
+            def find(s):
+                return [p for p in literals if p in s]
         for batch in batches:
             yield batch.map(find, na_action="ignore")
 
     return F.pandas_udf(matches, "array<string>")
-
-
-def _finder(literals: list[str]):
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda s: [p for p in literals if p in s]
-    automaton = ahocorasick.Automaton()
-    for n, p in enumerate(literals):
-        automaton.add_word(p, n)
-    automaton.make_automaton()
-    return lambda s: [literals[n] for n in sorted({n for _, n in automaton.iter(s)})]

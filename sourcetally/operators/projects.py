@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import dictionaries as D
 from ..functions import scoring
 from ..sources.patterns import Patterns, default_patterns
-from .features import dictionary_names, file_hits
+from .features import file_hits
 
 PROJECT = ["root", "project"]
 LANGUAGES = list(D.LANGUAGES)
@@ -41,7 +41,7 @@ def project_tally(features: DataFrame, patterns: Patterns | None = None) -> Data
         F.count("*").alias("n"),
         *[F.count_if(F.col("lang") == lang).alias(lang) for lang in LANGUAGES],
         *[F.bool_or(f).alias(f) for f in flags])
-    names = F.broadcast(dictionary_names(features, patterns).withColumnRenamed("name", "entry"))
+    names = F.broadcast(patterns.entries(features.sparkSession).withColumnRenamed("name", "entry"))
     return (grouped.join(names, ["family", "entry"], "left")
             .withColumn("score10", F.col("n") * F.col("weight10")))
 

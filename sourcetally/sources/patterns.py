@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import dictionaries as D
+from ..functions.literals import sql_string
 
 PATTERNS_SCHEMA = "family string, name string, kind string, pattern string, weight10 int, ord int"
 MAX_PATTERNS = 50_000
@@ -32,7 +33,19 @@ class Patterns:
                                   if r[2] == kind and (not families or r[0] in families)))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), PATTERNS_SCHEMA)
+        """All rows.  Inline values: Spark knows the size and needs no job to read them."""
+        return _inline(spark, self.rows, "family, name, kind, pattern, weight10, ord")
+
+    def entries(self, spark: SparkSession) -> DataFrame:
+        """(family, name, weight10, ord): one row per dictionary entry."""
+        rows = dict.fromkeys((r[0], r[1], r[4], r[5]) for r in self.rows)
+        return _inline(spark, rows, "family, name, weight10, ord")
+
+
+def _inline(spark: SparkSession, rows, columns: str) -> DataFrame:
+    values = ", ".join("(" + ", ".join(sql_string(v) if isinstance(v, str) else str(v) for v in r) + ")"
+                       for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
 
 def family(name: str, *groups: dict, package_dependencies: dict | None = None) -> list[tuple]:
