@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import dictionaries as D
-from ..functions import paths as P, scoring, text, urls
+from ..functions import paths as P, scoring, urls
+from ..functions.literals import each
 from ..operators import corpus, features as ft, matching, projects as pj, services as sv, summary as sm
 from ..plans import jobs
 from ..session import spread
@@ -190,7 +191,7 @@ def main_files(spark, sf):
 
 @query(q("SELECT root, path, import FROM imports"))
 def imports(spark, sf):
-    return features(spark, sf).select("root", "path", F.explode("imports").alias("import"))
+    return features(spark, sf).select("root", "path", each("imports").alias("import"))
 
 
 @query(q("SELECT path, package, version FROM dependencies"))
@@ -446,8 +447,7 @@ def service_map(spark, sf):
 
 @query(q("SELECT root, url, target FROM resolved"))
 def resolve_calls(spark, sf):
-    d = detection(spark, sf)
-    return sv.resolve_calls(sv.of_services(d.calls, d.services), d.service_map)
+    return detection(spark, sf).resolved
 
 
 @query(q("SELECT root, source, target, type, url, file FROM relationships"))

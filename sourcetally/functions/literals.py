@@ -23,3 +23,9 @@ def string_array(items) -> Column:
 
 def no_strings() -> Column:
     return F.expr(EMPTY)
+
+
+def each(array: str) -> Column:
+    """Explode a column that is costly to compute.  Exploding a bare column makes Spark infer a
+    filter on its size and push it down to where the column is computed, computing it twice."""
+    return F.explode(F.array_compact(array))

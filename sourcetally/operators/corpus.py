@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import paths as P
+from ..functions.literals import each
 
 MAX_DEPTH = 3
 
@@ -78,12 +79,12 @@ def code_files_for_calls(files: DataFrame) -> DataFrame:
 def assign_projects(kept: DataFrame) -> DataFrame:
     """One row per file and project.  Whether a directory is a project follows from its path
     alone, so there is no join against a list of directories."""
-    return kept.withColumn("project", F.explode("projects")).drop("projects")
+    return kept.withColumn("project", each("projects")).drop("projects")
 
 
 def project_dirs(kept: DataFrame) -> DataFrame:
     """The projects: every eligible directory with at least one kept file."""
-    return kept.select("root", F.explode("projects").alias("project")).distinct()
+    return kept.select("root", each("projects").alias("project")).distinct()
 
 
 def directory_listing(kept: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -97,7 +98,7 @@ def directory_listing(kept: DataFrame, max_depth: int = 4) -> DataFrame:
     parts = F.split("path", "/")
     below = F.col("base")
     entries = (
-        kept.select("root", "path", F.explode("projects").alias("project"))
+        kept.select("root", "path", each("projects").alias("project"))
         .withColumn("base", F.size(F.split("project", "/")))
         .withColumn("depth", F.explode(F.sequence(below + 1, F.least(F.size(parts), below + max_depth + 1))))
         .select("root", "project",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import paths as P, text
-from ..functions.literals import EMPTY, no_strings, sql_array, sql_string, string_array
+from ..functions.literals import EMPTY, each, no_strings, sql_array, sql_string, string_array
 from ..sources.patterns import Patterns, default_patterns
 from .corpus import MAX_DEPTH, file_facts, kept_files
 from .matching import content_matches
@@ -38,8 +38,7 @@ def file_features(files: DataFrame, patterns: Patterns | None = None,
     packages = patterns.literals("dependency", "framework")
     staged = (facts
               .withColumns({
-                  "content_matches": F.coalesce(
-                      content_matches(content, patterns.literals("content"), engine), no_strings()),
+                  "content_matches": content_matches(content, patterns.literals("content"), engine),
                   "imports": _when(python, text.imports(content)),
                   "_manifest": F.when(manifest_file, text.package_manifest(content))})
               .withColumn("dependencies", _when(manifest_file, text.dependencies("_manifest"), DEPENDENCIES)))
@@ -106,5 +105,5 @@ def pattern_hits(features: DataFrame, matches: str, kind: str, family: str,
     table = F.broadcast(patterns.table(features.sparkSession)
                         .where((F.col("kind") == kind) & (F.col("family") == family))
                         .select(F.col("name").alias("entry"), "pattern", "weight10"))
-    return (features.select("root", "path", F.explode(matches).alias("pattern"))
+    return (features.select("root", "path", each(matches).alias("pattern"))
             .join(table, "pattern").select("root", "path", "entry", "pattern", "weight10"))

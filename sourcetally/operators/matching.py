@@ -10,7 +10,7 @@ from ..functions.literals import no_strings
 
 
 def content_matches(content: Column, literals: list[str], engine: str = "automaton") -> Column:
-    """Array of the literals that occur in a text.
+    """Array of the literals that occur in a text; empty for a null text.
 
     Two exact plans.  ``builtin`` searches literal by literal in the JVM: its cost per byte
     grows with the dictionary.  ``automaton`` reads a text once for all literals, in an Arrow
@@ -22,7 +22,7 @@ def content_matches(content: Column, literals: list[str], engine: str = "automat
         raise ValueError(f"engine must be 'automaton' or 'builtin', not {engine!r}")
     if not literals:
         return no_strings()
-    return _automaton(literals)(content)
+    return F.coalesce(_automaton(literals)(content), no_strings())
 
 
 def _automaton(literals: list[str]):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import scoring
+from ..functions.literals import each
 from ..sources.patterns import Patterns, default_patterns
 from .features import file_hits
 
@@ -36,7 +37,7 @@ def project_tally(features: DataFrame, patterns: Patterns | None = None) -> Data
         h["family"].alias("family"), h["name"].alias("entry"), F.lit(None).cast("string").alias("lang"),
         *no_flags))
     rows = (features.select("root", "projects", F.explode(F.concat(F.array(facts), scored)).alias("r"))
-            .select("root", F.explode("projects").alias("project"), "r.*"))
+            .select("root", each("projects").alias("project"), "r.*"))
     grouped = rows.groupBy(*PROJECT, "family", "entry").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("lang") == lang).alias(lang) for lang in LANGUAGES],
@@ -132,7 +133,7 @@ def classify_services(wide: DataFrame) -> DataFrame:
 # ---- child tables: long form, one row per item, so that no project is collected -------------
 
 def by_project(features: DataFrame, *columns) -> DataFrame:
-    return features.select("root", F.explode("projects").alias("project"), *columns)
+    return features.select("root", each("projects").alias("project"), *columns)
 
 
 def project_counts(features: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def project_has_main(features: DataFrame) -> DataFrame:
 
 def project_imports(features: DataFrame) -> DataFrame:
     """Distinct imports of every project."""
-    imported = features.select("root", "projects", F.explode("imports").alias("import"))
+    imported = features.select("root", "projects", each("imports").alias("import"))
     return by_project(imported, "import").distinct()
 
 
@@ -172,5 +173,5 @@ def project_errors(features: DataFrame) -> DataFrame:
 
 
 def project_dependencies(features: DataFrame) -> DataFrame:
-    return features.select("root", "path", F.explode("dependencies").alias("d")).select(
+    return features.select("root", "path", each("dependencies").alias("d")).select(
         "root", "path", "d.package", "d.version")

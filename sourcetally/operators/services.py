@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
+from ..functions.literals import each
 from .joins import salted_join
 from .projects import PROJECT, by_project, project_name
 
@@ -22,7 +23,7 @@ _WINDOWS = rf"(?s)(?=(.{{1,{WINDOW}}}))."
 def dedup_endpoints(features: DataFrame) -> DataFrame:
     """Endpoints of every project, each once; ``first`` is where it came up first."""
     rows = features.select("root", "projects", "path", F.col("name").alias("file"),
-                           F.explode("endpoints").alias("e"))
+                           each("endpoints").alias("e"))
     return (by_project(rows, "file", "e.method", F.col("e.path").alias("endpoint"), "e.framework", "e.type",
                        F.struct("path", "e.form", "e.nth").alias("at"))
             .groupBy(*PROJECT, "endpoint", "method", "file", "framework", "type")
@@ -32,7 +33,7 @@ def dedup_endpoints(features: DataFrame) -> DataFrame:
 def dedup_calls(features: DataFrame) -> DataFrame:
     """Service calls of every project, each once; ``first`` is where it came up first."""
     rows = features.select("root", "projects", "path", F.col("name").alias("file"),
-                           F.explode("calls").alias("c"))
+                           each("calls").alias("c"))
     return (by_project(rows, "file", "c.url", "c.language", F.struct("path", "c.form", "c.nth").alias("at"))
             .groupBy(*PROJECT, "url", "file", "language").agg(F.min("at").alias("first")))
 

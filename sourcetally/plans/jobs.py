@@ -8,6 +8,7 @@ a lost executor costs the step, not the run.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -69,29 +70,42 @@ def summary_tables(scan: Scan) -> dict[str, DataFrame]:
     }
 
 
-@dataclass
 class Detection:
-    services: DataFrame
-    endpoints: DataFrame
-    calls: DataFrame
-    service_map: DataFrame
-    relationships: DataFrame
+    """Services, their endpoints and calls, and the service graph.  Each table is made, and with
+    ``keep`` stored, when it is first asked for."""
+
+    def __init__(self, scan: Scan, drop_empty_pattern: bool = False, keep: bool = True):
+        self.scan, self.drop_empty_pattern = scan, drop_empty_pattern
+        self._keep = stored if keep else lambda df, _: df
+
+    @cached_property
+    def services(self) -> DataFrame:
+        return self._keep(self.scan.projects, "projects")
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        return self._keep(sv.dedup_endpoints(self.scan.features), "endpoints")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return self._keep(sv.dedup_calls(self.scan.features), "calls")
+
+    @cached_property
+    def service_map(self) -> DataFrame:
+        return self._keep(sv.build_service_map(self.services, self.endpoints, self.drop_empty_pattern),
+                          "service_map")
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return sv.resolve_calls(sv.of_services(self.calls, self.services), self.service_map)
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        return self._keep(sv.service_relationships(self.calls, self.services, self.resolved), "relationships")
 
 
 def detect_microservices(scan: Scan, drop_empty_pattern: bool = False, keep: bool = True) -> Detection:
-    """Services, their endpoints and calls, and the service graph."""
-    endpoints = sv.dedup_endpoints(scan.features)
-    calls = sv.dedup_calls(scan.features)
-    services = scan.projects
-    if keep:
-        endpoints, calls, services = (stored(endpoints, "endpoints"), stored(calls, "calls"),
-                                      stored(services, "projects"))
-    service_map = sv.build_service_map(services, endpoints, drop_empty_pattern)
-    service_map = stored(service_map, "service_map") if keep else service_map
-    resolved = sv.resolve_calls(sv.of_services(calls, services), service_map)
-    relationships = sv.service_relationships(calls, services, resolved)
-    relationships = stored(relationships, "relationships") if keep else relationships
-    return Detection(services, endpoints, calls, service_map, relationships)
+    return Detection(scan, drop_empty_pattern, keep)
 
 
 def project_report_tables(scan: Scan, max_tree_depth: int = 4, kept: DataFrame | None = None) -> dict[str, DataFrame]:
