@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import paths as P, text
-from ..functions.literals import EMPTY, each, no_strings, sql_array, sql_string, string_array
+from ..functions.literals import EMPTY, each, sql_array, sql_string, string_array
 from ..sources.patterns import Patterns, default_patterns
 from .corpus import MAX_DEPTH, file_facts, kept_files
 from .matching import content_matches

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import scoring
-from ..functions.literals import each
+from ..functions.literals import each, string_array
 from ..sources.patterns import Patterns, default_patterns
 from .features import file_hits
 
@@ -54,24 +54,38 @@ def scores(tally: DataFrame, family: str) -> DataFrame:
                     scoring.from_tenths(F.col("score10")).alias("score")))
 
 
+_RANKS = 65_536          # more than a dictionary may have entries
+
+
 def _best(family: str) -> Column:
-    """Entry with the highest score; the first in the dictionary wins a tie."""
-    return F.max(F.when(F.col("family") == family,
-                        F.struct("score10", (-F.col("ord")).alias("o"), F.col("entry").alias("name"))))
+    """Highest score and, among its holders, the first in the dictionary, as one number: a
+    number keeps the aggregate in a hash table, a struct would make it sort."""
+    return F.max(F.when(F.col("family") == family, F.col("score10") * _RANKS + (_RANKS - 1 - F.col("ord"))))
+
 
+def _unpack(best: str, names: list[str]) -> Column:
+    ord_ = F.lit(_RANKS - 1) - F.col(best) % _RANKS
+    return F.when(F.col(best).isNotNull(), F.struct(
+        F.floor(F.col(best) / _RANKS).alias("score10"),
+        F.element_at(string_array(names), (ord_ + 1).cast("int")).alias("name")))
 
-def project_wide(tally: DataFrame) -> DataFrame:
+
+def project_wide(tally: DataFrame, patterns: Patterns | None = None) -> DataFrame:
     """One row per project: counts, flags, best framework, microservice score, communication."""
+    patterns = patterns or default_patterns()
     base = F.col("family").isNull()
     flags = ["has_main", "has_setup", "has_package_json", "has_docker"]
-    return (tally.groupBy(*PROJECT).agg(
+    wide = tally.groupBy(*PROJECT).agg(
         F.max(F.when(base, F.col("n"))).alias("file_count"),
         *[F.max(F.when(base, F.col(lang))).alias(f"{lang}_files") for lang in LANGUAGES],
         *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags],
-        _best("framework").alias("framework"),
+        _best("framework").alias("_framework"),
         F.coalesce(F.sum(F.when(F.col("family") == "microservice", F.col("score10"))), F.lit(0)).alias("total10"),
-        _best("communication").alias("communication"))
-        .withColumn("name", project_name(F.col("project"))))
+        _best("communication").alias("_communication"))
+    return (wide.withColumns({"framework": _unpack("_framework", patterns.names("framework")),
+                              "communication": _unpack("_communication", patterns.names("communication")),
+                              "name": project_name(F.col("project"))})
+            .drop("_framework", "_communication"))
 
 
 def primary_language() -> Column:

@@ -137,11 +137,11 @@ def resolve_by_key(url_table: DataFrame, service_map: DataFrame) -> DataFrame:
             .groupBy("root", "uid").agg(F.min_by("service", "rank").alias("target")))
 
 
-def resolve_calls(calls: DataFrame, service_map: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, service_map: DataFrame, keep=lambda df, name: df) -> DataFrame:
     """Target of every distinct URL: root, url, target (null if none), by containment first,
-    by key for the rest."""
-    url_table = distinct_urls(calls)
-    direct = resolve_direct(url_table, service_map)
+    by key for the rest.  ``keep`` (as ``session.stored``) pins what is read twice."""
+    url_table = keep(distinct_urls(calls), "urls")
+    direct = keep(resolve_direct(url_table, service_map), "direct")
     rest = url_table.join(direct, ["root", "uid"], "left_anti")
     found = direct.unionByName(resolve_by_key(rest, service_map))
     return url_table.join(found, ["root", "uid"], "left").select("root", "url", "target")

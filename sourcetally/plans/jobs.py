@@ -39,7 +39,7 @@ def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: Ign
     features = stored(features, "features") if keep else features
     tally = pj.project_tally(features, patterns)
     tally = stored(tally, "tally") if keep else tally
-    return Scan(features, tally, pj.classify_services(pj.classify(pj.project_wide(tally))))
+    return Scan(features, tally, pj.classify_services(pj.classify(pj.project_wide(tally, patterns))))
 
 
 def summary_tables(scan: Scan) -> dict[str, DataFrame]:
@@ -97,7 +97,7 @@ class Detection:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return sv.resolve_calls(sv.of_services(self.calls, self.services), self.service_map)
+        return sv.resolve_calls(sv.of_services(self.calls, self.services), self.service_map, self._keep)
 
     @cached_property
     def relationships(self) -> DataFrame:

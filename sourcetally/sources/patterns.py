@@ -26,12 +26,19 @@ class Patterns:
     def __post_init__(self):
         if len(self.rows) > MAX_PATTERNS:
             raise ValueError(f"{len(self.rows)} patterns: a dictionary may have {MAX_PATTERNS}")
+        if any(not 0 <= r[5] < MAX_PATTERNS for r in self.rows):
+            raise ValueError(f"ord must be between 0 and {MAX_PATTERNS}")
 
     def literals(self, kind: str, *families: str) -> list[str]:
         """Distinct patterns of one kind: each is searched once, whoever shares it."""
         return list(dict.fromkeys(r[3] for r in self.rows
                                   if r[2] == kind and (not families or r[0] in families)))
 
+    def names(self, family: str) -> list[str]:
+        """Entries of a family by ``ord``; a position no row has is empty."""
+        by_ord = {r[5]: r[1] for r in self.rows if r[0] == family}
+        return [by_ord.get(n, "") for n in range(max(by_ord, default=-1) + 1)]
+
     def table(self, spark: SparkSession) -> DataFrame:
         """All rows.  Inline values: Spark knows the size and needs no job to read them."""
         return _inline(spark, self.rows, "family, name, kind, pattern, weight10, ord")
