@@ -267,5 +267,15 @@ dist AS (
 """
 
 
+_ROOTS = CTES.replace("FROM code_files)", """FROM (
+  SELECT split_part(path, '/', 2) AS root, substr(path, strpos(path, '/') + 1) AS path, content
+  FROM code_files WHERE len(string_split(path, '/')) > 2))""")
+
+
 def q(select: str) -> str:
     return CTES + select
+
+
+def q_roots(select: str) -> str:
+    """The same with every top directory as a root of its own."""
+    return _ROOTS + select

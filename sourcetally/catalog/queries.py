@@ -21,7 +21,7 @@ from ..sources import files as src
 from ..sources.patterns import default_patterns
 from . import oracle
 from .corpus_sql import CODE_FILES
-from .oracle import lit, q
+from .oracle import lit, q, q_roots
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -613,3 +613,59 @@ def project_index(spark, sf):
 def multi_root_stats(spark, sf):
     base = scan(spark, sf, keep=True)
     return sm.multi_root_stats(base.projects, base.framework_scores)
+
+
+# ---- many roots: every top directory of the tree is a root of its own ----------------------------
+
+def roots_scan(spark, sf, keep=False) -> jobs.Scan:
+    return jobs.scan_projects(src.expand_roots(code_files(spark, sf)), keep=keep)
+
+
+@query(q_roots("SELECT root, project, project_type, confidence, primary_language, is_microservice FROM projects"))
+def roots_projects(spark, sf):
+    return roots_scan(spark, sf).projects.select("root", "project", "project_type", "confidence", "primary_language",
+                                                 "is_microservice")
+
+
+@query(q_roots("""SELECT root, count(*) AS total_projects, sum(file_count)::BIGINT AS total_files,
+  count(*) FILTER (is_microservice) AS microservices_count, bool_or(is_microservice) AS has_microservices
+  FROM projects GROUP BY root"""))
+def roots_totals(spark, sf):
+    return sm.summary_totals(roots_scan(spark, sf).projects)
+
+
+@query(q_roots("SELECT dimension, key, sum(n)::BIGINT AS n FROM dist "
+               "WHERE dimension IN ('project_type', 'language', 'confidence', 'framework') GROUP BY ALL"))
+def roots_stats(spark, sf):
+    base = roots_scan(spark, sf, keep=True)
+    return sm.multi_root_stats(base.projects, base.framework_scores)
+
+
+@query(q_roots("""SELECT d.root, dimension, key, n, n / t.total * 100 AS pct FROM dist d
+  JOIN (SELECT root, count(*) AS total FROM projects GROUP BY root) t ON t.root = d.root
+  WHERE dimension = 'language'"""))
+def roots_share(spark, sf):
+    base = roots_scan(spark, sf, keep=True)
+    return sm.with_share(sm.summary_languages(base.projects), base.projects)
+
+
+@query(q_roots("""SELECT root, name, project, row_number() OVER (PARTITION BY root ORDER BY name, project) AS no
+                  FROM (SELECT *, pname AS name FROM projects)"""))
+def roots_index(spark, sf):
+    return sm.project_index(roots_scan(spark, sf).projects).select("root", "name", "project", "no")
+
+
+@query(q_roots("SELECT root, source, target, type, url, file FROM relationships"))
+def roots_relationships(spark, sf):
+    return jobs.detect_microservices(roots_scan(spark, sf, keep=True)).relationships
+
+
+# ---- containment on real URLs: which link targets occur inside which page addresses ---------------
+
+@query("""WITH h AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '^/', '') AS pattern FROM pages),
+  u AS (SELECT DISTINCT url FROM pages)
+  SELECT url, pattern FROM u JOIN h ON contains(lower(url), pattern)""")
+def link_spellings(spark, sf):
+    addresses = sv.distinct_urls(table(spark, sf, "pages").select(F.lit("web").alias("root"), "url"))
+    links = _hrefs(spark, sf).select(F.lit("web").alias("root"), F.regexp_replace("url", "^/", "").alias("pattern")).distinct()
+    return (sv.contained_spellings(addresses, links).join(addresses, ["root", "uid"]).select("url", "pattern"))

@@ -14,7 +14,6 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", memory)
              .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.sql.execution.arrow.maxBytesPerBatch", "67108864")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
