@@ -668,4 +668,4 @@ def roots_relationships(spark, sf):
 def link_spellings(spark, sf):
     addresses = sv.distinct_urls(table(spark, sf, "pages").select(F.lit("web").alias("root"), "url"))
     links = _hrefs(spark, sf).select(F.lit("web").alias("root"), F.regexp_replace("url", "^/", "").alias("pattern")).distinct()
-    return (sv.contained_spellings(addresses, links).join(addresses, ["root", "uid"]).select("url", "pattern"))
+    return (sv.contained_spellings(addresses, links).join(addresses, ["root", "uid"]).select("url", "pattern").distinct())

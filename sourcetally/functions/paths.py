@@ -30,6 +30,19 @@ def glob_regex(pattern: str) -> str:
     return out
 
 
+def glob_search(pattern: str, inside: bool = False) -> str:
+    """Expression whose search finds what the glob matches as a whole (``inside``: as a part).
+
+    Stars at the ends become missing anchors: a search for a suffix is cheap, a leading ``.*``
+    would be tried, and undone, at every position.
+    """
+    core = pattern if "[" in pattern else pattern.strip("*")
+    stripped = core != pattern
+    start = "" if inside or (stripped and pattern.startswith("*")) else r"\A"
+    end = "" if inside or (stripped and pattern.endswith("*")) else r"\z"
+    return start + glob_regex(core) + end
+
+
 def is_glob(pattern: str) -> bool:
     return any(c in pattern for c in "*?[")
 
@@ -68,7 +81,7 @@ def language(name: Column) -> Column:
 def is_key_file(name: Column, path: Column) -> Column:
     """Listed name, glob on the name, or a listed name anywhere in the path."""
     globs = [p for p in D.KEY_FILES if is_glob(p)]
-    return contains_any(path, D.KEY_FILES) | name.rlike(f"\\A(?:{any_of(map(glob_regex, globs))})\\z")
+    return contains_any(path, D.KEY_FILES) | name.rlike(any_of(map(glob_search, globs)))
 
 
 def is_media(name: Column) -> Column:
@@ -94,17 +107,16 @@ class IgnoreRules:
         self.patterns = list(patterns or D.DEFAULT_IGNORE) + list(extra)
         self.substrings = self.patterns if match == "substring" else []
         globs = [p for p in self.patterns if match == "segment" or is_glob(p)]
-        self.name_regex = any_of(([] if include_hidden else [r"\.[^/]*"])
-                                 + [glob_regex(p) for p in globs])
+        self.name_regex = any_of(([] if include_hidden else [r"\A\."]) + [glob_search(p) for p in globs])
         # A glob of the form *text (no slash) hits a path exactly when it hits the base name.
         self.path_regex = any_of(
-            glob_regex(p) for p in globs if match == "substring"
+            glob_search(p) for p in globs if match == "substring"
             and ("/" in p or not p.startswith("*") or is_glob(p[1:])))
 
     def name_or_glob_hit(self, name: Column, path: Column) -> Column:
         """Hidden or glob hit of one directory or file: what its own name decides."""
-        hit = name.rlike(f"\\A(?:{self.name_regex})\\z") if self.name_regex else F.lit(False)
-        return hit | path.rlike(f"\\A(?:{self.path_regex})\\z") if self.path_regex else hit
+        hit = name.rlike(self.name_regex) if self.name_regex else F.lit(False)
+        return hit | path.rlike(self.path_regex) if self.path_regex else hit
 
     def hit(self, path: Column) -> Column:
         """True if the file or directory at ``path`` is ignored on its own."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from .. import dictionaries as D
 from . import urls
 from .literals import no_strings, sql_array, sql_string, string_array
-from .paths import glob_regex, is_glob
+from .paths import glob_search, is_glob
 
 
 def decode_text(raw: Column) -> Column:
@@ -135,5 +135,5 @@ def pattern_matches(path: Column, patterns: list[str]) -> Column:
     globs = [p for p in patterns if is_glob(p)]
     if globs:
         found = F.concat(found, F.array_compact(F.array(*[
-            F.when(F.contains(path, F.lit(p)) | path.rlike(glob_regex(p)), F.lit(p)) for p in globs])))
+            F.when(F.contains(path, F.lit(p)) | path.rlike(glob_search(p, inside=True)), F.lit(p)) for p in globs])))
     return found

@@ -73,11 +73,11 @@ def distinct_urls(calls: DataFrame) -> DataFrame:
 
 
 def url_id(url: Column) -> Column:
-    return F.sha2(url, 256)
+    return F.unhex(F.sha2(url, 256))
 
 
 def contained_spellings(url_table: DataFrame, spellings: DataFrame) -> DataFrame:
-    """(root, uid, pattern) for every spelling contained in the lower-cased URL, by equality.
+    """(root, uid, pattern, ...) for every place of a spelling in a lower-cased URL, by equality.
 
     A spelling of up to three characters is looked for among the pieces of that length.  A
     longer one is anchored: its first four characters (its first ``WINDOW``, if it is longer
@@ -119,7 +119,7 @@ def contained_spellings(url_table: DataFrame, spellings: DataFrame) -> DataFrame
             .join(url_table, ["root", "uid"])
             .select("root", "uid", F.lower("url").substr(F.col("start"), F.col("n")).alias("pattern")))
 
-    candidates = empty.unionByName(short).unionByName(medium).unionByName(long).distinct()
+    candidates = empty.unionByName(short).unionByName(medium).unionByName(long)
     return salted_join(candidates, spellings, ["root", "pattern"], ["uid"])
 
 
