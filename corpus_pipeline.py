@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcetally.llm import catalog, language, toxicity
+from sourcetally.llm import catalog, chunking, language, minhash, toxicity
 from sourcetally.session import stored
 
 #: Documents whose best language has less than this share of the text go.
@@ -25,12 +25,26 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
 
 
+def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles are 0.8 alike, directly or through others, keep that
+    with the smallest id."""
+    found = minhash.near_duplicates(docs)
+    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def by_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take passages out of texts that a document with a smaller id has; every document stays."""
+    done = chunking.without_repeats(docs)
+    changed = F.col("n_spans") > 0
+    return done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document: its place in a sequence of at most 2048 tokens."""
     return catalog.packed(docs)
 
 
-STAGES = [("language", by_language), ("toxicity", by_toxicity), ("packing", packing)]
+STAGES = [("language", by_language), ("toxicity", by_toxicity), ("near copies", by_near_copies), ("passages", by_passages), ("packing", packing)]
 
 ORACLE_SQL = None
 
@@ -38,5 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcetally.llm import language, packing, pieces, sharding, tokens, toxicity
+from sourcetally.llm import chunking, language, minhash, packing, pieces, sharding, simhash, tokens, toxicity, vectors
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +29,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "held_out", "text"), labels, net, keep=["doc_id", "held_out"])
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a toxic label that may be learnt from."""
     labels = table(spark, sf_dir, "labels").where(~language.held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic")
@@ -45,6 +51,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=Fraction(85, 100))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text freed of passages that an earlier document has."""
+    done = chunking.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", (F.col("n_spans") > 0).alias("repeated"), "n_spans", "removed_bytes", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -63,5 +83,40 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: (f, None) for f in (
-    op1_token_counts, op2_language_id, op4_toxicity, op5_sharding, op9_piece_encoding, op10_best_fit_packing)}
+#: Links of pairs (a, b), both ways, followed from every id.
+REACH = """,
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, seen) AS (SELECT id, id FROM ids UNION SELECT r.id, e.b FROM reach r JOIN both e ON r.seen = e.a),
+part AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id)
+"""
+
+MINHASH_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM split),
+terms AS (SELECT doc_id, unnest(g) AS x FROM sets),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM terms p JOIN terms q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b WHERE 100 * n >= 85 * (len(s.g) + len(t.g) - n)),
+ids AS (SELECT doc_id AS id FROM documents)""" + REACH + """
+SELECT s.doc_id, len(s.g) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sets s JOIN part p ON p.id = s.doc_id
+"""
+
+VECTORS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+links AS (SELECT p.id AS a, q.id AS b FROM usable p JOIN usable q ON p.label = q.label AND p.id < q.id AND len(p.v) = len(q.v)
+          WHERE list_cosine_similarity(p.v, q.v) >= 0.98),
+ids AS (SELECT vec_id AS id FROM embeddings)""" + REACH + """,
+degree AS (SELECT a, count(*) AS n FROM both GROUP BY a)
+SELECT p.id AS vec_id, coalesce(n, 0) AS n_links, component_id, p.id = component_id AS kept FROM part p LEFT JOIN degree d ON d.a = p.id
+"""
+
+REGISTRY = {f.__name__: (f, sql) for f, sql in (
+    (op1_token_counts, None), (op2_language_id, None), (op3_fingerprints, None), (op4_toxicity, None), (op5_sharding, None),
+    (op6_minhash_dedup, MINHASH_SQL), (op7_embedding_dedup, VECTORS_SQL), (op8_substring_dedup, None), (op9_piece_encoding, None),
+    (op10_best_fit_packing, None))}
