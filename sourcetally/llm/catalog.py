@@ -85,18 +85,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Links of pairs (a, b), both ways, followed from every id.
 REACH = """,
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(id, seen) AS (SELECT id, id FROM ids UNION SELECT r.id, e.b FROM reach r JOIN both e ON r.seen = e.a),
+edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, seen) AS (SELECT id, id FROM ids UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.seen = e.a),
 part AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id)
 """
 
 MINHASH_SQL = r"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                      ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM split),
+                      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS g FROM split),
 terms AS (SELECT doc_id, unnest(g) AS x FROM sets),
 shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM terms p JOIN terms q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM shared JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b WHERE 100 * n >= 85 * (len(s.g) + len(t.g) - n)),
@@ -107,12 +107,12 @@ SELECT s.doc_id, len(s.g) AS n_shingles, component_id, s.doc_id = component_id A
 VECTORS_SQL = """
 WITH RECURSIVE usable AS (
   SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding])),
 links AS (SELECT p.id AS a, q.id AS b FROM usable p JOIN usable q ON p.label = q.label AND p.id < q.id AND len(p.v) = len(q.v)
           WHERE list_cosine_similarity(p.v, q.v) >= 0.98),
 ids AS (SELECT vec_id AS id FROM embeddings)""" + REACH + """,
-degree AS (SELECT a, count(*) AS n FROM both GROUP BY a)
+degree AS (SELECT a, count(*) AS n FROM edge GROUP BY a)
 SELECT p.id AS vec_id, coalesce(n, 0) AS n_links, component_id, p.id = component_id AS kept FROM part p LEFT JOIN degree d ON d.a = p.id
 """
 
