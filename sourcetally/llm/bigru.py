@@ -15,8 +15,8 @@ PAD = 256
 
 @dataclass(frozen=True)
 class Network:
-    """``tables``: input weights of both directions, (257, 3 * hidden), row PAD for positions past
-    the end; ``recurrent``: (3 * hidden, hidden) each; ``out``: (classes, 2 * hidden); ``bias``."""
+    """``tables``: input weights of both directions, (257, 3 * hidden); positions past the end have the
+    number PAD, where states are zero; ``recurrent``: (3 * hidden, hidden) each; ``out``: (classes, 2 * hidden); ``bias``."""
 
     tables: tuple
     recurrent: tuple
@@ -54,6 +54,8 @@ def _sweep(table, recurrent, text, keep=None):
         np.subtract(states[t], candidate, out=states[t + 1])
         states[t + 1] *= both[:hidden]
         states[t + 1] += candidate
+        if (past := column == PAD).any():                    # nothing has been read there
+            states[t + 1][:, past] = 0
         if keep is not None:
             keep.append((both, candidate, back))
     return states
@@ -100,7 +102,7 @@ def loss_and_gradient(net: Network, text: np.ndarray, label: np.ndarray) -> tupl
         for t in range(len(text) - 1, -1, -1):
             both, candidate, back = kept[d][t]
             z, r, before = both[:hidden], both[hidden:], states[d][t]
-            carried = carried + outer[t]
+            carried = (carried + outer[t]) * (orders[d][t] != PAD)
             inner = carried * (1 - z) * (1 - candidate * candidate)
             to_z, to_r = carried * (before - candidate) * z * (1 - z), inner * back * r * (1 - r)
             inputs = np.concatenate([to_z, to_r, inner])

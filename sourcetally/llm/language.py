@@ -72,7 +72,7 @@ def document_probabilities(net: bigru.Network, texts: list[bytes]) -> np.ndarray
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     start, length = first[owner] + nth * WINDOW, np.minimum(WINDOW, sizes[owner] - nth * WINDOW)
-    flat = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
+    flat = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8).astype(np.int16)
     sums = np.zeros((len(texts), len(net.bias)))
     by_length = np.argsort(length, kind="stable")
     for at in range(0, len(owner), GROUP):
