@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +15,9 @@ from sourcetally.llm.arrow import byte_slices
 from sourcetally.llm.rows import one_row_an_id
 from sourcetally.session import stored
 
-#: Bytes that the gear hash looks back on; least and greatest bytes of a chunk; least bytes of
-#: neighbouring repeated chunks that are taken out.
-WINDOW, LEAST, MOST, RUN = 16, 24, 256, 100
+#: Bytes that the gear hash looks back on; white spaces on either side that a cut's hash must beat;
+#: greatest bytes of a chunk; least bytes of neighbouring repeated chunks that are taken out.
+WINDOW, REACH, MOST, RUN = 16, 4, 256, 100
 GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, np.uint32)
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -34,44 +33,47 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
     return h * np.uint32(0x9E3779B1)
 
 
-def cuts(texts: list[bytes]) -> list[list[int]]:
-    """Ends of the chunks of each text.  A chunk ends after white space where the hash says so, once
-    in four; if MOST bytes have no such place, after the last white space among them, so that a word
-    said over and over gives equal chunks; without white space at a place that the hash names, or
-    after MOST bytes, never inside a character.  A chunk's ends depend on the bytes near them, so an insertion moves
-    the ends around it and no others."""
+def cuts(texts: list[bytes]) -> list[np.ndarray]:
+    """Ends of the chunks of each text.  A chunk ends after the white space whose hash is greater than
+    that of REACH white spaces on either side, so every end depends on the bytes near it and no
+    others: an insertion moves the ends around it alone.  A longer stretch than MOST without such a
+    place is cut by ``split``."""
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(t + bytes(WINDOW) for t in texts), np.uint8)
     hashed = gear_hash(flat)
-    whole = np.append(flat[1:] & 0xC0 != 0x80, True)
     first = np.cumsum(sizes + WINDOW) - sizes - WINDOW
-    at_space = np.flatnonzero(SPACES[flat] & (hashed >> np.uint32(30) == 0)) + 1
-    blank = np.flatnonzero(SPACES[flat]) + 1
-    anywhere = np.flatnonzero(whole & (hashed >> np.uint32(26) == 0)) + 1
+    place = np.flatnonzero(SPACES[flat])
+    owner, value = np.searchsorted(first, place, "right"), hashed[place]
+    peak = np.ones(len(place), bool)
+    for k in range(1, REACH + 1):
+        same = owner[k:] == owner[:-k]
+        peak[k:] &= ~same | (value[k:] > value[:-k])
+        peak[:-k] &= ~same | (value[:-k] >= value[k:])
+    ends = place[peak] + 1
+    bounds = np.searchsorted(ends, np.append(first, len(flat)), "right")
     out = []
-    for begin, size in zip(first.tolist(), sizes.tolist()):
-        a, b = np.searchsorted(at_space, [begin, begin + size], "right")
-        spaced = (at_space[a:b] - begin).tolist()
-        a, b = np.searchsorted(anywhere, [begin, begin + size], "right")
-        other = (anywhere[a:b] - begin).tolist()
-        ends, start, k = [], 0, 0
-        while start < size:
-            k = bisect_left(spaced, start + LEAST, k)
-            end = spaced[k] if k < len(spaced) else size
-            if end - start > MOST:
-                b = int(np.searchsorted(blank, begin + start + MOST, "right")) - 1
-                o = bisect_left(other, start + LEAST)
-                if b >= 0 and blank[b] >= begin + start + LEAST:
-                    end = int(blank[b]) - begin
-                elif o < len(other) and other[o] <= start + MOST:
-                    end = other[o]
-                else:
-                    end = start + MOST
-                    while not whole[begin + end - 1]:
-                        end -= 1
-            ends.append(end)
-            start = end
-        out.append(ends)
+    for text, begin, size, a, b in zip(texts, first.tolist(), sizes.tolist(), bounds.tolist(), bounds[1:].tolist()):
+        mine = np.union1d(ends[a:b] - begin, [size]) if size else np.zeros(0, np.int64)
+        wide = np.flatnonzero(np.diff(mine, prepend=0) > MOST)
+        if len(wide):
+            more = [e for w in wide.tolist() for e in split(text, hashed[begin:begin + size], int(mine[w - 1]) if w else 0, int(mine[w]))]
+            mine = np.union1d(mine, more)
+        out.append(mine)
+    return out
+
+
+def split(text: bytes, hashed: np.ndarray, start: int, end: int) -> list[int]:
+    """Further ends between ``start`` and ``end``, no more than MOST bytes apart: after the last white
+    space there, so that a word said over and over gives equal chunks, else where the hash says so
+    once in 64 bytes, else as far as it goes; never inside a character."""
+    out = []
+    while end - start > MOST:
+        blank = max(text.rfind(space, start, start + MOST) for space in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1 - start
+        whole = np.frombuffer(text, np.uint8, MOST, start + 1) & 0xC0 != 0x80
+        named = np.flatnonzero(whole & (hashed[start:start + MOST] >> np.uint32(26) == 0)) + 1
+        cut = blank if blank > 0 else int(named[-1]) if len(named) else int(np.flatnonzero(whole)[-1]) + 1
+        start += cut
+        out.append(start)
     return out
 
 
@@ -85,13 +87,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             for part in byte_slices(batch, "text"):
                 texts = [t.encode() if t else b"" for t in part.column("text").to_pylist()]
                 ends = cuts(texts)
-                counts = [len(e) for e in ends]
-                starts = [s for e in ends for s in ([0] + e[:-1] if e else [])]
-                flat = [s for e in ends for s in e]
-                digests = b"".join([xxhash.xxh3_128_digest(t[a:b]) for t, e in zip(texts, ends) for a, b in zip([0, *e], e)])
+                lists = [e.tolist() for e in ends]
+                digests = b"".join([xxhash.xxh3_128_digest(t[a:b]) for t, e in zip(texts, lists) for a, b in zip([0, *e], e)])
                 pairs = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                begin, end = np.array(starts, np.int32), np.array(flat, np.int32)
-                rows = np.repeat(np.arange(len(texts)), counts)
+                end = np.concatenate([np.zeros(0, np.int64), *ends]).astype(np.int32)
+                begin = np.concatenate([np.zeros(0, np.int64), *[np.append(0, e[:-1]) for e in ends if len(e)]]).astype(np.int32)
+                rows = np.repeat(np.arange(len(texts)), [len(e) for e in ends])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(begin), pa.array(end - begin),
                                                   pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], schema.names)
 
