@@ -26,8 +26,8 @@ SEED = 20_240_229
 
 def bands_for(threshold: Fraction, rows: int = ROWS, miss: float = MISS) -> int:
     """The even number of bands at which a pair at the threshold shares none with chance ``miss``."""
-    count = math.ceil(math.log(miss) / math.log1p(-float(threshold) ** rows))
-    return count + count % 2
+    count = math.ceil(math.log(miss) / math.log1p(-min(float(threshold), 0.999) ** rows))
+    return max(count + count % 2, -(-SKETCH // rows))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

@@ -64,8 +64,8 @@ def bucket_keys(x: np.ndarray, labels: list[str], tables: int, joined: int) -> n
     """Keys of each row's buckets: in every table that of its closest corners, then those with one of
     them exchanged for the second closest."""
     rng = np.random.default_rng(SEED + 1)
-    x = padded(x)
     prefix = np.array([xxhash.xxh3_64_intdigest(f"{label}/{x.shape[1]}") for label in labels], np.uint64)
+    x = padded(x)
     out = []
     with np.errstate(over="ignore"):
         for t in range(tables):
@@ -102,8 +102,10 @@ def linked_in_block(ids, copies, units, keys, side, key: int, threshold: float):
         if (after == root).all():
             break
         root = after
-    one = ids[a] < ids[b]
-    a, b = (a[one], b[one])
+    if (side == 2).all():                                    # each pair came both ways
+        one = ids[a] < ids[b]
+        a, b = a[one], b[one]
+    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
     counted = np.zeros(len(a), bool)
     waiting = np.arange(len(a))
     for column in range(keys.shape[1]):
