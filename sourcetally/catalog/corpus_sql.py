@@ -23,7 +23,9 @@ SELECT doc_id, 'corpus' AS root,
   CASE slot
     WHEN 0 THEN 'from fastapi import FastAPI' || chr(10) || 'import os.path as p' || chr(10) || '@app.get("/users/{{id}}")' || chr(10)
              || 'requests.get("http://src' || CAST(peer AS STRING) || '/api/users/1")'
-    WHEN 1 THEN CASE WHEN part % 2 = 0 THEN '{{"dependencies":{{"react":"^18","jest":"1"}},"devDependencies":{{"jest":"2"}}}}' ELSE '{{bad' END
+    WHEN 1 THEN CASE WHEN part % 2 = 0 THEN '{{"dependencies":{{"react":"^18","jest":"1"}},"devDependencies":{{"jest":"2"}},"description":"' ||
+      replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'),
+              chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"}}' ELSE '{{bad' || chr(10) || text END
     WHEN 2 THEN 'FROM python:3' || chr(10) || 'RUN pip install x' || chr(10) || 'EXPOSE 80'
     WHEN 3 THEN 'app.post("/items", h)' || chr(10) || 'axios.get("https://src' || CAST(peer AS STRING) || '.internal/v1/items")' || chr(10) || 'fetch("/img/logo.png")'
     WHEN 4 THEN 'import flask' || chr(10) || '@app.route("/health")' || chr(10) || 'if __name__ == "__main__":' || chr(10) || '  pass'

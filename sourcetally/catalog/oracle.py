@@ -45,6 +45,12 @@ def bad_dir(segment: str) -> str:
     return f"({segment} LIKE '.%' OR {globs(segment, WILD)})"
 
 
+def owned(bad=bad_dir) -> str:
+    """Some directory of the first four has no bad one at it or below; the root is never bad."""
+    return (f"coalesce(list_max(list_filter(range(2, len(parts)), lambda i: {bad('parts[i]')})), 0) "
+            "< least(len(parts) - 1, 4)")
+
+
 _LANGUAGE = "CASE " + " ".join(
     f"WHEN {ends('name', suffixes)} THEN {lit(lang)}" for lang, suffixes in D.LANGUAGES.items()) + " END"
 _KEY = (f"({has('path', D.KEY_FILES)} OR list_contains({strings(D.KEY_FILES)}, name) OR "
@@ -119,17 +125,17 @@ files AS (SELECT root, path, strlen(content)::BIGINT AS length, content,
                  split_part(path, '/', -1) AS name, string_split(path, '/') AS parts FROM code_files),
 dict(family, entry, kind, pattern, weight10, ord) AS (VALUES {_DICT}),
 entries AS (SELECT DISTINCT family, entry, weight10, ord FROM dict),
-kept AS (SELECT * FROM files WHERE length <= {D.MAX_FILE_BYTES} AND NOT {ignored()}),
+kept AS (SELECT * FROM files WHERE NOT {ignored()} AND {owned()}),
 facts AS (
   SELECT *, key_file OR {ends('name', D.IMPORTANT_SUFFIXES)} AS important,
          (key_file OR {ends('name', D.IMPORTANT_SUFFIXES)}) AND NOT {ends('name', D.MEDIA_SUFFIXES)}
-           AND length <= {D.MAX_CONTENT_BYTES} AS analyzed
+           AS analyzed
   FROM (SELECT *, lower(regexp_extract(name, '[^./][^/]*(\\.[^./]*)$', 1)) AS ext, {_LANGUAGE} AS language,
                {_KEY} AS key_file FROM kept)),
 member AS (
   SELECT f.*, array_to_string(parts[1:k], '/') AS project
   FROM facts f, range(1, 5) t(k)
-  WHERE k <= len(parts) - 1 AND NOT {bad_dir('parts[k]')}
+  WHERE k <= len(parts) - 1 AND (k = 1 OR NOT {bad_dir('parts[k]')})
     AND len(list_filter(parts[k + 1:len(parts) - 1], lambda d: {bad_dir('d')})) = 0),
 owner AS (SELECT DISTINCT path, project FROM member),
 imports AS (
@@ -141,9 +147,7 @@ has_main AS (SELECT path FROM facts WHERE analyzed AND suffix(name, '.py')
 manifests AS (SELECT root, path, content, json_valid(content) AS ok FROM facts
               WHERE analyzed AND name = 'package.json'),
 errors AS (
-  SELECT root, path, 'Invalid JSON in package.json' AS error FROM manifests WHERE NOT ok
-  UNION ALL SELECT root, path, 'File too large for analysis' FROM facts
-  WHERE important AND NOT {ends('name', D.MEDIA_SUFFIXES)} AND length > {D.MAX_CONTENT_BYTES}),
+  SELECT root, path, 'Invalid JSON in package.json' AS error FROM manifests WHERE NOT ok),
 dependency_rows AS (
   SELECT root, path, g.grp, k.package, json_extract_string(content, '$.' || g.field || '."' || k.package || '"') AS version
   FROM (SELECT * FROM manifests WHERE ok) m,

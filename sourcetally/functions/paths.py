@@ -132,11 +132,12 @@ def owning_projects(path: Column, rules: IgnoreRules, max_depth: int) -> Column:
     are not ignored themselves and have no ignored directory between them and the file.
 
     A substring hit on a directory is also one on the file, so only names and globs are left
-    to test; the file belongs to every ancestor below the deepest directory they hit.
+    to test; the file belongs to every ancestor below the deepest directory they hit.  The root
+    was asked for by name and is not tested.
     """
     dirs = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     below = F.coalesce(F.array_max(F.transform(
-        dirs, lambda d, i: F.when(rules.name_or_glob_hit(d, prefix(dirs, i + 1)), i + 1))), F.lit(0))
+        dirs, lambda d, i: F.when((i > 0) & rules.name_or_glob_hit(d, prefix(dirs, i + 1)), i + 1))), F.lit(0))
     last = F.least(F.size(dirs), F.lit(max_depth + 1))
     return F.when(below < last,
                   F.transform(F.sequence(below + 1, last), lambda n: prefix(dirs, n))

@@ -15,8 +15,10 @@ from .paths import glob_search, is_glob
 
 
 def decode_text(raw: Column) -> Column:
-    """UTF-8 text of raw bytes with the undecodable bytes dropped."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """UTF-8 text of raw bytes with the undecodable bytes dropped.  A text that is valid stays as it
+    is, also where it holds U+FFFD itself; in an invalid one that character goes as well."""
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def has_main(content: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dictionaries as D
 from ..functions import paths as P
@@ -20,28 +20,37 @@ def hidden_filter(files: DataFrame) -> DataFrame:
     return files.where(~P.file_name(F.col("path")).startswith("."))
 
 
-def max_size_filter(files: DataFrame, max_bytes: int = D.MAX_FILE_BYTES) -> DataFrame:
-    """Drop oversized files and files of unknown size."""
-    return files.where(F.col("length") <= max_bytes)
+def max_size_filter(files: DataFrame, max_bytes: int | None = D.MAX_FILE_BYTES) -> DataFrame:
+    """Drop oversized files and files of unknown size; ``None`` keeps all."""
+    return files if max_bytes is None else files.where(F.col("length") <= max_bytes)
 
 
-def kept_files(files: DataFrame, rules: P.IgnoreRules | None = None,
-               max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Files that count, with ``name`` and the ``projects`` they belong to."""
+def dropped_by_size(files: DataFrame, max_bytes: int = D.MAX_FILE_BYTES) -> DataFrame:
+    """What ``max_size_filter`` leaves out, per root: files, and their bytes where known."""
+    left = F.coalesce(F.col("length") > max_bytes, F.lit(True))
+    return files.where(left).groupBy("root").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def kept_files(files: DataFrame, rules: P.IgnoreRules | None = None, max_depth: int = MAX_DEPTH,
+               max_bytes: int | None = None) -> DataFrame:
+    """Files that count, with ``name`` and the ``projects`` they belong to.  A file without any
+    project lies below an ignored directory and is left out.  ``max_bytes`` limits the size of a
+    file; there is no limit by default."""
     rules = rules or P.IgnoreRules()
-    return (ignore_filter(max_size_filter(files), rules)
+    return (ignore_filter(max_size_filter(files, max_bytes), rules)
             .withColumn("name", P.file_name(F.col("path")))
-            .withColumn("projects", P.owning_projects(F.col("path"), rules, max_depth)))
+            .withColumn("projects", P.owning_projects(F.col("path"), rules, max_depth))
+            .where(F.size("projects") > 0))
 
 
-def file_facts(kept: DataFrame, max_content: int = D.MAX_CONTENT_BYTES) -> DataFrame:
+def file_facts(kept: DataFrame, max_content: int | None = None) -> DataFrame:
     """Add ext, language, is_key_file, important, analyzed and the size or access error.
 
     ``analyzed`` marks the files whose text takes part in framework detection: important ones
-    that are neither media nor too large.
+    that are neither media nor larger than ``max_content`` (no limit by default).
     """
     name, path = F.col("name"), F.col("path")
-    oversized, present = F.col("length") > max_content, F.col("content").isNotNull()
+    oversized, present = over(max_content), F.col("content").isNotNull()
     return (kept
             .withColumns({"ext": P.extension(name), "language": P.language(name),
                           "is_key_file": P.is_key_file(name, path)})
@@ -61,11 +70,14 @@ def media_skip(files: DataFrame) -> DataFrame:
     return files.where(~P.is_media(P.file_name(F.col("path"))))
 
 
-def content_cap(files: DataFrame, max_content: int = D.MAX_CONTENT_BYTES) -> DataFrame:
+def over(max_content: int | None) -> Column:
+    return F.lit(False) if max_content is None else F.coalesce(F.col("length") > max_content, F.lit(False))
+
+
+def content_cap(files: DataFrame, max_content: int | None = D.MAX_CONTENT_BYTES) -> DataFrame:
     """Keep every row; text above the cap becomes null and the row gets an error."""
-    over = F.col("length") > max_content
-    return (files.withColumn("error", F.when(over, F.lit("File too large for analysis")))
-            .withColumn("content", F.when(~over, F.col("content"))))
+    return (files.withColumn("error", F.when(over(max_content), F.lit("File too large for analysis")))
+            .withColumn("content", F.when(~over(max_content), F.col("content"))))
 
 
 def code_files_for_endpoints(files: DataFrame) -> DataFrame:

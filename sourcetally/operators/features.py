@@ -21,15 +21,17 @@ def _when(condition: Column, value: Column, kind: str = "array<string>") -> Colu
 
 def file_features(files: DataFrame, patterns: Patterns | None = None,
                   rules: P.IgnoreRules | None = None, max_depth: int = MAX_DEPTH,
-                  engine: str = "automaton") -> DataFrame:
-    """Features of every kept file.
+                  engine: str = "automaton", max_bytes: int | None = None,
+                  max_content: int | None = None) -> DataFrame:
+    """Features of every kept file.  ``max_bytes`` and ``max_content`` limit the size of files and
+    of texts that take part in detection; nothing is limited by default.
 
     Columns: root, path, name, ext, language, length, is_key_file, important, analyzed,
     projects, has_main, imports, dependencies, file_matches, content_matches, import_matches,
     path_matches, dependency_matches, endpoints, calls, error.  Unused ones are pruned with their cost.
     """
     patterns = patterns or default_patterns()
-    facts = file_facts(kept_files(files, rules, max_depth))
+    facts = file_facts(kept_files(files, rules, max_depth, max_bytes), max_content)
     content, name, path = F.col("content"), F.col("name"), F.col("path")
     analyzed = F.col("analyzed")
     python = analyzed & name.endswith(".py")

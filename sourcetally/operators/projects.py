@@ -54,7 +54,7 @@ def scores(tally: DataFrame, family: str) -> DataFrame:
                     scoring.from_tenths(F.col("score10")).alias("score")))
 
 
-_RANKS = 65_536          # more than a dictionary may have entries
+_RANKS = 1 << 16         # more than a dictionary may have entries
 
 
 def _best(family: str) -> Column:
@@ -66,7 +66,7 @@ def _best(family: str) -> Column:
 def _unpack(best: str, names: list[str]) -> Column:
     ord_ = F.lit(_RANKS - 1) - F.col(best) % _RANKS
     return F.when(F.col(best).isNotNull(), F.struct(
-        F.floor(F.col(best) / _RANKS).alias("score10"),
+        F.shiftright(F.col(best), 16).alias("score10"),
         F.element_at(string_array(names), (ord_ + 1).cast("int")).alias("name")))
 
 

@@ -31,11 +31,13 @@ class Scan:
 
 
 def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: IgnoreRules | None = None,
-                  max_depth: int = corpus.MAX_DEPTH, engine: str = "automaton", keep: bool = True) -> Scan:
+                  max_depth: int = corpus.MAX_DEPTH, engine: str = "automaton", keep: bool = True,
+                  max_bytes: int | None = None, max_content: int | None = None) -> Scan:
     """Features, scores and classified projects of a files table.  ``keep`` stores the features
-    and the tally; without it everything stays one lazy plan."""
+    and the tally; without it everything stays one lazy plan.  Sizes have no limit unless
+    ``max_bytes`` (files) or ``max_content`` (texts in detection) set one."""
     patterns = patterns or default_patterns()
-    features = ft.file_features(files, patterns, rules, max_depth, engine)
+    features = ft.file_features(files, patterns, rules, max_depth, engine, max_bytes, max_content)
     features = stored(features, "features") if keep else features
     tally = pj.project_tally(features, patterns)
     tally = stored(tally, "tally") if keep else tally
@@ -141,10 +143,11 @@ def service_report_tables(scan: Scan, detection: Detection) -> dict[str, DataFra
 
 def run_analysis(files: DataFrame, patterns: Patterns | None = None, rules: IgnoreRules | None = None,
                  max_depth: int = corpus.MAX_DEPTH, engine: str = "automaton",
-                 detect: bool = True) -> dict[str, DataFrame]:
+                 detect: bool = True, max_bytes: int | None = None,
+                 max_content: int | None = None) -> dict[str, DataFrame]:
     """Everything: scan, detection (before the summary, so that the summary counts services),
     summary and report tables."""
-    scan = scan_projects(files, patterns, rules, max_depth, engine)
+    scan = scan_projects(files, patterns, rules, max_depth, engine, max_bytes=max_bytes, max_content=max_content)
     tables: dict[str, DataFrame] = {}
     if detect:
         detection = detect_microservices(scan)

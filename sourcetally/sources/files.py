@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import dictionaries as D
 from ..functions import text
 
 FILES_SCHEMA = "root string, path string, length bigint, content string"
@@ -22,9 +21,9 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(FILES_SCHEMA).parquet(*paths)
 
 
-def read_tree(spark: SparkSession, directory: str) -> DataFrame:
-    """A files table from one raw directory tree.  Unreadable files are skipped, content above
-    the size limit is never loaded.
+def read_tree(spark: SparkSession, directory: str, max_bytes: int | None = None) -> DataFrame:
+    """A files table from one raw directory tree.  Unreadable files are skipped; files larger than
+    ``max_bytes`` are not loaded (no limit by default).
 
     Spark's file sources leave out names that start with an underscore or a dot; ingest such
     trees into a table by other means when ``__init__.py`` and its like matter.
@@ -34,13 +33,13 @@ def read_tree(spark: SparkSession, directory: str) -> DataFrame:
     parent, _, root = directory.rstrip("/").rpartition("/")
     marker = re.sub(r"\A[a-z0-9]+:/+", "/", f"{parent}/{root}/")
     inside = F.col("path").substr(F.locate(marker, "path") + len(marker), F.length("path"))
-    return (spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-            .load(directory)
-            .where(F.col("length") <= D.MAX_FILE_BYTES)
-            .select(F.lit(root).alias("root"), F.concat(F.lit(f"{root}/"), inside).alias("path"), "length",
-                    text.decode_text(F.col("content")).alias("content")))
+    found = (spark.read.format("binaryFile")
+             .option("recursiveFileLookup", "true")
+             .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+             .load(directory))
+    found = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
+    return (found.select(F.lit(root).alias("root"), F.concat(F.lit(f"{root}/"), inside).alias("path"), "length",
+                         text.decode_text(F.col("content")).alias("content")))
 
 
 def union_roots(*files: DataFrame) -> DataFrame:

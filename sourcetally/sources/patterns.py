@@ -28,6 +28,10 @@ class Patterns:
             raise ValueError(f"{len(self.rows)} patterns: a dictionary may have {MAX_PATTERNS}")
         if any(not 0 <= r[5] < MAX_PATTERNS for r in self.rows):
             raise ValueError(f"ord must be between 0 and {MAX_PATTERNS}")
+        weights: dict = {}
+        for r in self.rows:
+            if weights.setdefault((r[0], r[1]), (r[4], r[5])) != (r[4], r[5]):
+                raise ValueError(f"{r[0]} {r[1]!r} has two weights or positions")
 
     def literals(self, kind: str, *families: str) -> list[str]:
         """Distinct patterns of one kind: each is searched once, whoever shares it."""
