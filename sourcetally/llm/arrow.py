@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,51 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def words_of(texts: list[str] | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space of each text: (codes of all words in order, the distinct
     words, number of words of each text)."""
-    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
     words = lists.flatten()
     filled = pc.not_equal(words, "")
     before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False), dtype=np.int64)])
     counts = np.diff(before[lists.offsets.to_numpy()])
     coded = words.filter(filled).dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary, counts
+
+
+class Remembered:
+    """Ids of words, found by ``find`` as (sizes, flat ids, a number for each).  Words that occur more
+    than once in a batch are remembered for the life of the Python worker, up to ``limit`` of them, so
+    memory is bounded; the others are found again in each batch."""
+
+    def __init__(self, find: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 250_000):
+        self.find, self.limit = find, limit
+        self.rows: dict[str, int] = {}
+        self.sizes, self.flat, self.numbers = find([])
+
+    def __call__(self, words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, numbers) of ``words``, and the ids that the starts point into.  ``codes``
+        names the words of a batch in order; those that occur often come first where room is short."""
+        row = np.array([self.rows.get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(row < 0)
+        known = len(self.sizes)
+        often = np.zeros(0, np.int64)
+        if known < self.limit and len(missing):
+            times = np.bincount(codes, minlength=len(words))[missing]
+            missing = missing[np.argsort(-times, kind="stable")]
+            often = missing[:min(self.limit - known, int((times > 1).sum()))]
+        sizes, flat, numbers = self.find([words[i] for i in missing.tolist()])
+        row[missing] = known + np.arange(len(missing))
+        all_sizes, all_numbers, all_flat = (np.concatenate(x) for x in ((self.sizes, sizes), (self.numbers, numbers), (self.flat, flat)))
+        if len(often):
+            self.rows.update(zip([words[i] for i in often.tolist()], range(known, known + len(often))))
+            self.sizes, self.numbers = all_sizes[:known + len(often)].copy(), all_numbers[:known + len(often)].copy()
+            self.flat = all_flat[:int(self.sizes.sum())].copy()
+        return (np.cumsum(all_sizes) - all_sizes)[row], all_sizes[row], all_numbers[row], all_flat
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends

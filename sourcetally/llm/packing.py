@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 from collections.abc import Iterator
 from zlib import crc32
@@ -14,39 +15,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sourcetally.llm.arrow import byte_slices, words_of
+from sourcetally.llm.arrow import Remembered, byte_slices, gathered, words_of
 from sourcetally.session import stored
 
-ROOM, BLOCK, END = 2048, 8192, 0
-ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 4, 3, 12, 6
+ROOM, BLOCK, END, CALL_WORDS = 2048, 8192, 0, 8192
+ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 3, 2, 8, 6
 
 
 # --- pieces -------------------------------------------------------------------------------------
 
+class Tokenizer:
+    """The tokenizer at ``path``, word by word.  That is right only if white space is no part of any
+    token, which is checked on a few strings, as is what the short cuts below rest on."""
+
+    def __init__(self, path: str):
+        import tokenizers
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.mark, self.marker = marks[0] if marks else (-1, "")
+        for left, right in (("It's", "we'll"), ("a", "'s"), ("1", "2"), ("<|end", "oftext|>"), ("é!", "́x"), ("Σ", "Σ")):
+            for space in (" ", "\n", "\t\r ", "\x0b", "\x0c"):
+                if self.ids(left + space + right) != self.ids(left) + self.ids(right):
+                    raise ValueError("this tokenizer does not encode words independently of white space")
+        self.folds = all(self.ids(a) == self.ids(b) + self.ids(c) for a, b, c in (("Word,", "word", ","), ("THE...", "the", "..."), ("x.,", "x", ".,")))
+        self.words = Remembered(self.find)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word.  Many go in one call with a special token between them, which parts them
+        and whose id shows where; words that might hold a special token go alone."""
+        out: list[list[int]] = [[]] * len(words)
+        alone = [i for i, w in enumerate(words) if self.mark < 0 or "<" in w or ">" in w or "|" in w]
+        apart = set(alone)
+        rest = [i for i in range(len(words)) if i not in apart]
+        for at in range(0, len(alone), CALL_WORDS):
+            for i, e in zip(alone[at:at + CALL_WORDS], self.tokenizer.encode_batch_fast([words[i] for i in alone[at:at + CALL_WORDS]], add_special_tokens=False)):
+                out[i] = e.ids
+        for at in range(0, len(rest), 64 * 64):
+            groups = [rest[k:k + 64] for k in range(at, min(len(rest), at + 64 * 64), 64)]
+            calls = self.tokenizer.encode_batch_fast([self.marker.join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+            for group, call in zip(groups, calls):
+                ids = call.ids
+                begin = 0
+                for i in group[:-1]:
+                    end = ids.index(self.mark, begin)
+                    out[i] = ids[begin:end]
+                    begin = end + 1
+                out[group[-1]] = ids[begin:]
+        return out
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.encoded(words)
+        sizes = np.array([len(f) for f in found], np.int64)
+        return sizes, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), np.zeros(len(found))
+
+    def plain(self, texts: list[str]) -> pa.Array:
+        """The texts with fewer distinct words and the same ids: A-Z as a-z, and a space between a
+        letter and the marks that end a word, which are tokens of their own.  Texts that might hold
+        a special token stay as they are."""
+        given = pa.array(texts, pa.large_string())
+        if not self.folds:
+            return given
+        apart = pc.replace_substring_regex(pc.ascii_lower(given), r"([a-z])([.,!?;:]+)([ \t\r\n]|$)", r"\1 \2\3")
+        return pc.if_else(pc.match_substring(given, "<|"), given, apart)
+
+
 @functools.cache
-def word_tokenizer(path: str):
-    """The tokenizer at ``path``, read once per Python worker.  Words may be encoded one by one only
-    if white space is no part of any token: checked on a few strings."""
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    for left, right in (("It's", "we'll"), ("a", "'s"), ("1", "2"), ("<|end", "oftext|>"), ("é!", "́x"), ("Σ", "Σ")):
-        for space in (" ", "\n", "\t\r ", "\x0b", "\x0c"):
-            if ids(left + space + right) != ids(left) + ids(right):
-                raise ValueError("this tokenizer does not encode words independently of white space")
-    return tokenizer
-
-
-def token_ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
-    """Token ids of each text, END last.  Each distinct word of the batch is encoded once."""
-    codes, words, counts = words_of(texts)
-    encoded = tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False) if len(words) else []
-    sizes = np.array([len(e) for e in encoded], np.int64)
-    flat = np.concatenate([np.asarray(e.ids, np.uint32) for e in encoded]) if len(encoded) and sizes.sum() else np.zeros(0, np.uint32)
-    each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-    ends = np.cumsum(each)
-    begin = (np.cumsum(sizes) - sizes)[codes] if len(codes) else each
-    ids = flat[np.repeat(begin - (ends - each), each) + np.arange(each.sum())]
+def word_tokenizer(path: str) -> Tokenizer:
+    """The tokenizer at ``path``, read once per Python worker."""
+    return Tokenizer(path)
+
+
+def token_ids(tokenizer: Tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """Token ids of each text, END last."""
+    codes, words, counts = words_of(tokenizer.plain(texts))
+    starts, sizes, _, flat = tokenizer.words(words.to_pylist(), codes)
+    ids, ends = gathered(flat, starts[codes], sizes[codes])
     cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
     return [np.append(ids[a:b], np.uint32(END)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
@@ -60,7 +106,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for batch in batches:
-            for part in byte_slices(batch, "text", 16 << 20):
+            for part in byte_slices(batch, "text", 24 << 20):
                 row, piece, length, check = [], [], [], []
                 for i, ids in enumerate(token_ids(tokenizer, [t or "" for t in part.column("text").to_pylist()])):
                     raw = memoryview(ids.astype("<u4").tobytes())
@@ -79,18 +125,19 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 # --- the genetic algorithm on one block ------------------------------------------------------------
 
-Bins = list[list[int]]
+#: A bin is (load, items); bins are never changed, so packings share those they have in common.
+Bin = tuple[int, tuple[int, ...]]
+Bins = list[Bin]
 
 
 def best_fit(items: list[int], sizes: list[int], bins: Bins, room: int) -> Bins:
     """Put each item, in order, where the least room is left over; open a bin where none has room.
     ``waiting`` has a bit for every residual that some bin has, so a search is one shift."""
     by_room: dict[int, list[int]] = {}
-    waiting = 0
-    for b, held in enumerate(bins):
-        left = room - sum(sizes[i] for i in held)
-        by_room.setdefault(left, []).append(b)
-        waiting |= 1 << left
+    for b, (load, _) in enumerate(bins):
+        by_room.setdefault(room - load, []).append(b)
+    waiting = sum(1 << left for left in by_room)
+    loads, added = [load for load, _ in bins], {}
     for i in items:
         size = sizes[i]
         above = waiting >> size
@@ -99,48 +146,57 @@ def best_fit(items: list[int], sizes: list[int], bins: Bins, room: int) -> Bins:
             same = by_room[left]
             b = same.pop()
             if not same:
+                del by_room[left]
                 waiting ^= 1 << left
-            bins[b].append(i)
         else:
-            left, b = room, len(bins)
-            bins.append([i])
+            left, b = room, len(loads)
+            loads.append(0)
+        if b in added:
+            added[b].append(i)
+        else:
+            added[b] = [i]
+        loads[b] += size
         left -= size
         if left in by_room:
             by_room[left].append(b)
         else:
             by_room[left] = [b]
-        waiting |= 1 << left
-    return bins
+            waiting |= 1 << left
+    out = list(bins) + [(0, ())] * (len(loads) - len(bins))
+    for b, more in added.items():
+        out[b] = (loads[b], (*out[b][1], *more))
+    return out
 
 
-def fitness(bins: Bins, sizes: list[int], room: int) -> tuple[int, float]:
+def fitness(bins: Bins, room: int) -> tuple[int, float]:
     """Fewer bins are better, then unequal fill: squares favour bins that are full or nearly empty."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / room) ** 2 for b in bins)
+    return len(bins), -sum(load * load for load, _ in bins) / (room * room)
 
 
 def crossover(giver: Bins, taker: Bins, sizes: list[int], room: int, rng: random.Random) -> Bins:
     """Inject whole well-filled bins of ``giver`` into ``taker``: bins of the taker that share an item
     with them go, and what was only in those is placed by best fit, largest first."""
-    ranked = sorted(giver, key=lambda b: (-sum(sizes[i] for i in b), rng.random()))
-    chosen = [b for b in ranked[:max(1, 2 * len(ranked) // 3)] if rng.random() < 0.5] or ranked[:1]
-    taken = {i for b in chosen for i in b}
-    kept, displaced = [list(b) for b in chosen], []
+    ranked = sorted(giver, key=lambda b: -b[0])
+    share = rng.uniform(0.05, 0.4)
+    chosen = [b for b in ranked[:max(1, 2 * len(ranked) // 3)] if rng.random() < share] or ranked[:1]
+    taken = {i for _, held in chosen for i in held}
+    kept, displaced = list(chosen), []
     for b in taker:
-        if taken.isdisjoint(b):
-            kept.append(list(b))
+        if taken.isdisjoint(b[1]):
+            kept.append(b)
         else:
-            displaced += [i for i in b if i not in taken]
+            displaced += [i for i in b[1] if i not in taken]
     displaced.sort(key=lambda i: (-sizes[i], i))
     return best_fit(displaced, sizes, kept, room)
 
 
-def mutate(bins: Bins, sizes: list[int], room: int, rng: random.Random) -> Bins:
-    """Empty the least filled bin and a few others, and place their items again."""
-    ranked = sorted(bins, key=lambda b: sum(sizes[i] for i in b))
-    gone = ranked[:1] + rng.sample(ranked[1:], min(len(ranked) - 1, 1 + len(ranked) // 50))
-    lost = {id(b) for b in gone}
-    items = sorted((i for b in gone for i in b), key=lambda i: (-sizes[i], rng.random()))
-    return best_fit(items, sizes, [list(b) for b in bins if id(b) not in lost], room)
+def mutate(bins: Bins, sizes: list[int], room: int, rng: random.Random, share: float = 0.02) -> Bins:
+    """Empty the least filled bin, half of those that are not full and a share of the others, and
+    place their items again, largest first but for some noise."""
+    last = min(range(len(bins)), key=lambda b: bins[b][0])
+    gone = {last, *(b for b in range(len(bins)) if rng.random() < (share if bins[b][0] == room else 0.5))}
+    items = sorted((i for b in gone for i in bins[b][1]), key=lambda i: -sizes[i] * rng.uniform(0.9, 1.1))
+    return best_fit(items, sizes, [b for n, b in enumerate(bins) if n not in gone], room)
 
 
 def least_bins(sizes: list[int], room: int) -> int:
@@ -153,12 +209,12 @@ def decreasing(sizes: list[int], room: int) -> Bins:
 
 
 def evolve(population: list[Bins], sizes: list[int], room: int, seed: str, generations: int = GENERATIONS, members: int = MEMBERS) -> list[Bins]:
-    """The population after some generations, best first; ends early at the least number of bins."""
+    """The population after some generations, best first; ends early at the least number of bins.
+    A population that is too small is filled up with strongly mutated members."""
     rng = random.Random(seed)
-    while len(population) < members:
-        order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.7, 1.3))
-        population = [*population, best_fit(order, sizes, [], room)]
-    rate = lambda bins: fitness(bins, sizes, room)
+    started = len(population)
+    population = [*population, *(mutate(population[k % started], sizes, room, rng, 0.15) for k in range(members - started))]
+    rate = lambda bins: fitness(bins, room)
     population = sorted(population, key=rate)
     floor = least_bins(sizes, room)
     for _ in range(generations):
@@ -177,17 +233,17 @@ def evolve(population: list[Bins], sizes: list[int], room: int, seed: str, gener
 
 def _number(bins: Bins, count: int) -> list[int]:
     out = [0] * count
-    for b, held in enumerate(bins):
+    for b, (_, held) in enumerate(bins):
         for i in held:
             out[i] = b
     return out
 
 
-def _read(bin_of: list[int]) -> Bins:
+def _read(bin_of: list[int], sizes: list[int]) -> Bins:
     out: dict[int, list[int]] = {}
     for i, b in enumerate(bin_of):
         out.setdefault(b, []).append(i)
-    return list(out.values())
+    return [(sum(sizes[i] for i in held), tuple(held)) for held in out.values()]
 
 
 def pack(items: DataFrame, room: int = ROOM, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS,
@@ -230,7 +286,7 @@ def pack(items: DataFrame, room: int = ROOM, block: int = BLOCK, islands: int =
             native = table.filter(table["native"])
             count, sizes = len(native), native["size"].to_pylist()
             assigned = table["bin"].to_pylist()
-            population = [_read(assigned[at:at + count]) for at in range(0, len(assigned), count)]
+            population = [_read(assigned[at:at + count], sizes) for at in range(0, len(assigned), count)]
             best = evolve(population, sizes, room, f"{number}/{island}/{epoch}")[0]
             return made(native, number, island, best, native["floor"][0].as_py())
         return run
