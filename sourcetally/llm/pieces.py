@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from sourcetally.llm.arrow import byte_slices
+from sourcetally.llm.arrow import Remembered, byte_slices, gathered
 
 MARK = "▁"
 #: Units up to so many bytes are searched side by side, longer ones one at a time.
@@ -82,8 +83,8 @@ class Pieces:
     """A vocabulary with log scores, a piece for each byte, and white space shown as MARK."""
 
     def __init__(self, names: list[str], scores: list[float], byte_ids: list[int], unknown: int, skipped: frozenset[int] = frozenset()):
-        apart = {*skipped, *byte_ids, unknown}
-        plain = [i for i in range(len(names)) if i not in apart]
+        self.names, apart = names, {*skipped, *byte_ids, unknown}
+        self.plain = plain = [i for i in range(len(names)) if i not in apart]
         self.trie = Trie({names[i].encode(): i for i in reversed(plain) if names[i]})
         self.scores = np.array(scores, np.float64)
         self.apart = not any(MARK in names[i].lstrip(MARK) for i in plain)
@@ -140,7 +141,7 @@ class Pieces:
             at = origin[at]
         return ids, best[count]
 
-    def _side_by_side(self, units: list[bytes]) -> list[tuple[list[int], float]]:
+    def _side_by_side(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same for many short units at once: one step of the trie moves all of them."""
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         sizes = np.array([len(u) for u in units])
@@ -182,14 +183,29 @@ class Pieces:
                 better = sums > best[end, where]
                 where, end = where[better], end[better]
                 best[end, where], origin[end, where], piece[end, where] = sums[better], i, -1
-        out = []
-        for k, (unit, size) in enumerate(zip(units, sizes.tolist())):
-            back, from_, ids, at = piece[:, k].tolist(), origin[:, k].tolist(), [], size
-            while at:
-                ids.append(back[at] if back[at] >= 0 else self._spelled(unit[from_[at]:at]))
-                at = from_[at]
-            out.append(([y for x in reversed(ids) for y in (x if isinstance(x, list) else (x,))], float(best[size, k])))
-        return out
+        return *self._back(units, sizes, origin, piece), best[sizes, np.arange(count)]
+
+    def _back(self, units, sizes, origin, piece) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit and all ids, along the best paths, read from the ends of all
+        units at once."""
+        at, who, steps = sizes.copy(), np.flatnonzero(sizes), []
+        while len(who):
+            begin = origin[at[who], who]
+            steps.append((who, piece[at[who], who], begin, at[who]))
+            at[who] = begin
+            who = who[begin > 0]
+        who, number, begin, end = (np.concatenate(x) for x in zip(*reversed(steps)))
+        order = np.argsort(who, kind="stable")
+        who, number, begin, end = who[order], number[order], begin[order], end[order]
+        lost = np.flatnonzero(number < 0)
+        spelled = [self._spelled(units[who[k]][begin[k]:end[k]]) for k in lost.tolist()]
+        width = np.ones(len(who), np.int64)
+        width[lost] = [len(x) for x in spelled]
+        flat = np.repeat(number, width)
+        first = np.cumsum(width) - width
+        for k, ids in zip(lost.tolist(), spelled):
+            flat[first[k]:first[k] + len(ids)] = ids
+        return np.bincount(who, width, len(units)).astype(np.int64), flat
 
     @functools.cached_property
     def lists(self):
@@ -199,18 +215,28 @@ class Pieces:
     def score_list(self):
         return self.scores.tolist()
 
-    def encode_units(self, units: list[str]) -> list[tuple[list[int], float]]:
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each unit, all ids in order, and the score of each unit."""
         raw = [u.replace(" ", MARK).encode() for u in units]
-        out: list = [None] * len(raw)
-        order = sorted((i for i in range(len(raw)) if len(raw[i]) <= SHORT), key=lambda i: len(raw[i]))
-        for at in range(0, len(order), SIDE):
-            rows = order[at:at + SIDE]
-            for i, found in zip(rows, self._side_by_side([raw[i] for i in rows])):
-                out[i] = found
-        for i, unit in enumerate(raw):
-            if out[i] is None:
-                out[i] = self._one(unit)
-        return out
+        length = np.array([len(r) for r in raw], np.int64)
+        starts, sizes, scores = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64), np.zeros(len(raw))
+        parts, held = [np.zeros(0, np.int32)], 0
+
+        def add(rows, counts, ids, sums):
+            nonlocal held
+            starts[rows], sizes[rows], scores[rows] = held + np.cumsum(counts) - counts, counts, sums
+            parts.append(ids)
+            held += len(ids)
+
+        order = np.argsort(length, kind="stable")
+        short = order[length[order] <= SHORT]
+        for at in range(0, len(short), SIDE):
+            rows = short[at:at + SIDE]
+            add(rows, *self._side_by_side([raw[i] for i in rows.tolist()]))
+        for i in order[len(short):].tolist():
+            ids, score = self._one(raw[i])
+            add(np.array([i]), np.array([len(ids)]), np.array(ids, np.int32), score)
+        return sizes, gathered(np.concatenate(parts), starts, sizes)[0], scores
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids and the sum of log scores of each text.  A text is marked at its start and falls into
@@ -218,22 +244,21 @@ class Pieces:
         so each distinct unit of the batch is searched once; a vocabulary where one could takes each
         text as one unit."""
         found = [[] if not t else UNIT.findall(" " + t) if self.apart else [" " + t] for t in texts]
-        counts = np.array([len(f) for f in found], np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(f) for f in found])])
         coded = pa.array([u for f in found for u in f], pa.large_string()).dictionary_encode()
-        codes, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        best = self.encode_units(units)
-        sizes = np.array([len(ids) for ids, _ in best], np.int64)
-        flat = np.fromiter((i for ids, _ in best for i in ids), np.int32, int(sizes.sum()))
-        score = np.array([s for _, s in best])
-        each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        ends = np.cumsum(each)
-        starts = (np.cumsum(sizes) - sizes)[codes] if len(codes) else each
-        ids = flat[np.repeat(starts - (ends - each), each) + np.arange(each.sum())]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
+        del found
+        codes = coded.indices.to_numpy()
+        starts, sizes, score, flat = self.units(coded.dictionary.to_pylist(), codes)
+        ids, ends = gathered(flat, starts[codes], sizes[codes])
         cuts = np.concatenate([[0], ends])[bounds].tolist()
-        sums = np.array([float(score[codes[a:b]].sum()) for a, b in zip(bounds.tolist(), bounds[1:].tolist())])
+        each = score[codes]
+        sums = np.array([float(each[a:b].sum()) for a, b in zip(bounds.tolist(), bounds[1:].tolist())])
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])], sums
 
+    @functools.cached_property
+    def units(self) -> Remembered:
+        return Remembered(self.encode_units)
+
     def decode(self, ids: list[int]) -> str:
         """Pieces in a row, markers as spaces, runs of byte pieces as UTF-8 (ill-formed ones become
         U+FFFD), without the marker of the start.  Numbers outside the vocabulary are unknown pieces."""
@@ -269,7 +294,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)
         for batch in batches:
-            for part in byte_slices(batch, "text", 16 << 20):
+            for part in byte_slices(batch, "text"):
                 ids, sums = pieces.encode([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
