@@ -21,8 +21,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score reaches the threshold."""
-    model = toxicity.learn(catalog.labelled(spark, sf_dir))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.score(docs, catalog.toxicity_model(spark, sf_dir)).where(F.col("predicted") == 0).select(*docs.columns)
 
 
 def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,16 +33,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with a toxic label that may be learnt from."""
-    labels = table(spark, sf_dir, "labels").where(~language.held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:
+    labels = table(spark, sf_dir, "labels").where(~language.held_out("doc_id"))
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(labelled(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language.held_out("doc_id"))
-    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+    return toxicity.score(docs, toxicity_model(spark, sf_dir), keep=["doc_id", "held_out"])
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ a sentence names."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,7 @@ TEXTS = 4000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def word_features(word: str) -> frozenset[int]:
     """Hashed features of what stands between two white spaces: each run of letters, and its first
     four and five letters, which stand for its inflections."""
@@ -141,27 +143,33 @@ def fit(features: list, label: np.ndarray, weight: np.ndarray, changes: list, ba
     return Classifier({int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, float(c))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", texts: int = TEXTS, families=IDENTITY_TERMS, **fitting) -> Classifier:
-    """Fit a classifier to a bounded sample of ``labelled``: about ``texts`` texts of each class,
-    chosen by a hash of the text.  Each stands for as many as were not chosen, so that the score
-    stays a probability.  Rows without a label are left out; a null text counts as empty."""
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) != 0).cast("int").alias("label")).where("label is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = TEXTS,
+          families=IDENTITY_TERMS, **fitting) -> Classifier:
+    """Fit a classifier to the texts of ``docs`` that a bounded sample of ``labels`` (id, label) names:
+    about ``texts`` rows of each class and never over 2 * ``texts`` * classes, by a hash of the id.
+    Each stands for as many as were not chosen, so that the score stays a probability.  Only the
+    sample's ids are sent to the documents.  Rows without an id or a label are left out; a null text
+    counts as empty; without any row the score is the same for all.
+    """
+    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label")).where("label is not null")
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     scale = 1_000_000
     share = {k: min(scale, texts * scale // n + 1) for k, n in counts.items()}
     if not share:
         return Classifier()
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(scale)) < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("label")])
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(scale)) < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("label")])
+    chosen = chosen.orderBy(F.xxhash64("id", F.lit("order")), "id", "label").limit(2 * texts * len(share))
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    schema = "place long, label int, features array<int>, changes array<array<int>>"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 found = _features_of(part.column("text").to_pylist(), families)
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([f for f, _ in found], pa.list_(pa.int32())),
-                                                  pa.array([c for _, c in found], pa.list_(pa.list_(pa.int32())))], ["label", "features", "changes"])
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("label"), pa.array([f for f, _ in found], pa.list_(pa.int32())),
+                                                  pa.array([c for _, c in found], pa.list_(pa.list_(pa.int32())))], ["place", "label", "features", "changes"])
 
-    got = (sample.orderBy(F.xxhash64("text", F.lit("order")), "label", "text").limit(2 * texts * len(share))
-           .mapInArrow(features, "label int, features array<int>, changes array<array<int>>").toArrow().combine_chunks())
+    got = sample.select(F.xxhash64("id", "text").alias("place"), "label", "text").mapInArrow(features, schema).toArrow().sort_by("place").combine_chunks()
     label = got["label"].to_numpy()
     lists = got["features"].combine_chunks()
     bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
