@@ -10,17 +10,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from sourcetally.llm.arrow import byte_slices, words_of
+from sourcetally.llm.blocks import blocks_of, dealt, roots, sides, together
 from sourcetally.llm.graph import components
 from sourcetally.llm.rows import one_row_an_id
 from sourcetally.session import stored
 
 #: Values in a band; chance that a linked pair meets in no band; bytes of the sketch that rules pairs out.
 ROWS, MISS, SKETCH = 8, 1e-7, 256
+#: Sets of a group that meet in one task; distinct shingles that are compared at a time.
+CHUNK, COLUMNS = 256, 4096
+#: Ids that are sent to every task at most: 8 bytes each.
+SENT = 4_000_000
 SEED = 20_240_229
 
 
@@ -140,15 +145,95 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: Fraction) -> DataFrame:
     return both.where(fitting).select("a", "b", "s_a", "s_b").mapInArrow(compare, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+def sets_for(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents that ``ids`` (id) names, written.  Up to SENT ids are sent to
+    the texts; more are joined, which moves the texts."""
+    ids = stored(ids.distinct(), "minhash-wanted")
+    side = F.broadcast(ids) if ids.count() <= SENT else ids
+    return stored(sets_of(docs.join(side, "id", "left_semi"), words), "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) whose full sets are as similar as the threshold says."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(docs.join(needed, "id", "left_semi"), words), "minhash-sets")
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
     measured = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
-    return measured.where(F.col("common") * threshold.denominator >= (F.col("sizes") - F.col("common")) * threshold.numerator).select("a", "b")
+    return measured.where(reaches(F.col("common"), F.col("sizes"), threshold)).select("a", "b")
+
+
+def reaches(common: Column, sizes: Column, threshold: Fraction) -> Column:
+    """Whether ``common`` shingles of two sets of ``sizes`` together are enough."""
+    return common * threshold.denominator >= (sizes - common) * threshold.numerator
+
+
+def shareable(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(id, n, most): of each set its size and how much of it any other of ``sets`` can have, without
+    the sets that can reach the threshold with none.  What only one set has, no pair has in common;
+    that holds again among the sets that are left, so it is done twice."""
+    for _ in range(2):
+        single = (sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle")
+                  .agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("own")))
+        sized = sets.select("id", "shingles", F.size("shingles").cast("long").alias("n")).join(single, "id", "left")
+        sets = stored(sized.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(reaches(F.col("most"), F.col("n") + F.col("most"), threshold)), "minhash-shareable")
+    return sets.select("id", "n", "most")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set.  Shingles of one set alone can't
+    count; the others are columns of two 0/1 matrices, taken COLUMNS at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right)) if left is not right else np.unique(np.concatenate(left))
+    row, column = ([np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x)] for x in (left, right))
+    place = []
+    for rows, values in (row, column):
+        at = np.searchsorted(both, values)
+        there = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == values) if len(both) else np.zeros(0, np.int64)
+        order = there[np.argsort(at[there], kind="stable")]
+        place.append((rows[order], at[order]))
+    for begin in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - begin)
+        parts = []
+        for (rows, at), count in zip(place, out.shape):
+            a, b = np.searchsorted(at, [begin, begin + width])
+            ones = np.zeros((count, width), np.float32)
+            ones[rows[a:b], at[a:b] - begin] = 1
+            parts.append(ones)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def links_in_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b) for members (key, low, high, side, id, shingles): a link from each set to the smallest
+    id that links between full sets lead to within its block."""
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks_of(batches):
+            ids, side = (block.column(n).to_numpy() for n in ("id", "side"))
+            sets = [np.asarray(x, np.int64) for x in block.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            one, other = sides(side)
+            if not len(one) or not len(other):
+                continue
+            alone = (side == 2).all()
+            left = [sets[i] for i in one]
+            common = common_counts(left, left if alone else [sets[i] for i in other])
+            linked = common * threshold.denominator >= (size[one][:, None] + size[other] - common) * threshold.numerator
+            a, b = np.nonzero(linked & (ids[one][:, None] != ids[other]))
+            root = roots(ids, one[a], other[b])
+            moved = pa.array(root != ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(moved), pa.array(root, pa.int64()).filter(moved)], schema.names)
+
+    return together(members.withColumn("id", F.col("id").cast("long"))).mapInArrow(compare, schema)
+
+
+def mixed_members(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (key, id, component, ..) whose bucket has several components, with ``main``,
+    the one with the most rows."""
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(mixed.select("key", F.col("main.component").alias("main")), "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text",
@@ -158,10 +243,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
 
     Two documents are linked if the intersection of their sets is at least ``threshold`` of the
     union.  Texts with equal sets are one class and take part as one, so copies make no pairs.
-    Classes meet in bands of the signature; first each is checked against the smallest id it meets,
-    only the likeliest one; then all pairs that share a band and are not connected yet.  A link
-    between different sets is missed with a chance of MISS at most; no wrong one stands, as full
-    sets decide.
+    Classes meet in bands of the signature.  First each is checked against the smallest id it meets,
+    only the likeliest one.  Where a bucket still holds several components, its members are compared
+    with each other, once for all buckets with the same largest component, in blocks that give a
+    link per set and no row per pair; sets that can't reach the threshold with any other are spared.  A link between different sets is missed with
+    a chance of MISS at most; no wrong one stands, as full sets decide.
 
     A null or empty text, or one without words, has size 0 and no links.  Rows without an id are
     left out; of rows that share an id one counts, as in ``one_row_an_id``.
@@ -177,21 +263,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
 
     stars = members.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     best = likely(stars, reps, threshold).groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = stored(confirmed(stored(best, "minhash-best"), docs, words, threshold), "minhash-links")
+    best = stored(best, "minhash-best")
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = stored(confirmed(best, sets_for(ends(best), docs, words), threshold), "minhash-links")
     joined = components(links)
 
     placed = stored(members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "minhash-placed")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = stored(placed.join(mixed.select("key", F.col("main.component").alias("main")), "key"), "minhash-mixed")
-    outside = mixed.where("component != main").select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    others = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    open_pairs = (outside.join(others, "key").where((F.col("of_a") != F.col("of_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    rest = stored(likely(open_pairs, reps, threshold).select("a", "b"), "minhash-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, docs, words, threshold))
-        joined = components(stored(links, "minhash-links"))
+    sets = sets_for(mixed_members(placed).select("id"), docs, words)
+    able = shareable(sets, threshold)
+    groups = mixed_members(placed.join(able, "id")).select("id", F.col("main").alias("key")).distinct()
+    more = stored(links_in_blocks(dealt(groups, CHUNK).join(sets, "id"), threshold), "minhash-more")
+    if not more.isEmpty():
+        joined = components(stored(links.unionByName(more), "minhash-links"))
 
     of_class = stored(classes.join(joined, classes["rep"] == joined["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "minhash-result")
     return (signed.select("id", "digest", F.col("n").alias("n_shingles")).join(of_class, "digest", "left")

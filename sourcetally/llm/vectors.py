@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from sourcetally.llm.blocks import blocks_of, dealt, roots, sides, together
 from sourcetally.llm.graph import components
 from sourcetally.session import stored
 
@@ -86,22 +87,14 @@ def linked_in_block(ids, copies, units, keys, side, key: int, threshold: float):
     side 0 and 1 are compared with each other; 2 marks a chunk that is compared with itself.  A pair
     that shares several buckets counts in the first one by the list of the smaller id.
     """
-    left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+    left, right = sides(side)
     alike = units[left] @ units[right].T >= threshold
     alike &= ids[left][:, None] != ids[right]
     a, b = np.nonzero(alike)
     a, b = left[a], right[b]
     if not len(a):
         return ids[:0], copies[:0], ids[:0]
-    root = ids.copy()
-    while True:
-        low = np.minimum(root[a], root[b])
-        after = root.copy()
-        np.minimum.at(after, a, low)
-        np.minimum.at(after, b, low)
-        if (after == root).all():
-            break
-        root = after
+    root = roots(ids, a, b)
     if (side == 2).all():                                    # each pair came both ways
         one = ids[a] < ids[b]
         a, b = a[one], b[one]
@@ -168,18 +161,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
 
     points = stored(reps.mapInArrow(hashed, schema), "vectors-points")
     entries = points.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    busy = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    chunked = entries.join(busy, "key").withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
-    met = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = chunked.select("id", "key", "chunk", met.alias("other")).select(
-        "id", "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
-    blocks = dealt.join(points, "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    blocks = together(dealt(entries, CHUNK).join(points, "id"))
     found_schema = StructType([StructField("id", LongType()), StructField("links", LongType()), StructField("root", LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "low", "high", "side", "id", "copies")
-        for group in groups_of(batches, ("key", "low", "high")):
+        for group in blocks_of(batches):
             column = {n: group.column(n).to_numpy() for n in names}
             units, keys = (np.array(group.column(n).to_pylist()) for n in ("vector", "keys"))
             found = linked_in_block(column["id"], column["copies"], units, keys, column["side"], int(column["key"][0]), threshold)
@@ -200,24 +187,3 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows at length one; scaled first, so that neither tiny nor huge values are lost."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in ``names``, across batches.  Only the last run is held back."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        columns = [batch.column(n).to_numpy() for n in names]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        bounds = [0, *change.tolist(), len(batch)]
-        for a, b in zip(bounds, bounds[1:]):
-            name = tuple(c[a] for c in columns)
-            if held and name != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = name
-    if held:
-        yield pa.Table.from_batches(held)
