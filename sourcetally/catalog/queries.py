@@ -7,18 +7,20 @@ Results are flat rows, scores in whole tenths, ties broken by explicit order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import dictionaries as D
-from ..functions import paths as P, scoring, urls
+from ..functions import paths as P, scoring, text, urls
 from ..functions.literals import each
 from ..operators import corpus, features as ft, matching, projects as pj, services as sv, summary as sm
 from ..plans import jobs
-from ..session import spread
+from ..session import spread, stored_folder
 from ..sources import files as src
 from ..sources.patterns import default_patterns
+from ..sources.sinks import write_results
 from . import oracle
 from .corpus_sql import CODE_FILES
 from .oracle import lit, q, q_roots
@@ -669,3 +671,92 @@ def link_spellings(spark, sf):
     addresses = sv.distinct_urls(table(spark, sf, "pages").select(F.lit("web").alias("root"), "url"))
     links = _hrefs(spark, sf).select(F.lit("web").alias("root"), F.regexp_replace("url", "^/", "").alias("pattern")).distinct()
     return (sv.contained_spellings(addresses, links).join(addresses, ["root", "uid"]).select("url", "pattern").distinct())
+
+
+# ---- jobs as a whole, sources and sink --------------------------------------------------------------
+
+@query("SELECT doc_id, text, strlen(text)::BIGINT AS length FROM documents")
+def decode_text(spark, sf):
+    """Raw bytes with a stray byte behind the text of every third document."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    return table(spark, sf, "documents").select("doc_id", text.decode_text(raw).alias("text")).withColumn(
+        "length", F.octet_length("text").cast("bigint"))
+
+
+@query(q("SELECT CASE WHEN contains(path, '/api/') THEN 'one' ELSE 'two' END AS root, path, length FROM files"))
+def union_roots(spark, sf):
+    files = code_files(spark, sf)
+    inside = F.contains(F.col("path"), F.lit("/api/"))
+    return src.union_roots(files.where(inside).withColumn("root", F.lit("one")),
+                           files.where(~inside).withColumn("root", F.lit("two"))).select("root", "path", "length")
+
+
+@query(q("SELECT root, project, project_type, confidence, file_count, is_microservice FROM projects"))
+def written_results(spark, sf):
+    """Projects written by the sink, partitioned by root, and read back."""
+    out = f"{stored_folder(spark)}/results-{uuid.uuid4().hex}"
+    paths = write_results({"projects": scan(spark, sf).projects.drop("framework", "communication", "confidence_factors")}, out)
+    return spark.read.parquet(paths["projects"]).select("root", "project", "project_type", "confidence", "file_count", "is_microservice")
+
+
+@query(q("""SELECT 'score' AS section, project, entry AS item, score10 FROM scores WHERE family = 'framework' AND score10 > 0
+  UNION ALL SELECT 'indicator', project, entry, score10 FROM scores WHERE family = 'microservice'
+  UNION ALL SELECT 'import', project, import, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY project ORDER BY import) AS rank FROM project_imports) WHERE rank <= 30
+  UNION ALL SELECT 'extension', project, ext, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, ext) AS rank FROM histogram) WHERE rank <= 15"""))
+def project_report(spark, sf):
+    """Four tables of the project report in one."""
+    made = jobs.project_report_tables(scan(spark, sf, keep=True))
+    part = lambda section, df, item, n: df.select(F.lit(section).alias("section"), "project", F.col(item).alias("item"), F.col(n).cast("bigint").alias("score10"))
+    return (part("score", made["scores"], "name", "score10").unionByName(part("indicator", made["indicators"], "name", "score10"))
+            .unionByName(part("import", made["imports"], "import", "rank")).unionByName(part("extension", made["extensions"], "ext", "rank")))
+
+
+@query(q("SELECT d.root, dimension, key, n, n / t.total * 100 AS pct FROM (SELECT *, row_number() OVER ("
+         "PARTITION BY root, dimension ORDER BY n DESC, key) AS place FROM dist) d "
+         "JOIN (SELECT root, count(*) AS total FROM projects GROUP BY root) t ON t.root = d.root WHERE place <= CASE dimension "
+         + " ".join(f"WHEN {lit(d)} THEN {k}" for d, k in sm.TOP.items()) + " ELSE 1000000 END"))
+def summary_job(spark, sf):
+    return jobs.summary_tables(scan(spark, sf, keep=True))["summary_shown"].select("root", "dimension", "key", "n", "pct")
+
+
+@query(q("""SELECT 'relationship' AS section, source AS a, target AS b, type AS c,
+    row_number() OVER (PARTITION BY root ORDER BY source, target, type) AS no FROM relationships
+  UNION ALL SELECT 'service', pname, project, primary_communication, row_number() OVER (PARTITION BY root ORDER BY pname, project) FROM services"""))
+def service_report(spark, sf):
+    """Two listings of the service report, with their order."""
+    base = scan(spark, sf, keep=True)
+    made = jobs.service_report_tables(base, jobs.detect_microservices(base))
+    part = lambda section, df, *columns: df.select(F.lit(section).alias("section"), *[F.col(c).alias(n) for c, n in zip(columns, "abc")], "no")
+    return part("relationship", made["relationships"], "source", "target", "type").unionByName(
+        part("service", made["services"], "name", "project", "primary_communication"))
+
+
+@query(q("""SELECT root, count(*) AS total_projects, sum(file_count)::BIGINT AS total_files,
+  count(*) FILTER (is_microservice) AS microservices_count, bool_or(is_microservice) AS has_microservices
+  FROM projects GROUP BY root"""))
+def analysis_totals(spark, sf):
+    return jobs.run_analysis(code_files(spark, sf))["totals"]
+
+
+@query(q("SELECT root, name, project, project_type, row_number() OVER (PARTITION BY root ORDER BY name, project) AS no "
+         "FROM (SELECT *, pname AS name FROM projects)"))
+def project_index_unwritten(spark, sf):
+    return sm.project_index(scan(spark, sf).projects, keep=False).select("root", "name", "project", "project_type", "no")
+
+
+_HIDDEN = """WITH t AS (SELECT '.r' AS root, '.r/' || CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN '' WHEN 1 THEN '.hid/' WHEN 2 THEN 'node_modules/'
+    WHEN 3 THEN 'a/.hid/b/' WHEN 4 THEN 'a/b/' WHEN 5 THEN 'a/b/c/d/e/.hid/' ELSE 'a/b/c/d/e/' END || 'f' || CAST(doc_id AS {kind}) || '.py' AS path
+  FROM {documents})"""
+
+
+@query(_HIDDEN.format(kind="VARCHAR", documents="documents") + """,
+  p AS (SELECT *, string_split(path, '/') AS parts FROM t),
+  b AS (SELECT *, coalesce(list_max([i FOR i IN range(2, len(parts)) IF parts[i] = 'node_modules' OR parts[i] LIKE '.%']), 0) AS bad FROM p)
+  SELECT root, path, array_to_string(parts[1:k], '/') AS project FROM b, range(1, 5) r(k) WHERE k < len(parts) AND k > bad""")
+def hidden_root_members(spark, sf):
+    """A root whose own name is hidden, with hidden and ignored directories below it."""
+    files = spark.sql(_HIDDEN.format(kind="STRING", documents="{documents}") + " SELECT * FROM t", documents=table(spark, sf, "documents"))
+    rows = files.withColumns({"length": F.lit(1).cast("bigint"), "content": F.lit("")})
+    return corpus.assign_projects(corpus.kept_files(rows, P.IgnoreRules(match="segment"))).select("root", "path", "project")

@@ -115,26 +115,32 @@ def first_errors(errors: DataFrame, k: int = 20) -> DataFrame:
     return first_with_overflow(errors, [F.asc("file"), F.asc("error")], k)
 
 
-def project_index(projects: DataFrame) -> DataFrame:
-    """Numbered listing by name within each root.
+def numbered(rows: DataFrame, order: list[str], keep: bool = True) -> DataFrame:
+    """Add ``no``: the place of a row in its root by the columns ``order``, from 1.
 
-    The rows are range-partitioned in listing order and pinned; a row's number is its number
-    inside its range plus the sizes of the ranges before it, so no task sees a whole root.
+    The rows fall into ranges in that order; a row's number is its number inside its range plus
+    the sizes of the ranges before it.  With ``keep`` the ranges are Spark's, of like size, and
+    stored, so no task sees a whole root.  Without it nothing is written and a range is what shares
+    the first three characters of the first column.
     """
-    order = ["root", "name", "project"]
-    ranged = stored(projects.select(*order, "project_type", "confidence", "confidence_text")
-                    .repartitionByRange(*order)
-                    .withColumn("part", F.spark_partition_id()), "project_index")
+    if keep:
+        ranged = stored(rows.repartitionByRange("root", *order).withColumn("part", F.spark_partition_id()), "numbered")
+    else:
+        ranged = rows.withColumn("part", F.left(order[0], F.lit(3)))
     sizes = ranged.groupBy("root", "part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(      # rows: at most roots x ranges
         Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = ranged.withColumn("inside", F.row_number().over(
-        Window.partitionBy("root", "part").orderBy("name", "project")))
-    return (numbered.join(before, ["root", "part"])
+    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("root", "part").orderBy(*order)))
+    return (inside.join(before, ["root", "part"])
             .withColumn("no", F.col("inside") + F.coalesce("before", F.lit(0)))
             .drop("part", "inside", "size", "before"))
 
 
+def project_index(projects: DataFrame, keep: bool = True) -> DataFrame:
+    """Numbered listing by name within each root."""
+    return numbered(projects.select("root", "name", "project", "project_type", "confidence", "confidence_text"), ["name", "project"], keep)
+
+
 def multi_root_stats(projects: DataFrame, framework_scores: DataFrame) -> DataFrame:
     """Counts over all roots together, all project dimensions in one pass by grouping sets."""
     dims = ["project_type", "primary_language", "confidence_text"]
@@ -148,34 +154,27 @@ def multi_root_stats(projects: DataFrame, framework_scores: DataFrame) -> DataFr
     return grouped.unionByName(summary_frameworks(framework_scores, by=[]))
 
 
-# ---- listing orders ---------------------------------------------------------------------------
-
-def by_frequency(dist: DataFrame) -> DataFrame:
-    return dist.orderBy(F.desc("n"), "key")
-
-
-def by_confidence_rank(dist: DataFrame) -> DataFrame:
-    return dist.orderBy(scoring.confidence_rank(F.col("key")))
-
-
-def projects_by_name(projects: DataFrame) -> DataFrame:
-    return projects.orderBy("name", "project")
-
+# ---- listing orders: of the report tables, by column ------------------------------------------
 
-def services_by_name(services: DataFrame) -> DataFrame:
-    return services.orderBy("name", "project")
+ORDERS = {
+    "services": ["name", "project"],
+    "relationships": ["source", "target", "type"],
+    "endpoints": ["project", "endpoint", "method", "file"],
+    "call_targets": ["project", "url", "file"],
+}
 
 
-def edges_by_ends(relationships: DataFrame) -> DataFrame:
-    return relationships.orderBy("source", "target", "type")
+def listed(tables: dict[str, DataFrame], keep: bool = True) -> dict[str, DataFrame]:
+    """Tables that have a listing order, with the place of each row as ``no``."""
+    return {name: numbered(table, ORDERS[name], keep) if name in ORDERS else table for name, table in tables.items()}
 
 
-def endpoints_by_path(endpoints: DataFrame) -> DataFrame:
-    return endpoints.orderBy("project", "endpoint", "first")
+def by_frequency(dist: DataFrame) -> DataFrame:
+    return dist.orderBy(F.desc("n"), "key")
 
 
-def calls_by_url(calls: DataFrame) -> DataFrame:
-    return calls.orderBy("project", "url", "file")
+def by_confidence_rank(dist: DataFrame) -> DataFrame:
+    return dist.orderBy(scoring.confidence_rank(F.col("key")))
 
 
 def scores_descending(scores: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Composite jobs: scan, detection, summary and report tables, and the whole run.
 
-A job returns lazy tables.  Results that several tables read (features, tally, service map)
-are written once to the shared scratch folder, so the texts are read exactly once per run and
-a lost executor costs the step, not the run.
+A job returns tables.  Results that several tables read (features, tally, service map) are
+written to the shared scratch folder while the job is called, so the texts are read exactly
+once per run and a lost executor costs the step, not the run; ``analyse`` removes them when its
+results are written.  With ``keep=False`` nothing is written and every table is a lazy plan.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import IgnoreRules
 from ..operators import corpus, features as ft, projects as pj, services as sv, summary as sm
-from ..session import stored
+from ..session import release, stored
 from ..sources.patterns import Patterns, default_patterns
+from ..sources.sinks import write_results
 
 
 @dataclass
@@ -44,8 +46,9 @@ def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: Ign
     return Scan(features, tally, pj.classify_services(pj.classify(pj.project_wide(tally, patterns))))
 
 
-def summary_tables(scan: Scan) -> dict[str, DataFrame]:
-    """One tall table of all distributions, its shares and rankings, totals and the listing."""
+def summary_tables(scan: Scan, keep: bool = True) -> dict[str, DataFrame]:
+    """One tall table of all distributions, its shares and rankings, totals and the listing.  With
+    ``keep`` the distributions and the listing's ranges are stored; without it nothing is written."""
     projects = scan.projects
     parts = {
         "project_type": sm.summary_types(projects),
@@ -58,7 +61,7 @@ def summary_tables(scan: Scan) -> dict[str, DataFrame]:
     tall = None
     for part in parts.values():
         tall = part if tall is None else tall.unionByName(part)
-    dist = stored(tall, "summary")
+    dist = stored(tall, "summary") if keep else tall
     order = [F.desc("n"), F.asc("key")]
     cut = F.coalesce(*[F.when(F.col("dimension") == d, F.lit(k)) for d, k in sm.TOP.items()], F.lit(2**31 - 1))
     ranked = sm.topk_per(dist.where(F.col("dimension").isin(*sm.TOP)), ["root", "dimension"], order,
@@ -68,7 +71,7 @@ def summary_tables(scan: Scan) -> dict[str, DataFrame]:
         "summary": sm.with_share(dist, projects),
         "summary_shown": sm.with_share(shown, projects),
         "totals": sm.summary_totals(projects),
-        "project_index": sm.project_index(projects),
+        "project_index": sm.project_index(projects, keep),
     }
 
 
@@ -127,34 +130,42 @@ def project_report_tables(scan: Scan, max_tree_depth: int = 4, kept: DataFrame |
     }
 
 
-def service_report_tables(scan: Scan, detection: Detection) -> dict[str, DataFrame]:
-    """Tables behind the report of the service architecture."""
+def service_report_tables(scan: Scan, detection: Detection, keep: bool = True) -> dict[str, DataFrame]:
+    """Tables behind the report of the service architecture; listings carry their order as ``no``."""
     d = detection
     chosen = d.services.where("is_microservice").select(*pj.PROJECT)
-    return {
+    return sm.listed({
         "services": sv.service_table(d.services, d.endpoints, d.calls),
         "relationships": d.relationships,
         "diagram_edges": sv.diagram_edges(d.relationships),
         "service_indicators": pj.scores(scan.tally, "microservice").join(chosen, pj.PROJECT, "left_semi"),
         "endpoints": sv.of_services(d.endpoints, d.services).drop("first"),
         "call_targets": sv.call_targets(d.calls, d.services, d.relationships),
-    }
+    }, keep)
 
 
 def run_analysis(files: DataFrame, patterns: Patterns | None = None, rules: IgnoreRules | None = None,
                  max_depth: int = corpus.MAX_DEPTH, engine: str = "automaton",
                  detect: bool = True, max_bytes: int | None = None,
-                 max_content: int | None = None) -> dict[str, DataFrame]:
+                 max_content: int | None = None, keep: bool = True) -> dict[str, DataFrame]:
     """Everything: scan, detection (before the summary, so that the summary counts services),
     summary and report tables."""
-    scan = scan_projects(files, patterns, rules, max_depth, engine, max_bytes=max_bytes, max_content=max_content)
+    scan = scan_projects(files, patterns, rules, max_depth, engine, keep, max_bytes, max_content)
     tables: dict[str, DataFrame] = {}
     if detect:
-        detection = detect_microservices(scan)
+        detection = detect_microservices(scan, keep=keep)
         scan = Scan(scan.features, scan.tally, detection.services)
         tables.update({f"service_{k}" if not k.startswith("service") else k: v
-                       for k, v in service_report_tables(scan, detection).items()})
+                       for k, v in service_report_tables(scan, detection, keep).items()})
     tables.update({f"project_{k}": v for k, v in project_report_tables(scan).items()})
-    tables.update(summary_tables(scan))
+    tables.update(summary_tables(scan, keep))
     tables["stats"] = sm.multi_root_stats(scan.projects, scan.framework_scores)
     return tables
+
+
+def analyse(files: DataFrame, out: str, fmt: str = "parquet", **options) -> dict[str, str]:
+    """``run_analysis`` with its tables written below ``out`` and the intermediate ones removed."""
+    try:
+        return write_results(run_analysis(files, **options), out, fmt)
+    finally:
+        release(files.sparkSession)

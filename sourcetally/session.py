@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,22 +24,37 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.  Only a local session, whose executors share
-    the machine, may fall back to a temporary folder of its own."""
+    """The folder that spark.checkpoint.dir names, or that the session's checkpoints go to.  It must
+    be shared by all executors; without one there is an error, but for a local session, whose
+    executors are this process: that gets a temporary folder until the process ends."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="sourcetally-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def stored_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{scratch_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables, once its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stored_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the scratch folder and read it back: cuts the lineage, survives the
-    loss of executors and, unlike a checkpoint, keeps column pruning for its readers."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    loss of executors and, unlike a checkpoint, keeps column pruning for its readers.  ``release``
+    removes all such tables."""
+    path = f"{stored_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
