@@ -50,16 +50,21 @@ def _matches(column: str, guard: str, form: str, group: int) -> str:
             f"regexp_extract_all({column}, {sql_string(form)}, {group}), {sql_array([])})")
 
 
+def _pairs(column: str, guard: str, form: str, first: int, second: int) -> str:
+    """SQL: structs (m, p) of two groups of every match: the text is read once for the matches,
+    which are short, and those are split.  Forms look at nothing outside their match."""
+    group = lambda n: f"regexp_extract(x, {sql_string(form)}, {n})"
+    return f"transform({_matches(column, guard, form, 0)}, x -> struct({group(first)} AS m, {group(second)} AS p))"
+
+
 def endpoints(column: str) -> Column:
     """Array of struct(form, nth, method, path, framework, type) of the endpoints in a text."""
     def found(number, framework, guard, form, method_group, path_group):
-        paths = _matches(column, guard, form, path_group)
         if method_group:
-            methods = _matches(column, guard, form, method_group)
-            pairs = f"zip_with({methods}, {paths}, (m, p) -> struct(upper(m) AS m, p AS p))"
+            pairs = _pairs(column, guard, form, method_group, path_group)
         else:
-            pairs = f"transform({paths}, p -> struct('UNKNOWN' AS m, p AS p))"
-        return (f"transform({pairs}, (x, i) -> struct({number} AS form, i AS nth, x.m AS method, "
+            pairs = f"transform({_matches(column, guard, form, path_group)}, p -> struct('unknown' AS m, p AS p))"
+        return (f"transform({pairs}, (x, i) -> struct({number} AS form, i AS nth, upper(x.m) AS method, "
                 f"x.p AS path, {sql_string(framework)} AS framework))")
 
     raw = F.expr("concat(" + ", ".join(found(n, *f) for n, f in enumerate(D.ENDPOINT_FORMS)) + ")")
@@ -76,9 +81,10 @@ def endpoints(column: str) -> Column:
 def service_calls(column: str) -> Column:
     """Array of struct(form, nth, url, language) of the likely service calls in a text."""
     def found(number, language, guard, form, groups, prefix):
-        texts = _matches(column, guard, form, groups[0])
         if len(groups) == 2:
-            texts = f"zip_with({texts}, {_matches(column, guard, form, groups[1])}, (a, b) -> a || b)"
+            texts = f"transform({_pairs(column, guard, form, *groups)}, x -> x.m || x.p)"
+        else:
+            texts = _matches(column, guard, form, groups[0])
         return (f"transform({texts}, (u, i) -> struct({number} AS form, i AS nth, "
                 f"{sql_string(prefix)} || u AS url, {sql_string(language)} AS language))")
 

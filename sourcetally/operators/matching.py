@@ -14,7 +14,8 @@ def content_matches(content: Column, literals: list[str], engine: str = "automat
 
     Two exact plans.  ``builtin`` searches literal by literal in the JVM: its cost per byte
     grows with the dictionary.  ``automaton`` reads a text once for all literals, in an Arrow
-    batched function; it is several times faster for the built-in dictionaries (see README).
+    batched function; it is several times faster for the built-in dictionaries (see README), and
+    needs ``ahocorasick`` on the executors.
     """
     if engine == "builtin":
         return text.literal_matches(content, literals)
@@ -28,18 +29,15 @@ def content_matches(content: Column, literals: list[str], engine: str = "automat
 def _automaton(literals: list[str]):
     # One closure, so that it travels to the executors whole and this package need not be there.
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import ahocorasick
-            automaton = ahocorasick.Automaton()
-            for n, p in enumerate(literals):
-                automaton.add_word(p, n)
-            automaton.make_automaton()
-
-            def find(s):
-                return [literals[n] for n in sorted({n for _, n in automaton.iter(s)})]
-        except ImportError:
-            def find(s):
-                return [p for p in literals if p in s]
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for n, p in enumerate(literals):
+            automaton.add_word(p, n)
+        automaton.make_automaton()
+
+        def find(s):
+            return [literals[n] for n in sorted({n for _, n in automaton.iter(s)})]
+
         for batch in batches:
             yield batch.map(find, na_action="ignore")
 

@@ -22,8 +22,9 @@ def project_tally(features: DataFrame, patterns: Patterns | None = None) -> Data
     """Counts and scores of every project in long form, in one pass over the features.
 
     One row per (project, family, name) with ``score10``, and one row with null family per
-    project with the file counts and flags.  Every aggregate combines before the shuffle, so
-    the root, which owns every file, costs one row per task and key.
+    project with the file counts and flags.  Files of one directory belong to the same projects:
+    they are added up first, and only the sums go to every ancestor.  Both aggregates combine
+    before the shuffle, so the root, which owns every file, costs one row per task and key.
     """
     patterns = patterns or default_patterns()
     flags = {"has_main": F.col("has_main"),
@@ -37,11 +38,13 @@ def project_tally(features: DataFrame, patterns: Patterns | None = None) -> Data
         h["family"].alias("family"), h["name"].alias("entry"), F.lit(None).cast("string").alias("lang"),
         *no_flags))
     rows = (features.select("root", "projects", F.explode(F.concat(F.array(facts), scored)).alias("r"))
-            .select("root", each("projects").alias("project"), "r.*"))
-    grouped = rows.groupBy(*PROJECT, "family", "entry").agg(
+            .select("root", "projects", "r.*"))
+    directories = rows.groupBy("root", "projects", "family", "entry").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("lang") == lang).alias(lang) for lang in LANGUAGES],
         *[F.bool_or(f).alias(f) for f in flags])
+    grouped = (directories.withColumn("project", each("projects")).groupBy(*PROJECT, "family", "entry").agg(
+        *[F.sum(c).alias(c) for c in ["n", *LANGUAGES]], *[F.bool_or(f).alias(f) for f in flags]))
     names = F.broadcast(patterns.entries(features.sparkSession).withColumnRenamed("name", "entry"))
     return (grouped.join(names, ["family", "entry"], "left")
             .withColumn("score10", F.col("n") * F.col("weight10")))

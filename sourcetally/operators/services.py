@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..functions.literals import each
-from .joins import salted_join
 from .projects import PROJECT, by_project, project_name
 
 GRAM = 4          # anchor of a spelling
@@ -40,9 +39,10 @@ def dedup_calls(features: DataFrame) -> DataFrame:
 
 def of_services(items: DataFrame, services: DataFrame, *columns: str) -> DataFrame:
     """Items (endpoints, calls) of the projects that are microservices.  A project near the
-    root owns a large share of them, hence the salted join."""
+    root owns a large share of them: a plain join, whose hot partitions Spark splits as it measures
+    them."""
     chosen = services.where("is_microservice").select(*PROJECT, *columns)
-    return salted_join(items, chosen, PROJECT, ["first"]).withColumn("service", project_name(F.col("project")))
+    return items.join(chosen, PROJECT).withColumn("service", project_name(F.col("project")))
 
 
 def build_service_map(services: DataFrame, endpoints: DataFrame, drop_empty_pattern: bool = False) -> DataFrame:
@@ -82,9 +82,12 @@ def contained_spellings(url_table: DataFrame, spellings: DataFrame) -> DataFrame
     A spelling of up to three characters is looked for among the pieces of that length.  A
     longer one is anchored: its first four characters (its first ``WINDOW``, if it is longer
     than that) lead to the lengths that spellings with this anchor have, and the piece of each
-    such length is a candidate.  A candidate that equals a spelling is contained, and no other
-    can be, so the result is exact while nothing grows with (URLs x spellings).
+    such length is a candidate, once for each URL.  A candidate that equals a spelling is contained,
+    and no other can be, so the result is exact while nothing grows with (URLs x spellings).  The
+    empty spelling is in every URL; it is a value of the root and no candidate.
     """
+    everywhere = url_table.select("root", "uid").join(spellings.where("pattern = ''"), "root")
+    spellings = spellings.where("pattern <> ''")
     chunks = (url_table
               .withColumn("lu", F.lower("url"))
               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.length("lu") / CHUNK))))
@@ -97,30 +100,26 @@ def contained_spellings(url_table: DataFrame, spellings: DataFrame) -> DataFrame
                .select("root", "uid", (F.col("chunk") * CHUNK + F.col("i") + 1).cast("int").alias("start"), "window"))
 
     size = F.length("pattern")
-    lengths = (spellings.where(size >= GRAM).select(
+    lengths = spellings.where(size >= GRAM).select(
         "root", size.alias("n"),
         F.when(size <= WINDOW, F.substring("pattern", 1, GRAM))
-        .otherwise(F.substring("pattern", 1, WINDOW)).alias("anchor"))
-        .groupBy("root", "anchor").agg(F.collect_set("n").alias("lengths")))
+        .otherwise(F.substring("pattern", 1, WINDOW)).alias("anchor")).distinct()
 
     short = windows.select("root", "uid", F.explode(F.transform(
         F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.length("window"))),
         lambda n: F.left("window", n))).alias("pattern"))
-    empty = url_table.select("root", "uid", F.lit("").alias("pattern"))
-
     anchored = windows.withColumn("anchor", F.explode(F.array_distinct(F.filter(
         F.array(F.left("window", F.lit(GRAM)), F.col("window")),
         lambda a: F.length(a).isin(GRAM, WINDOW)))))
-    led = salted_join(anchored, lengths, ["root", "anchor"], ["uid", "start"]).withColumn(
-        "n", F.explode("lengths"))
+    led = anchored.join(lengths, ["root", "anchor"])
     medium = led.where((F.col("n") <= WINDOW) & (F.col("n") <= F.length("window"))).select(
         "root", "uid", F.left("window", F.col("n")).alias("pattern"))
     long = (led.where(F.col("n") > WINDOW).select("root", "uid", "start", "n")
             .join(url_table, ["root", "uid"])
             .select("root", "uid", F.lower("url").substr(F.col("start"), F.col("n")).alias("pattern")))
 
-    candidates = empty.unionByName(short).unionByName(medium).unionByName(long)
-    return salted_join(candidates, spellings, ["root", "pattern"], ["uid"])
+    candidates = short.unionByName(medium).unionByName(long).distinct()
+    return candidates.join(spellings, ["root", "pattern"]).unionByName(everywhere)
 
 
 def resolve_direct(url_table: DataFrame, service_map: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def resolve_by_key(url_table: DataFrame, service_map: DataFrame) -> DataFrame:
     """(root, uid, target): the first key of the URL that is itself a spelling."""
     keys = (url_table.select("root", "uid", F.posexplode(urls.url_keys(F.col("url"))).alias("rank", "pattern"))
             .groupBy("root", "uid", "pattern").agg(F.min("rank").alias("rank")))
-    return (salted_join(keys, service_map.select("root", "pattern", "service"), ["root", "pattern"], ["uid"])
+    return (keys.join(service_map.select("root", "pattern", "service"), ["root", "pattern"])
             .groupBy("root", "uid").agg(F.min_by("service", "rank").alias("target")))
 
 
@@ -154,8 +153,7 @@ def service_relationships(calls: DataFrame, services: DataFrame, resolved: DataF
             .withColumn("uid", url_id(F.col("url"))))
     targets = resolved.where("target IS NOT NULL").select(
         "root", url_id(F.col("url")).alias("uid"), "target")
-    edges = salted_join(made, targets, ["root", "uid"], ["project", "file", "first"]).where(
-        F.col("target") != F.col("service"))
+    edges = made.join(targets, ["root", "uid"]).where(F.col("target") != F.col("service"))
     kind = urls.relationship_type(F.col("primary_communication"), F.col("url"))
     return (edges.select("root", F.col("service").alias("source"), "target", kind.alias("type"),
                          F.struct("project", "first", "url", "file").alias("at"))

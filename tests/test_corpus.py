@@ -62,9 +62,9 @@ def test_size_rules(files_of):
     mib = 1024 * 1024
     files = files_of({"r/a.py": ("x", 10 * mib), "r/b.py": ("x", 10 * mib + 1), "r/c.py": ("x", None),
                       "r/d.py": ("import flask", 5 * mib), "r/e.md": ("x", 6 * mib), "r/f.py": (None, 3)})
-    kept = corpus.kept_files(files)
+    kept = corpus.kept_files(files, max_bytes=D.MAX_FILE_BYTES)
     assert column(kept, "path") == ["r/a.py", "r/d.py", "r/e.md", "r/f.py"]
-    assert column(corpus.file_facts(kept), "path", "analyzed", "error") == [
+    assert column(corpus.file_facts(kept, D.MAX_CONTENT_BYTES), "path", "analyzed", "error") == [
         ("r/a.py", False, "File too large for analysis"), ("r/d.py", True, None), ("r/e.md", False, None),
         ("r/f.py", False, "No read access")]
 
@@ -128,3 +128,28 @@ def test_dictionaries():
     assert rows == [("f", "a", "file", "2", 3, 0)]
     with pytest.raises(ValueError):
         Patterns(tuple([("f", "a", "file", "x", 1, 0)] * 50_001))
+
+
+def test_no_size_limit_unless_asked_for(files_of):
+    big = "import flask\n" + "x" * (11 << 20)
+    files = files_of({"r/app.py": big, "r/b.py": ("y", None)})
+    kept = corpus.kept_files(files)
+    assert column(kept, "path") == ["r/app.py", "r/b.py"]
+    facts = {r.path: r for r in corpus.file_facts(kept).collect()}
+    assert facts["r/app.py"].analyzed and facts["r/app.py"].error is None
+    assert column(corpus.kept_files(files, max_bytes=10 << 20), "path") == []
+    assert corpus.dropped_by_size(files).first().files == 2
+    limited = {r.path: r for r in corpus.file_facts(kept, max_content=5 << 20).collect()}
+    assert limited["r/app.py"].error == "File too large for analysis" and limited["r/b.py"].analyzed
+
+
+def test_root_is_never_tested_and_files_of_no_project_go(files_of):
+    files = files_of({".r/w.py": "x", ".r/.hid/y.py": "x", ".r/node_modules/q.js": "x", ".r/a/z.py": "x"})
+    kept = corpus.kept_files(files, P.IgnoreRules(match="segment"))
+    assert {r.path: r.projects for r in kept.collect()} == {".r/w.py": [".r"], ".r/a/z.py": [".r", ".r/a"]}
+
+
+def test_valid_text_keeps_its_replacement_characters(spark):
+    raw = [("a\ufffdb".encode(),), (b"a\xffb",), (b"",), (None,)]
+    got = spark.createDataFrame(raw, "raw binary").select(text.decode_text(F.col("raw")).alias("t"))
+    assert [r.t for r in got.collect()] == ["a\ufffdb", "ab", "", None]

@@ -7,7 +7,7 @@ from conftest import column
 from pyspark.sql import functions as F
 
 from sourcetally.functions import scoring, urls
-from sourcetally.operators import services as sv, summary as sm
+from sourcetally.operators import projects as pj, services as sv, summary as sm
 from sourcetally.plans import jobs
 from sourcetally.session import stored
 from sourcetally.sources.sinks import write_results
@@ -201,3 +201,41 @@ def test_confidence_rank(spark):
     labels = ["Low", "Very High", "Unknown", "Medium", "Very Low", "High"]
     df = spark.createDataFrame([(x,) for x in labels], "key string")
     assert [r[0] for r in sm.by_confidence_rank(df).collect()] == ["Very High", "High", "Medium", "Low", "Very Low", "Unknown"]
+
+
+def test_scores_of_very_large_corpora_are_exact(spark):
+    """Best entries come out of one packed number, also far above 2^37."""
+    big = (1 << 40) + 1
+    rows = [("r", "r", "framework", "flask", 1, big), ("r", "r", "framework", "react", 0, big - 1), ("r", "r", "communication", "rest", 3, 7)]
+    tally = spark.createDataFrame(rows, "root string, project string, family string, entry string, ord int, score10 long")
+    names = pj.default_patterns()
+    best = tally.groupBy("root").agg(pj._best("framework").alias("f"))
+    got = best.select(pj._unpack("f", names.names("framework")).alias("x")).first().x
+    assert got.score10 == big and got.name == names.names("framework")[1]
+
+
+def test_one_weight_per_name():
+    from sourcetally.sources.patterns import Patterns
+    with pytest.raises(ValueError, match="two weights"):
+        Patterns((("framework", "a", "content", "x", 5, 0), ("framework", "a", "content", "y", 7, 0)))
+
+
+def test_one_project_owns_all_calls(files_of):
+    """Every call and endpoint belongs to the root; each link still comes once."""
+    tree = {f"r/s{i}/app.py": f'@app.get("/s{i}/items")\nrequests.get("http://s{(i + 1) % 4}/s{(i + 1) % 4}/items")\n' for i in range(4)}
+    base = jobs.scan_projects(files_of(tree), keep=False)
+    services = base.projects.withColumn("is_microservice", F.lit(True))
+    endpoints, calls = sv.dedup_endpoints(base.features), sv.dedup_calls(base.features)
+    found = sv.resolve_calls(sv.of_services(calls, services), sv.build_service_map(services, endpoints))
+    rows = {r.url: r.target for r in found.collect()}
+    assert len(rows) == 4 and all(rows.values())
+
+
+def test_analyse_leaves_no_intermediate_tables(spark, files_of, tmp_path):
+    import os
+    from sourcetally.session import stored_folder
+    files = files_of({"r/app.py": "import flask"})
+    before = jobs.summary_tables(jobs.scan_projects(files, keep=False), keep=False)["totals"].collect()
+    written = jobs.analyse(files, str(tmp_path / "out"))
+    assert not os.path.exists(stored_folder(spark).removeprefix("file:"))
+    assert spark.read.parquet(written["totals"]).select("total_projects").first()[0] == before[0].total_projects
