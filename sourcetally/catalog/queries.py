@@ -19,7 +19,7 @@ from ..operators import corpus, features as ft, matching, projects as pj, servic
 from ..plans import jobs
 from ..session import spread, stored_folder
 from ..sources import files as src
-from ..sources.patterns import default_patterns
+from ..sources.patterns import Patterns, default_patterns, family as pattern_family
 from ..sources.sinks import write_results
 from . import oracle
 from .corpus_sql import CODE_FILES
@@ -250,9 +250,9 @@ def communication_hits(spark, sf):
         "path", F.col("entry").alias("name"), "pattern", "weight10")
 
 
-def _text_hits(spark, sf, name, column, keys, family):
+def _text_hits(spark, sf, name, column, keys, family, patterns=None):
     """Pattern hits in the texts of a table, counted by key and dictionary entry."""
-    patterns = default_patterns()
+    patterns = patterns or default_patterns()
     owners = F.broadcast(patterns.table(spark).where(
         (F.col("family") == family) & (F.col("kind") == "content")).select("name", "pattern"))
     texts = spread(table(spark, sf, name).select(*keys, column))
@@ -262,8 +262,8 @@ def _text_hits(spark, sf, name, column, keys, family):
             .groupBy(*keys, "name").agg(F.sum("count").alias("n")))
 
 
-def _text_hits_sql(name, column, keys, family):
-    values = ", ".join(f"({lit(r[1])}, {lit(r[3])})" for r in default_patterns().rows
+def _text_hits_sql(name, column, keys, family, patterns=None):
+    values = ", ".join(f"({lit(r[1])}, {lit(r[3])})" for r in (patterns or default_patterns()).rows
                        if r[0] == family and r[2] == "content")
     return (f"SELECT {', '.join(keys)}, name, count(*) AS n FROM {name} "
             f"JOIN (VALUES {values}) d(name, pattern) ON contains({column}, d.pattern) GROUP BY ALL")
@@ -284,6 +284,44 @@ def conversation_pattern_hits(spark, sf):
     return _text_hits(spark, sf, "conversations", "text", ["role"], "communication")
 
 
+#: A dictionary of a user's own, with words that the conversations hold.
+OWN_PATTERNS = Patterns(tuple(pattern_family("speech", {
+    "article": {"content": ["the ", "The "], "weight": 0.3}, "question": {"content": ["?", "what", "how"], "weight": 1},
+    "ending": {"content": ["tion", "ing"], "weight": 0.7}})))
+
+
+@query(_text_hits_sql("conversations", "text", ["role"], "speech", OWN_PATTERNS))
+def conversation_own_patterns(spark, sf):
+    return _text_hits(spark, sf, "conversations", "text", ["role"], "speech", OWN_PATTERNS)
+
+
+def _members_sql(depth):
+    bad = oracle.bad_dir
+    return q(f"""SELECT path, array_to_string(parts[1:k], '/') AS project FROM files, range(1, {depth + 2}) t(k)
+      WHERE NOT {oracle.ignored()} AND k < len(parts) AND (k = 1 OR NOT {bad('parts[k]')})
+        AND len(list_filter(parts[k + 1:len(parts) - 1], lambda d: {bad('d')})) = 0""")
+
+
+def _members(spark, sf, depth):
+    return corpus.assign_projects(corpus.kept_files(code_files(spark, sf), max_depth=depth)).select("path", "project")
+
+
+@query(_members_sql(1))
+def ancestor_projects_depth1(spark, sf):
+    return _members(spark, sf, 1)
+
+
+@query(_members_sql(5))
+def ancestor_projects_depth5(spark, sf):
+    return _members(spark, sf, 5)
+
+
+@query(q("SELECT root, pattern, service FROM service_map WHERE pattern <> ''"))
+def service_map_without_empty(spark, sf):
+    found = jobs.detect_microservices(scan(spark, sf, keep=True), drop_empty_pattern=True)
+    return found.service_map.select("root", "pattern", "service")
+
+
 # ---- projects -----------------------------------------------------------------------------------
 
 _LANG_COLUMNS = [f"{lang}_files" for lang in D.LANGUAGES]

@@ -44,7 +44,8 @@ def stored_folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Remove the application's intermediate tables, once its results are written."""
+    """Remove the application's intermediate tables, once its results are written: also those behind
+    other results of this application, which then can't be read any more."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(stored_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
