@@ -25,8 +25,9 @@ def read_tree(spark: SparkSession, directory: str, max_bytes: int | None = None)
     """A files table from one raw directory tree.  Unreadable files are skipped; files larger than
     ``max_bytes`` are not loaded (no limit by default).
 
-    Spark's file sources leave out names that start with an underscore or a dot; ingest such
-    trees into a table by other means when ``__init__.py`` and its like matter.
+    Spark's file sources leave out names that start with an underscore or a dot; ``left_out``
+    counts them.  Ingest such trees into a table by other means when ``__init__.py`` and its like
+    matter.
     """
     if "://" not in directory:
         directory = os.path.abspath(directory)
@@ -42,6 +43,20 @@ def read_tree(spark: SparkSession, directory: str, max_bytes: int | None = None)
                          text.decode_text(F.col("content")).alias("content")))
 
 
+def left_out(spark: SparkSession, directory: str) -> int:
+    """Files below a directory that ``read_tree`` does not see, but for hidden ones, which no job
+    counts: those whose own name or whose directory's starts with an underscore."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(directory)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = files.makeQualified(root).toString().rstrip("/") + "/"
+    found, count = files.listFiles(root, True), 0
+    while found.hasNext():
+        parts = found.next().getPath().toString().removeprefix(base).split("/")
+        count += any(p.startswith("_") for p in parts) and not any(p.startswith(".") for p in parts)
+    return count
+
+
 def union_roots(*files: DataFrame) -> DataFrame:
     """Files of several roots in one table; every job keeps the roots apart."""
     result = files[0]

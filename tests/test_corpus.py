@@ -153,3 +153,11 @@ def test_valid_text_keeps_its_replacement_characters(spark):
     raw = [("a\ufffdb".encode(),), (b"a\xffb",), (b"",), (None,)]
     got = spark.createDataFrame(raw, "raw binary").select(text.decode_text(F.col("raw")).alias("t"))
     assert [r.t for r in got.collect()] == ["a\ufffdb", "ab", "", None]
+
+
+def test_names_that_a_tree_reader_leaves_out(spark, tmp_path):
+    for name in ("a.py", "__init__.py", "_d/x.py", ".git/_x"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert src.left_out(spark, str(tmp_path)) == 2
+    assert column(src.read_tree(spark, str(tmp_path)), "path") == [f"{tmp_path.name}/a.py"]
