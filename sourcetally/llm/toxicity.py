@@ -3,7 +3,6 @@ a sentence names."""
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from sourcetally.llm.arrow import byte_slices, words_of
+from sourcetally.llm.arrow import Remembered, byte_slices, gathered, text_slices, words_of
 
 #: Groups that may be swapped for each other; words of one tuple stand in the same place of a sentence.
 IDENTITY_TERMS = (
@@ -35,17 +33,17 @@ TEXTS = 4000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@functools.lru_cache(maxsize=1 << 17)
-def word_features(word: str) -> frozenset[int]:
+def word_features(word: str) -> set[int]:
     """Hashed features of what stands between two white spaces: each run of letters, and its first
     four and five letters, which stand for its inflections."""
-    out = set()
-    for part in LETTERS.findall(word.lower()):
+    low, out = word.lower(), set()
+    for part in (low,) if low.isalpha() else LETTERS.findall(low):
         out.add(crc32(part.encode()) % BUCKETS)
-        for n in (4, 5):
-            if len(part) >= n:
-                out.add(crc32(b"^" + part[:n].encode()) % BUCKETS)
-    return frozenset(out)
+        if len(part) >= 4:
+            out.add(crc32(part[:4].encode(), 1) % BUCKETS)
+            if len(part) >= 5:
+                out.add(crc32(part[:5].encode(), 1) % BUCKETS)
+    return out
 
 
 def distinct_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -178,16 +176,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                [c for row in got["changes"].to_pylist() for c in row], **fitting)
 
 
+class Scorer:
+    """Logits of texts.  A text counts each feature once."""
+
+    def __init__(self, model: Classifier):
+        self.model = model
+        self.features = np.array(sorted(model.weights), np.int64)
+        self.weights = np.array([model.weights[f] for f in self.features.tolist()])
+        self.words = Remembered(self.telling)
+
+    def telling(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word the features that have a weight."""
+        found = [word_features(w) & self.model.weights.keys() for w in words]
+        sizes = np.array([len(f) for f in found], np.int64)
+        return sizes, np.array([x for f in found for x in f], np.int64), np.zeros(len(words))
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.full(len(texts), self.model.constant)
+        codes, words, counts = words_of(texts)
+        starts, sizes, _, flat = self.words(words.to_pylist(), codes)
+        hits = np.flatnonzero(sizes[codes] > 0) if len(codes) else codes
+        if len(hits):
+            owner = np.searchsorted(np.cumsum(counts), hits, "right")
+            found, _ = gathered(flat, starts[codes[hits]], sizes[codes[hits]])
+            place = np.searchsorted(self.features, found)
+            pairs = np.unique(np.repeat(owner, sizes[codes[hits]]) * len(self.features) + place)
+            np.add.at(out, pairs // len(self.features), self.weights[pairs % len(self.features)])
+        return out
+
+
 def logits(model: Classifier, texts: list[str]) -> np.ndarray:
-    owner, word, words = distinct_words(texts)
-    telling = [[f for f in word_features(w) if f in model.weights] for w in words]
-    sizes = np.array([len(t) for t in telling], np.int64)
-    out = np.full(len(texts), model.constant)
-    hit = np.flatnonzero(sizes[word] > 0) if len(word) else word
-    pairs = {(o, f) for o, w in zip(owner[hit].tolist(), word[hit].tolist()) for f in telling[w]}
-    for o, f in sorted(pairs):
-        out[o] += model.weights[f]
-    return out
+    return Scorer(model)(texts)
 
 
 def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,15 +217,13 @@ def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list
     and empty texts get the score of a text without any telling word.  Equal texts get equal
     scores; no shuffle.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = StructType([packed.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                chance = 1 / (1 + np.exp(-np.clip(logits(model, part.column("text").to_pylist()), -40, 40)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(chance), pa.array((chance >= threshold).astype(np.int32))],
-                                                 ["row", "score", "predicted"])
+            z = np.concatenate([np.zeros(0), *[scorer(part.to_pylist()) for part in text_slices(batch)]])
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return packed.mapInArrow(rate, schema).select("row.*", "score", "predicted")
+    found = F.arrow_udf(rate, "double")(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(*kept, found.alias("score")).select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
