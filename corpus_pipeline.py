@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcetally.llm import catalog, chunking, language, minhash, toxicity
+from sourcetally.llm.arrow import small_batches
 from sourcetally.session import stored
 
 #: Documents whose best language has less than this share of the text go.
@@ -14,6 +15,7 @@ LEAST_LANGUAGE = 0.35
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with letters and one language that leads clearly; all learnt languages stay."""
+    small_batches(spark)
     labels, net = language.learn(docs.where(~language.held_out("doc_id")))
     found = language.predict(docs, labels, net)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
@@ -21,18 +23,21 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score reaches the threshold."""
+    small_batches(spark)
     return toxicity.score(docs, catalog.toxicity_model(spark, sf_dir)).where(F.col("predicted") == 0).select(*docs.columns)
 
 
 def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles are 0.8 alike, directly or through others, keep that
     with the smallest id."""
+    small_batches(spark)
     found = minhash.near_duplicates(docs)
     return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def by_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages out of texts that a document with a smaller id has; every document stays."""
+    small_batches(spark)
     done = chunking.without_repeats(docs)
     changed = F.col("n_spans") > 0
     return done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -40,6 +45,7 @@ def by_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document: its place in a sequence of at most 2048 tokens."""
+    small_batches(spark)
     return catalog.packed(docs)
 
 

@@ -7,23 +7,52 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-#: Bytes of text that one step of an Arrow function works on.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that one step of an Arrow function works on; rows that Spark puts in a batch.
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have BATCH_ROWS rows at most.  Whole texts are long:
+    Spark's own 10,000 rows would take many times the memory, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def merged(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts hold ``limit`` bytes, for work that repeats less in
+    larger ones."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if total >= limit:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes together.  A text
     that is longer is a run of its own; null texts count nothing."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = 0
+    for texts in text_slices(batch.column(column), limit):
+        yield batch.slice(start, len(texts))
+        start += len(texts)
+
+
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The same for a column of texts alone."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).tolist()
     start, total = 0, 0
-    for i, size in enumerate(sizes.tolist()):
+    for i, size in enumerate(sizes):
         if total and total + size > limit:
-            yield batch.slice(start, i - start)
+            yield texts.slice(start, i - start)
             start, total = i, 0
         total += size
     if start < len(sizes):
-        yield batch.slice(start)
+        yield texts.slice(start)
 
 
 def words_of(texts: list[str] | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcetally.llm import chunking, language, minhash, packing, pieces, sharding, simhash, tokens, toxicity, vectors
+from sourcetally.llm.arrow import small_batches
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +17,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in a session whose Arrow batches are small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from sourcetally.llm.arrow import byte_slices
 from sourcetally.llm.rows import one_row_an_id
@@ -143,14 +143,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spans = stored(repeated_spans(one_row_an_id(docs, id_col, text_col), least), "chunking-spans")
     kept = [c for c in docs.columns if c not in ("n_spans", "removed_bytes")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id"))
-    both = rows.join(spans, "id", "left").select("row", "text", "spans")
-    schema = StructType([both.schema["row"], StructField("text", StringType()), StructField("n_spans", LongType()), StructField("removed_bytes", LongType())])
+    both = docs.select(*[F.col(f"`{c}`") for c in kept]).join(
+        spans.select(F.col("id").alias("_spans_id"), F.col("spans").alias("_spans")), F.col(f"`{id_col}`") == F.col("_spans_id"), "left")
 
-    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def take_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for given, spans in batches:
             texts, counts, gone = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, found in zip(given.to_pylist(), spans.to_pylist()):
                 raw = text.encode() if text and found else b""
                 if not raw or found[-1][1] > len(raw) or any(b < len(raw) and raw[b] & 0xC0 == 0x80 for s in found for b in s):
                     texts.append(text), counts.append(0), gone.append(0)
@@ -161,8 +160,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     at = b
                 texts.append(b"".join([*parts, raw[at:]]).decode())
                 counts.append(len(found)), gone.append(sum(b - a for a, b in found))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], schema.names)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["text", "n_spans", "removed_bytes"])
 
-    done = both.mapInArrow(take_out, schema)
-    columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in kept]
-    return done.select(*columns, "n_spans", "removed_bytes")
+    found = F.arrow_udf(take_out, "text string, n_spans long, removed_bytes long")(F.col(f"`{text_col}`"), F.col("_spans"))
+    done = both.select(*[F.col(f"`{c}`") for c in kept if c != text_col], found.alias("_done"))
+    return done.select(*[F.col("_done.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept], "_done.n_spans", "_done.removed_bytes")

@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sourcetally.llm import bigru
-from sourcetally.llm.arrow import byte_slices
+from sourcetally.llm.arrow import text_slices
 
 UNKNOWN = "und"
 WINDOW, GROUP = 128, 2048
@@ -94,24 +93,21 @@ def predict(docs: DataFrame, labels: list[str], net: bigru.Network | None, text_
     learnt.  Of equal probabilities the language first in the alphabet wins.  Rows that repeat give
     equal answers; no shuffle.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     if net is None:
-        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
-                         F.when(has_letter(F.col(text_col)), F.col(text_col)).alias("text"))
-    schema = StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                texts = [t.encode() if t else b"" for t in part.column("text").to_pylist()]
+            names, scores = [], [np.zeros(0)]
+            for part in text_slices(batch):
+                texts = [t.encode() if t else b"" for t in part.to_pylist()]
                 pooled = document_probabilities(net, texts)
                 best = pooled.argmax(axis=1)
                 known = np.array([bool(t) for t in texts], bool)
-                names = [labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-                scores = np.clip(pooled[np.arange(len(texts)), best], 0, 1) * known
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                                 ["row", "lang_pred", "score"])
+                names += [labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
+                scores.append(np.clip(pooled[np.arange(len(texts)), best], 0, 1) * known)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
 
-    done = packed.mapInArrow(label, schema)
-    return done.select("row.*", "lang_pred", "score")
+    found = F.arrow_udf(label, "lang_pred string, score double")(F.when(has_letter(F.col(text_col)), F.col(text_col)))
+    return docs.select(*kept, found.alias("_found")).select(*kept, "_found.lang_pred", "_found.score")

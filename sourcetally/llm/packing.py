@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sourcetally.llm.arrow import Remembered, byte_slices, gathered, words_of
+from sourcetally.llm.arrow import Remembered, byte_slices, gathered, merged, words_of
 from sourcetally.session import stored
 
-ROOM, BLOCK, END, CALL_WORDS = 2048, 8192, 0, 8192
+ROOM, BLOCK, END, CALL_WORDS, SLICE = 2048, 8192, 0, 8192, 12 << 20
 ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 3, 2, 8, 6
 
 
@@ -105,8 +105,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        for batch in batches:
-            for part in byte_slices(batch, "text", 24 << 20):
+        for batch in merged(batches, "text", SLICE):
+            for part in byte_slices(batch, "text", SLICE):
                 row, piece, length, check = [], [], [], []
                 for i, ids in enumerate(token_ids(tokenizer, [t or "" for t in part.column("text").to_pylist()])):
                     raw = memoryview(ids.astype("<u4").tobytes())

@@ -11,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from sourcetally.llm.arrow import Remembered, byte_slices, gathered
+from sourcetally.llm.arrow import Remembered, gathered, text_slices
 
 MARK = "▁"
 #: Units up to so many bytes are searched side by side, longer ones one at a time.
@@ -287,32 +286,31 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     score 0.  Characters without a piece are spelled in byte pieces.  Columns of those two names are
     replaced, all others stay; repeated rows stay; no shuffle.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "log_score")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    schema = StructType([packed.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("log_score", DoubleType())])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "log_score")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = vocabulary(path)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                ids, sums = pieces.encode([t or "" for t in part.column("text").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(sums, pa.float64())], ["row", "ids", "log_score"])
+            sizes, parts, sums = [0], [np.zeros(0, np.int32)], [np.zeros(0)]
+            for texts in text_slices(batch):
+                ids, scores = pieces.encode([t or "" for t in texts.to_pylist()])
+                sizes += [len(x) for x in ids]
+                parts.append(np.concatenate([parts[0], *ids]))
+                sums.append(scores)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(parts), pa.int32()))
+            yield pa.StructArray.from_arrays([lists, pa.array(np.concatenate(sums))], ["ids", "log_score"])
 
-    return packed.mapInArrow(run, schema).select("row.*", "ids", "log_score")
+    found = F.arrow_udf(run, "ids array<int>, log_score double")(F.col(f"`{text_col}`"))
+    return docs.select(*kept, found.alias("_found")).select(*kept, "_found.ids", "_found.log_score")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` plus the text that ``ids_col`` stands for, as ``text_col``; null ids give an empty text."""
-    kept = [c for c in rows.columns if c != text_col]
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
-    schema = StructType([packed.schema["row"], StructField("text", StringType())])
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = vocabulary(path)
         for batch in batches:
-            texts = [pieces.decode(x.values.to_pylist() if x.is_valid else []) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+            yield pa.array([pieces.decode(x.values.to_pylist() if x.is_valid else []) for x in batch], pa.string())
 
-    return packed.mapInArrow(run, schema).select("row.*", F.col("text").alias(text_col))
+    return rows.select(*kept, F.arrow_udf(run, "string")(F.col(f"`{ids_col}`")).alias(text_col))
