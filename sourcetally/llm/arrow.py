@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 
 #: Bytes of text that one step of an Arrow function works on; rows that Spark puts in a batch.
 SLICE_BYTES, BATCH_ROWS = 4 << 20, 1000
+LIBC = ctypes.CDLL(None)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -19,6 +21,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidy() -> None:
+    """Give memory that a slice has used back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def merged(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches put together until their texts hold ``limit`` bytes, for work that repeats less in
     larger ones."""
@@ -29,8 +38,10 @@ def merged(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         if total >= limit:
             yield pa.concat_batches(held)
             held, total = [], 0
+            tidy()
     if held:
         yield pa.concat_batches(held)
+    tidy()
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -53,6 +64,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]
         total += size
     if start < len(sizes):
         yield texts.slice(start)
+    tidy()
 
 
 def words_of(texts: list[str] | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -72,7 +84,7 @@ class Remembered:
     than once in a batch are remembered for the life of the Python worker, up to ``limit`` of them, so
     memory is bounded; the others are found again in each batch."""
 
-    def __init__(self, find: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 250_000):
+    def __init__(self, find: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 120_000):
         self.find, self.limit = find, limit
         self.rows: dict[str, int] = {}
         self.sizes, self.flat, self.numbers = find([])
