@@ -15,7 +15,9 @@ MEASURES = ("size", "tokens", "rows")
 
 def place(loads: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each load (a row of measures): the largest loads first, each to the shard whose
-    residual capacity has the highest dot product with it.
+    residual capacity has the highest dot product with it, among those with room for its first
+    measure, the law.  A load that fits nowhere goes to the shard with the most room by the law, so
+    the law ends as even as the last and smallest loads allow, whatever the other measures do.
 
     Measures are scaled by their totals, so all count alike.  Residuals may fall below zero; equal
     products go to the lowest shard number.
@@ -25,7 +27,8 @@ def place(loads: np.ndarray, shards: int) -> np.ndarray:
     free = np.full((shards, loads.shape[1]), 1.0 / shards)
     out = np.zeros(len(loads), np.int64)
     for i in np.argsort(-scaled.sum(axis=1), kind="stable"):
-        out[i] = np.argmax(np.round(free @ scaled[i], 15))
+        fits = free[:, 0] >= scaled[i, 0] - 1e-12
+        out[i] = np.argmax(np.where(fits, np.round(free @ scaled[i], 15), -np.inf) if fits.any() else free[:, 0])
         free[out[i]] -= scaled[i]
     return out
 
@@ -43,7 +46,7 @@ def shard(rows: DataFrame, shards: int, lots: int = LOTS, cells: int = CELLS) ->
     """Add shard and slot to ``rows`` (as ``measured`` makes them, further columns stay).
 
     Rows of one unit share a shard, unless the unit is larger than a shard by any measure; such a
-    unit is cut into the fewest parts that fit.  A unit above a share of 1 / (shards * lots) is
+    unit is cut into a part for every shard.  A unit above a share of 1 / (shards * lots) is
     placed by itself: there are at most len(MEASURES) * shards * lots of them.  All smaller units
     are gathered by hash into shards * lots lots, and a lot is placed as one.  So the driver places
     a number of loads that does not depend on the table, and what it sends out is bounded alike.
@@ -57,7 +60,7 @@ def shard(rows: DataFrame, shards: int, lots: int = LOTS, cells: int = CELLS) ->
     units = stored(rows.groupBy("unit").agg(*[F.sum(m).alias(m) for m in MEASURES]), "sharding-units")
     share = lambda m: F.col(m) / F.lit(float(max(1, total[m])))
     most = F.greatest(*[share(m) for m in MEASURES])
-    large = units.where(most > 1 / (shards * lots)).select("unit", F.ceil(most * shards * 0.999999).cast("int").alias("parts"))
+    large = units.where(most > 1 / (shards * lots)).select("unit", F.when(most * shards * 0.999999 > 1, shards).otherwise(1).alias("parts"))
     lot = F.pmod(F.xxhash64("unit"), F.lit(shards * lots))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "text_crc32"), F.col("parts"))).when(F.col("parts") == 1, F.lit(0))
     named = (rows.join(F.broadcast(large), "unit", "left")

@@ -43,6 +43,17 @@ def test_hot_units_odd_rows_and_no_rows(spark):
     assert sharding.shard(sharding.measured(docs.limit(0)), 4).collect() == []
 
 
+@pytest.mark.parametrize("words,hot", [(5, 1000), (60, 330), (600, 700), (1500, 330)])
+def test_bytes_are_even_beside_a_hot_unit(spark, words, hot):
+    """A third of the rows, or a little less than a shard of them, are copies of a short or long text."""
+    rng = random.Random(words)
+    rows = [(i, "again " * words) for i in range(hot)] + [(hot + i, f"{i} " + "other " * rng.randrange(50, 400)) for i in range(2000)]
+    got = sharding.shard(sharding.measured(spark.createDataFrame(rows, "doc_id long, text string")), 8, lots=64, cells=8).collect()
+    assert sorted(r.id for r in got) == list(range(len(rows)))
+    sizes = np.bincount([r.shard for r in got], [r.size for r in got], 8)
+    assert sizes.max() / sizes.mean() < 1.02 and sizes.min() / sizes.mean() > 0.98, (sizes / sizes.mean()).tolist()
+
+
 def test_placing_prefers_the_residual():
     loads = np.array([[9.0, 1], [1, 9], [9, 1], [1, 9]])
     assert sorted(map(tuple, (sorted(np.flatnonzero(sharding.place(loads, 2) == s)) for s in (0, 1)))) in ([(0, 1), (2, 3)], [(0, 3), (1, 2)])
