@@ -20,6 +20,7 @@ from sourcetally.session import stored
 WINDOW, REACH, MOST, RUN = 16, 4, 256, 100
 GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, np.uint32)
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -38,27 +39,35 @@ def cuts(texts: list[bytes]) -> list[np.ndarray]:
     that of REACH white spaces on either side, so every end depends on the bytes near it and no
     others: an insertion moves the ends around it alone.  A longer stretch than MOST without such a
     place is cut by ``split``."""
+    return [ends for ends, _ in cuts_and_returns(texts)]
+
+
+def cuts_and_returns(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ends of ``cuts`` of each text, and its returns: ends of the white spaces whose hash no other
+    within REACH exceeds and one before equals.  They lie where a few words are said over and over,
+    one or more in every period, and depend on the bytes near them alone as well."""
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(t + bytes(WINDOW) for t in texts), np.uint8)
     hashed = gear_hash(flat)
     first = np.cumsum(sizes + WINDOW) - sizes - WINDOW
     place = np.flatnonzero(SPACES[flat])
     owner, value = np.searchsorted(first, place, "right"), hashed[place]
-    peak = np.ones(len(place), bool)
+    most, again = np.ones(len(place), bool), np.zeros(len(place), bool)
     for k in range(1, REACH + 1):
         same = owner[k:] == owner[:-k]
-        peak[k:] &= ~same | (value[k:] > value[:-k])
-        peak[:-k] &= ~same | (value[:-k] >= value[k:])
-    ends = place[peak] + 1
-    bounds = np.searchsorted(ends, np.append(first, len(flat)), "right")
+        most[k:] &= ~same | (value[k:] >= value[:-k])
+        most[:-k] &= ~same | (value[:-k] >= value[k:])
+        again[k:] |= same & (value[k:] == value[:-k])
+    ends, back = place[most & ~again] + 1, place[most & again] + 1
+    bounds, others = (np.searchsorted(x, np.append(first, len(flat)), "right") for x in (ends, back))
     out = []
-    for text, begin, size, a, b in zip(texts, first.tolist(), sizes.tolist(), bounds.tolist(), bounds[1:].tolist()):
-        mine = np.union1d(ends[a:b] - begin, [size]) if size else np.zeros(0, np.int64)
+    for i, (text, begin, size) in enumerate(zip(texts, first.tolist(), sizes.tolist())):
+        mine = np.union1d(ends[bounds[i]:bounds[i + 1]] - begin, [size]) if size else np.zeros(0, np.int64)
         wide = np.flatnonzero(np.diff(mine, prepend=0) > MOST)
         if len(wide):
             more = [e for w in wide.tolist() for e in split(text, hashed[begin:begin + size], int(mine[w - 1]) if w else 0, int(mine[w]))]
             mine = np.union1d(mine, more)
-        out.append(mine)
+        out.append((mine, back[others[i]:others[i + 1]] - begin))
     return out
 
 
@@ -68,7 +77,7 @@ def split(text: bytes, hashed: np.ndarray, start: int, end: int) -> list[int]:
     once in 64 bytes, else as far as it goes; never inside a character."""
     out = []
     while end - start > MOST:
-        blank = max(text.rfind(space, start, start + MOST) for space in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1 - start
+        blank = max(text.rfind(space, start, start + MOST) for space in BLANKS) + 1 - start
         whole = np.frombuffer(text, np.uint8, MOST, start + 1) & 0xC0 != 0x80
         named = np.flatnonzero(whole & (hashed[start:start + MOST] >> np.uint32(26) == 0)) + 1
         cut = blank if blank > 0 else int(named[-1]) if len(named) else int(np.flatnonzero(whole)[-1]) + 1
@@ -77,34 +86,64 @@ def split(text: bytes, hashed: np.ndarray, start: int, end: int) -> list[int]:
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(id, start, size, hi, lo) of (id, text): place in bytes and 128-bit digest of each chunk."""
+def windows(text: bytes, returns: list[int], least: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the window before each return: ``least`` bytes and what is left of the
+    word they begin in, so a match is a whole passage by itself, wherever the chunks around it end.
+    Windows that say the same and overlap are one, with the digest of each."""
+    out: list[tuple[int, int, bytes]] = []
+    for end in returns:
+        start = end - least
+        if start < 0:
+            continue
+        near = text[max(0, start - MOST):start]
+        word = len(near) - 1 - max(near.rfind(space) for space in BLANKS)
+        if word < len(near) or len(near) == start:
+            start -= word
+        else:
+            while text[start] & 0xC0 == 0x80:
+                start -= 1
+        digest = xxhash.xxh3_128_digest(text[start:end])
+        if out and out[-1][2] == digest and out[-1][1] >= start:
+            out[-1] = (out[-1][0], end, digest)
+        else:
+            out.append((start, end, digest))
+    return out
+
+
+def pieces(texts: list[bytes], least: int = RUN) -> list[list[tuple[int, int, bytes]]]:
+    """(start, size, digest) of the chunks and windows of each text."""
+    out = []
+    for text, (ends, returns) in zip(texts, cuts_and_returns(texts)):
+        ends = ends.tolist()
+        out.append([(a, b - a, xxhash.xxh3_128_digest(text[a:b])) for a, b in zip([0, *ends], ends)]
+                   + [(a, b - a, digest) for a, b, digest in windows(text, returns.tolist(), least)])
+    return out
+
+
+def chunks(docs: DataFrame, least: int = RUN) -> DataFrame:
+    """(id, start, size, hi, lo) of (id, text): place in bytes and 128-bit digest of each chunk and window."""
     schema = StructType([docs.schema["id"], StructField("start", IntegerType()), StructField("size", IntegerType()),
                          StructField("hi", LongType()), StructField("lo", LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                texts = [t.encode() if t else b"" for t in part.column("text").to_pylist()]
-                ends = cuts(texts)
-                lists = [e.tolist() for e in ends]
-                digests = b"".join([xxhash.xxh3_128_digest(t[a:b]) for t, e in zip(texts, lists) for a, b in zip([0, *e], e)])
-                pairs = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                end = np.concatenate([np.zeros(0, np.int64), *ends]).astype(np.int32)
-                begin = np.concatenate([np.zeros(0, np.int64), *[np.append(0, e[:-1]) for e in ends if len(e)]]).astype(np.int32)
-                rows = np.repeat(np.arange(len(texts)), [len(e) for e in ends])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(begin), pa.array(end - begin),
+                lists = pieces([t.encode() if t else b"" for t in part.column("text").to_pylist()], least)
+                flat = [p for found in lists for p in found]
+                pairs = np.frombuffer(b"".join([digest for _, _, digest in flat]), np.int64).reshape(-1, 2)
+                rows = np.repeat(np.arange(len(lists)), [len(found) for found in lists])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array([a for a, _, _ in flat], pa.int32()), pa.array([n for _, n, _ in flat], pa.int32()),
                                                   pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], schema.names)
 
     return docs.select("id", "text").mapInArrow(cut, schema)
 
 
 def runs(starts: list[int], sizes: list[int], least: int) -> list[tuple[int, int]]:
-    """Spans (start, end) of neighbouring chunks that hold at least ``least`` bytes together."""
+    """Spans (start, end) of neighbouring or overlapping chunks that hold at least ``least`` bytes together."""
     out: list[list[int]] = []
     for start, size in sorted(zip(starts, sizes)):
-        if out and out[-1][1] == start:
-            out[-1][1] = start + size
+        if out and out[-1][1] >= start:
+            out[-1][1] = max(out[-1][1], start + size)
         else:
             out.append([start, start + size])
     return [(a, b) for a, b in out if b - a >= least]
@@ -113,7 +152,7 @@ def runs(starts: list[int], sizes: list[int], least: int) -> list[tuple[int, int
 def repeated_spans(docs: DataFrame, least: int = RUN) -> DataFrame:
     """(id, spans) of (id, text), for texts that have any: spans [start, end) in bytes whose chunks
     all occur in a document with a smaller id."""
-    found = chunks(docs)
+    found = chunks(docs, least)
     first = found.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     again = found.join(first, ["hi", "lo"]).where("first < id").select("id", "start", "size")
     gathered = again.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
@@ -133,8 +172,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with texts freed of passages that a document with a smaller id has, plus n_spans and
     removed_bytes (long): how many passages went and their bytes.
 
-    A passage is a run of neighbouring chunks, each of which occurs in a document with a smaller
-    id, of ``least`` bytes or more; shorter runs are chance.  Chunks that repeat within one
+    A passage is a run of neighbouring or overlapping chunks and windows, each of which occurs in a
+    document with a smaller id, of ``least`` bytes or more; shorter runs are chance.  Chunks that repeat within one
     document stay.  Where a passage goes the texts around it meet, and both sides end at white space
     or a chunk's end.  All rows stay, also those whose text becomes empty; null texts stay null.
     Rows without an id stay as they are.  Rows that share an id are changed alike only where the
