@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcetally.llm import bigru
@@ -29,13 +29,14 @@ def has_letter(text: Column) -> Column:
 
 def learn(rows: DataFrame, text_col: str = "text", label_col: str = "lang", texts: int = TEXTS, pieces: int = PIECES,
           chars: int = PIECE_CHARS, **training) -> tuple[list[str], bigru.Network | None]:
-    """Fit the network to a bounded sample of ``rows``: about ``texts`` texts of each label, chosen
-    by a hash of the text, and of each ``pieces`` pieces of ``chars`` characters at hashed places.
+    """Fit the network to a bounded sample of ``rows``: about ``texts`` different texts of each label,
+    chosen by a hash of the text, and of each ``pieces`` pieces of ``chars`` characters at hashed
+    places.  Copies of a text count and are drawn once for a label.
     Rows without a label or without a letter are left out.  Without any row there is no network.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(
         F.col("label").isNotNull() & has_letter(F.col("text")))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.greatest(F.approx_count_distinct(F.xxhash64("text")), F.lit(1)).alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return [], None
@@ -45,7 +46,9 @@ def learn(rows: DataFrame, text_col: str = "text", label_col: str = "lang", text
     sample = (rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(scale)) < share[F.col("label")])
               .select("label", F.xxhash64("text", F.lit("order")).alias("at"),
                       F.array(*[F.substring(F.col("text"), place(i), F.lit(chars)) for i in range(pieces)]).alias("pieces"))
-              .orderBy("at", "label", "pieces").limit(2 * texts * len(labels)).collect())
+              .groupBy("label", "at").agg(F.min("pieces").alias("pieces"))
+              .withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("at"))).where(F.col("nth") <= 2 * texts)
+              .orderBy("at", "label").collect())
     cut: list[tuple[bytes, int]] = [(piece.encode(), labels.index(r["label"])) for r in sample for piece in r["pieces"]]
     if not cut:
         return labels, None

@@ -72,6 +72,22 @@ def test_pooling_covers_whole_texts():
         assert np.allclose(p, sums / max(1, len(t)), atol=1e-5)
 
 
+def test_copies_are_sampled_once(spark, monkeypatch):
+    """A text that thousands of rows share, drawn or not, leaves the sample of every label whole."""
+    monkeypatch.setattr(bigru, "train", lambda text, label, count, **_: (text, label))
+    names = spark.range(3000).select(F.concat(F.lit("copied text number "), F.col("id").cast("string")).alias("text"))
+    drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000))
+    first, last = (names.select("text", drawn.alias("at"), F.xxhash64("text", F.lit("order")).alias("order")).orderBy(*by).first()["text"]
+                   for by in ([F.col("at") > 20_000, "order"], [F.desc("at")]))
+    for copied in (first, last):
+        rows = ([(copied, "aa")] * 9000 + [(f"some words of aa {i} and more", "aa") for i in range(300)]
+                + [(f"other words of bb {i} and more", "bb") for i in range(2000)])
+        labels, (text, label) = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+        assert labels == ["aa", "bb"]
+        for k, least in ((0, 295), (1, 300)):
+            assert len({bytes(np.asarray(t[t != bigru.PAD], np.uint8)) for t in text[label == k]}) >= least
+
+
 def test_language_of_held_out_rows(spark):
     found = catalog.op2_language_id(spark, "/root/testdata/sf0.01").join(catalog.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id")
     rows = [r for r in found.collect() if r.held_out]
