@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcetally.llm import chunking, language, minhash, packing, pieces, sharding, simhash, tokens, toxicity, vectors
+from sourcetally.llm import chunking, language, merkle, minhash, packing, pieces, sharding, simhash, tokens, tournament, toxicity, variants, vectors
 from sourcetally.llm.arrow import small_batches
 
 
@@ -84,6 +84,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+#: Columns that a leaf of the manifest covers; of one row in so many the text is tampered with.
+COVERED, TAMPERED = ("doc_id", "source", "lang", "n_chars", "text"), 3
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_of(*[text if c == "text" else F.col(c) for c in COVERED])
+    hit = F.crc32(F.col("doc_id").cast("string")) % TAMPERED == 0
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), F.when(hit, leaf(F.translate("text", UPPER, LOWER))).alias("tampered"))
+    done = merkle.manifest(leaves).withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    siblings = F.array_join(F.transform("proof", lambda level: F.concat(level["before"], level["after"])), "")
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = tournament.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return placed.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(table(spark, sf_dir, "documents"))
+    return variants.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 #: Links of pairs (a, b), both ways, followed from every id.
 REACH = """,
 edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
@@ -117,7 +144,48 @@ degree AS (SELECT a, count(*) AS n FROM edge GROUP BY a)
 SELECT p.id AS vec_id, coalesce(n, 0) AS n_links, component_id, p.id = component_id AS kept FROM part p LEFT JOIN degree d ON d.a = p.id
 """
 
+#: crc32 of the bytes of an ASCII string, in SQL.
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split({0}, '')]),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def manifest_sql(levels: int = 12) -> str:
+    """Levels of the two trees as steps of their own: node i of a level is the run i of the one below."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    digest = lambda text: "sha256(" + " || ".join(text if c == "text" else part(c) for c in COVERED) + ")"
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    steps = [f"""leaves AS (SELECT doc_id, lang, {digest(part('text'))} AS leaf,
+  CASE WHEN {CRC_SQL.format('doc_id::VARCHAR')} % {TAMPERED} = 0 THEN {digest(part(lower))} END AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth FROM leaves),
+a0 AS (SELECT lang AS tree, nth, leaf AS node FROM placed)"""]
+
+    def climb(name: str, path: str) -> None:
+        for k in range(levels):
+            steps.append(f"""{name}{k}c AS (SELECT *, count(*) OVER (PARTITION BY tree) > 1 AS several FROM {name}{k}),
+{name}{k + 1} AS (SELECT tree, nth // 8 AS nth, CASE WHEN any_value(several) THEN sha256(string_agg(node, '' ORDER BY nth)) ELSE any_value(node) END AS node FROM {name}{k}c GROUP BY tree, nth // 8),
+{path}{k + 1} AS (SELECT p.*, coalesce((SELECT string_agg(node, '' ORDER BY c.nth) FROM {name}{k}c c WHERE several AND c.tree IS NOT DISTINCT FROM p.tree AND c.nth // 8 = p.here // 8 AND c.nth < p.here), '') AS before{name}{k},
+  coalesce((SELECT string_agg(node, '' ORDER BY c.nth) FROM {name}{k}c c WHERE several AND c.tree IS NOT DISTINCT FROM p.tree AND c.nth // 8 = p.here // 8 AND c.nth > p.here), '') AS after{name}{k},
+  (SELECT several FROM {name}{k}c c WHERE c.tree IS NOT DISTINCT FROM p.tree AND c.nth = p.here) AS up{name}{k}
+  FROM (SELECT * REPLACE (here // {8 if k else 1} AS here) FROM {path}{k}) p)""")
+
+    steps.append("p0 AS (SELECT doc_id, leaf, tampered, lang AS tree, nth AS here, lang FROM placed)")
+    climb("a", "p")
+    steps.append(f"""b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS nth, node FROM a{levels}),
+names AS (SELECT tree AS lang, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS g, node AS subroot FROM a{levels}),
+q0 AS (SELECT p.* REPLACE (0 AS tree, g AS here), subroot FROM p{levels} p JOIN names n ON n.lang IS NOT DISTINCT FROM p.lang)""")
+    climb("b", "q")
+    every = [f"{name}{k}" for name in "ab" for k in range(levels)]
+    steps.append("f0 AS (SELECT *, coalesce(tampered, leaf) AS f FROM q%d)" % levels)
+    for n, key in enumerate(every):
+        steps.append(f"f{n + 1} AS (SELECT * REPLACE (CASE WHEN up{key} THEN sha256(before{key} || f || after{key}) ELSE f END AS f) FROM f{n})")
+    siblings = " || ".join(f"before{key} || after{key}" for key in every)
+    return ("WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, node AS root, sha256({siblings}) AS proof_sha256, f AS folded_root, f = node AS verified FROM f{len(every)}, b{levels}""")
+
+
+VARIANTS_SQL = None
+
 REGISTRY = {f.__name__: (f, sql) for f, sql in (
     (op1_token_counts, None), (op2_language_id, None), (op3_fingerprints, None), (op4_toxicity, None), (op5_sharding, None),
     (op6_minhash_dedup, MINHASH_SQL), (op7_embedding_dedup, VECTORS_SQL), (op8_substring_dedup, None), (op9_piece_encoding, None),
-    (op10_best_fit_packing, None))}
+    (op10_best_fit_packing, None), (op11_merkle_manifest, manifest_sql()), (op12_tournament_packing, None), (op13_spelling_variants, VARIANTS_SQL))}

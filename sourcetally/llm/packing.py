@@ -88,13 +88,13 @@ def word_tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def token_ids(tokenizer: Tokenizer, texts: list[str]) -> list[np.ndarray]:
-    """Token ids of each text, END last."""
+def token_ids(tokenizer: Tokenizer, texts: list[str], end: int = END) -> list[np.ndarray]:
+    """Token ids of each text, ``end`` last."""
     codes, words, counts = words_of(tokenizer.plain(texts))
     starts, sizes, _, flat = tokenizer.words(words.to_pylist(), codes)
     ids, ends = gathered(flat, starts[codes], sizes[codes])
     cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-    return [np.append(ids[a:b], np.uint32(END)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+    return [np.append(ids[a:b], np.uint32(end)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
