@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sourcetally.llm.arrow import Remembered, byte_slices, gathered, merged, words_of
+from sourcetally.llm.arrow import byte_slices, gathered, merged, words_of
 from sourcetally.session import stored
 
-ROOM, BLOCK, END, CALL_WORDS, SLICE = 2048, 8192, 0, 8192, 12 << 20
+ROOM, BLOCK, END, CALL_WORDS, SLICE, MEMORY = 2048, 8192, 0, 8192, 12 << 20, 400_000
 ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 3, 2, 8, 6
 
 
@@ -38,7 +38,12 @@ class Tokenizer:
                 if self.ids(left + space + right) != self.ids(left) + self.ids(right):
                     raise ValueError("this tokenizer does not encode words independently of white space")
         self.folds = all(self.ids(a) == self.ids(b) + self.ids(c) for a, b, c in (("Word,", "word", ","), ("THE...", "the", "..."), ("x.,", "x", ".,")))
-        self.words = Remembered(self.find)
+        # Each run of letters is encoded by itself, and with such a suffix its last token alone shows where it ends.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.known, self.starts, self.sizes, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -66,16 +71,59 @@ class Tokenizer:
                 out[group[-1]] = ids[begin:]
         return out
 
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = self.encoded(words)
-        sizes = np.array([len(f) for f in found], np.int64)
-        return sizes, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), np.zeros(len(found))
-
-    def plain(self, texts: list[str]) -> pa.Array:
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, flat ids) of words.  Words of letters alone go many to a call, with spaces between
+        them, and are told apart by their last tokens; a call whose numbers do not agree counts for nothing, and
+        its words take the other way, as all others do."""
+        out, texts = [], words.to_pylist()
+        starts, sizes, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        letters = pc.match_substring_regex(words, r"^\p{L}+$").to_numpy(zero_copy_only=False) if self.last.any() else np.zeros(len(words), bool)
+        simple, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+        groups = [simple[at:at + CALL_WORDS // 16] for at in range(0, len(simple), CALL_WORDS // 16)]
+        for at in range(0, len(groups), 16):
+            calls = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g.tolist()]) for g in groups[at:at + 16]], add_special_tokens=False)
+            for group, call in zip(groups[at:at + 16], calls):
+                ids = np.array(call.ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(group) or ends[-1] != len(ids):
+                    rest = np.append(rest, group)
+                    continue
+                sizes[group] = np.diff(ends, prepend=0)
+                starts[group] = held + ends - sizes[group]
+                out.append(ids)
+                held += len(ids)
+        others = self.encoded([texts[i] for i in rest.tolist()])
+        sizes[rest] = [len(ids) for ids in others]
+        starts[rest] = held + np.cumsum(sizes[rest]) - sizes[rest]
+        out.append(np.fromiter(itertools.chain.from_iterable(others), np.uint32, int(sizes[rest].sum())))
+        return starts, sizes, np.concatenate(out)
+
+    def words(self, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes) of the ids of distinct ``words``, and the ids that the starts point into.  Words that
+        ``codes`` names more than once are remembered for the life of the worker, the most frequent
+        first, MEMORY of them at most."""
+        row = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(row < 0)
+        starts, sizes, flat = self.find(words.take(pa.array(missing)))
+        before, old = len(self.flat), row >= 0
+        all_starts, all_sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        all_starts[old], all_sizes[old] = self.starts[row[old]], self.sizes[row[old]]
+        all_starts[missing], all_sizes[missing] = starts + before, sizes
+        whole = np.concatenate([self.flat, flat])
+        free = MEMORY - len(self.known)
+        if free > 0 and len(missing):
+            times = np.bincount(codes, minlength=len(words))[missing]
+            often = np.argsort(-times, kind="stable")[:min(free, int((times > 1).sum()))]
+            kept, ends = gathered(flat, starts[often], sizes[often])
+            self.known = pa.concat_arrays([self.known, words.take(pa.array(missing[often]))])
+            self.starts, self.sizes = np.append(self.starts, before + ends - sizes[often]), np.append(self.sizes, sizes[often])
+            self.flat = np.concatenate([self.flat, kept])
+        return all_starts, all_sizes, whole
+
+    def plain(self, given: pa.Array) -> pa.Array:
         """The texts with fewer distinct words and the same ids: A-Z as a-z, and a space between a
         letter and the marks that end a word, which are tokens of their own.  Texts that might hold
         a special token stay as they are."""
-        given = pa.array(texts, pa.large_string())
         if not self.folds:
             return given
         apart = pc.replace_substring_regex(pc.ascii_lower(given), r"([a-z])([.,!?;:]+)([ \t\r\n]|$)", r"\1 \2\3")
@@ -88,13 +136,20 @@ def word_tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def token_stream(tokenizer: Tokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, each followed by ``end``, and where each text begins, the length of the
+    whole last.  Null texts are empty ones."""
+    codes, words, counts = words_of(tokenizer.plain(texts.cast(pa.large_string()).fill_null("")))
+    starts, sizes, flat = tokenizer.words(words, codes)
+    closed = np.insert(codes, np.cumsum(counts), len(words)) if len(codes) else np.full(len(counts), len(words))
+    ids, ends = gathered(np.append(flat, np.uint32(end)), np.append(starts, len(flat))[closed], np.append(sizes, 1)[closed])
+    return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts + 1)])]
+
+
 def token_ids(tokenizer: Tokenizer, texts: list[str], end: int = END) -> list[np.ndarray]:
     """Token ids of each text, ``end`` last."""
-    codes, words, counts = words_of(tokenizer.plain(texts))
-    starts, sizes, _, flat = tokenizer.words(words.to_pylist(), codes)
-    ids, ends = gathered(flat, starts[codes], sizes[codes])
-    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-    return [np.append(ids[a:b], np.uint32(end)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+    ids, cuts = token_stream(tokenizer, pa.array(texts, pa.large_string()), end)
+    return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
@@ -108,13 +163,14 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in merged(batches, "text", SLICE):
             for part in byte_slices(batch, "text", SLICE):
                 row, piece, length, check = [], [], [], []
-                for i, ids in enumerate(token_ids(tokenizer, [t or "" for t in part.column("text").to_pylist()])):
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    for n, at in enumerate(range(0, len(ids), room)):
+                ids, cuts = token_stream(tokenizer, part.column("text"))
+                raw = memoryview(ids.astype("<u4").view(np.uint8))
+                for i, (begin, close) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                    for n, at in enumerate(range(begin, close, room)):
                         row.append(i)
                         piece.append(n)
-                        length.append(min(room, len(ids) - at))
-                        check.append(crc32(raw[4 * at:4 * (at + room)]))
+                        length.append(min(room, close - at))
+                        check.append(crc32(raw[4 * at:4 * min(at + room, close)]))
                 numbers = pa.array(piece, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(row, pa.int64())), numbers, pc.multiply(pc.cast(numbers, pa.int64()), room),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from sourcetally.llm.arrow import byte_slices, merged
-from sourcetally.llm.packing import token_ids, word_tokenizer
+from sourcetally.llm.packing import token_stream, word_tokenizer
 
 #: Tokens of a sequence, pieces of a group, the id that ends a document, bytes of text tokenised at a time.
 ROOM, GROUP, END, SLICE = 2048, 8192, 1, 12 << 20
@@ -111,13 +111,14 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in merged(batches, "text", SLICE):
             for part in byte_slices(batch, "text", SLICE):
                 row, start, held, total = [], [], [], []
-                for i, ids in enumerate(token_ids(tokenizer, [t or "" for t in part.column("text").to_pylist()], end)):
-                    raw = ids.astype(f"<u{width}").tobytes()
-                    for at in range(0, len(ids), room):
+                ids, cuts = token_stream(tokenizer, part.column("text"), end)
+                raw = ids.astype(f"<u{width}").tobytes()
+                for i, (begin, close) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                    for at in range(begin, close, room):
                         row.append(i)
-                        start.append(at)
-                        held.append(raw[width * at:width * (at + room)])
-                        total.append(len(ids))
+                        start.append(at - begin)
+                        held.append(raw[width * at:width * min(at + room, close)])
+                        total.append(close - begin)
                 for a in range(0, len(row), 1000):
                     b = min(len(row), a + 1000)
                     mine = pa.array(row[a:b], pa.int64())
