@@ -29,18 +29,24 @@ def piece_model(path: str):
     return model, marks and not inside
 
 
+def may_cut(text: str, at: int) -> bool:
+    """Whether the space at ``at`` follows a character that is no space, and neither neighbour is the
+    model's own space marker, which counts as a space."""
+    return text[at - 1] not in " \u2581" and text[at + 1:at + 2] != "\u2581"
+
+
 def segments(text: str, limit: int = SEGMENT_CHARS) -> list[str]:
-    """Cut a long text where no piece can cross: at a space that follows another character.  The
-    space itself goes, as the next segment's start is marked like a space.  A stretch without such
-    a space stays whole, however long it is."""
+    """Cut a long text where no piece can cross: at a space that ``may_cut``.  The space itself goes, as
+    the next segment's start is marked like a space.  A stretch without such a space stays whole,
+    however long it is."""
     out, start = [], 0
     while len(text) - start > limit:
         cut = text.rfind(" ", start + 1, start + limit)
-        while cut > start and text[cut - 1] == " ":
-            cut -= 1
+        while cut > start and not may_cut(text, cut):
+            cut = text.rfind(" ", start + 1, cut)
         if cut <= start:
             cut = text.find(" ", start + limit)
-            while cut > 0 and text[cut - 1] == " ":
+            while cut > 0 and not may_cut(text, cut):
                 cut = text.find(" ", cut + 1)
         if cut <= start or cut + 1 >= len(text):
             break

@@ -38,6 +38,19 @@ def test_segments_keep_the_count():
         assert sum(len(model.encode(p)) for p in parts) == len(model.encode(text)), text
 
 
+def test_segments_beside_the_space_marker():
+    """The model's own marker U+2581 counts as a space: no cut touches it."""
+    model, _ = tokens.piece_model(catalog.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    for limit in (7, 8):
+        for _ in range(5000):
+            text = "".join(rng.choice(["a", "bc", " ", "  ", "   ", "\t", "\u2581", "\u2581 ", "é"]) for _ in range(rng.randrange(60)))
+            assert tokens.token_lengths(model, True, [text])[0] == len(model.encode(text))
+            assert sum(len(model.encode(p)) for p in tokens.segments(text, limit)) == len(model.encode(text)), text
+    for text in ("word " * 1600 + "abc\u2581  " + "y" * 9000, "word " * 1638 + "\u2581 x" * 4000, "a \u2581" * 9000):
+        assert tokens.token_lengths(model, True, [text])[0] == len(model.encode(text))
+
+
 def test_op1_query(spark):
     model, _ = tokens.piece_model(catalog.tokenizer_path("piece_bpe_32k.model"))
     got = {r.doc_id: r.n_tokens for r in catalog.op1_token_counts(spark, SF).collect()}
