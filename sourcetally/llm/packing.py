@@ -306,18 +306,18 @@ def pack(items: DataFrame, room: int = ROOM, block: int = BLOCK, islands: int =
          id_col: str = "id", length_col: str = "length") -> DataFrame:
     """Add sequence_id and offset to ``items``, whose lengths lie between 1 and ``room``.
 
-    Items are dealt by hash into blocks of about ``block`` items, whose number grows with the table;
-    a block is small enough for one task.  Best fit decreasing opens each block; where it needs more
+    Items are dealt into blocks of about ``block`` items by a hash of the row's number, so equal rows
+    spread; the number of blocks grows with the table, and a block is small enough for one task.  Best fit decreasing opens each block; where it needs more
     bins than the sum of lengths does, the block goes on as ``islands`` populations, and after each
     epoch the best packing of every island migrates to the next one.  The best island's packing
     stays.  Items that fill a sequence get one each.  Repeated rows are items of their own, null ids
     are allowed, other columns stay, an empty table gives an empty result.
     """
     rest = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    items = stored(items.select(*rest), "packing-items")
+    items = stored(items.select(*rest).withColumn("_row", F.monotonically_increasing_id()), "packing-items")
     blocks = max(1, -(-items.count() // block))
     dealt = items.select(F.struct(*rest).alias("row"), F.col(length_col).cast("long").alias("size"),
-                         F.pmod(F.xxhash64(*[c for c in rest], F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+                         F.pmod(F.xxhash64("_row", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
     state = StructType([dealt.schema["row"], StructField("size", LongType()), StructField("block", IntegerType()), StructField("island", IntegerType()),
                         StructField("item", IntegerType()), StructField("bin", IntegerType()), StructField("bins", IntegerType()), StructField("floor", IntegerType())])
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sourcetally.session import stored
 
-#: Lots that small groups are gathered in, and cells that rows are numbered in, per shard.
-LOTS, CELLS = 512, 512
+#: Lots that small groups are gathered in and least cells that rows are numbered in, per shard; rows of a cell.
+LOTS, CELLS, CELL_ROWS = 512, 512, 100_000
 MEASURES = ("size", "tokens", "rows")
 
 
@@ -51,28 +51,30 @@ def shard(rows: DataFrame, shards: int, lots: int = LOTS, cells: int = CELLS) ->
     are gathered by hash into shards * lots lots, and a lot is placed as one.  So the driver places
     a number of loads that does not depend on the table, and what it sends out is bounded alike.
 
-    Slots count from 0 in each shard without gaps.  Rows are numbered in ``cells`` parts of a shard,
-    by hash of the id, each part after the others: no task gets a whole shard.  Repeated rows and
+    Slots count from 0 in each shard without gaps.  Rows are numbered in at least ``cells`` parts of a
+    shard, more where a part would exceed CELL_ROWS, each part after the others: no task gets a whole
+    shard.  Parts are dealt by a hash of the row's number, so equal rows spread.  Repeated rows and
     null ids get slots of their own.  An empty table gives an empty result.
     """
-    rows = stored(rows, "sharding-rows")
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "sharding-rows")
     total = rows.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES]).first()
     units = stored(rows.groupBy("unit").agg(*[F.sum(m).alias(m) for m in MEASURES]), "sharding-units")
     share = lambda m: F.col(m) / F.lit(float(max(1, total[m])))
     most = F.greatest(*[share(m) for m in MEASURES])
     large = units.where(most > 1 / (shards * lots)).select("unit", F.when(most * shards * 0.999999 > 1, shards).otherwise(1).alias("parts"))
     lot = F.pmod(F.xxhash64("unit"), F.lit(shards * lots))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "text_crc32"), F.col("parts"))).when(F.col("parts") == 1, F.lit(0))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("_row"), F.col("parts"))).when(F.col("parts") == 1, F.lit(0))
     named = (rows.join(F.broadcast(large), "unit", "left")
              .withColumn("load", F.when(F.col("parts").isNull(), lot.cast("string")).otherwise(F.concat_ws("/", F.hex("unit"), part.cast("string")))))
     loads = named.groupBy("load").agg(*[F.sum(m).alias(m) for m in MEASURES]).orderBy("load").toPandas()
     placed = place(loads[list(MEASURES)].to_numpy(float).reshape(-1, len(MEASURES)), shards)
     spark = rows.sparkSession
     where = spark.createDataFrame(list(zip(loads["load"].tolist(), placed.tolist())), "load string, shard int")
-    dealt = named.join(F.broadcast(where), "load").withColumn("cell", F.pmod(F.xxhash64("id", "text_crc32", F.lit("cell")), F.lit(cells)).cast("int")).drop("load", "parts")
+    cells = max(cells, -(-total["rows"] // (shards * CELL_ROWS)))
+    dealt = named.join(F.broadcast(where), "load").withColumn("cell", F.pmod(F.xxhash64("_row", F.lit("cell")), F.lit(cells)).cast("int")).drop("load", "parts", "_row")
     dealt = stored(dealt, "sharding-dealt")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("shard", "cell").orderBy("id", "text_crc32", "size")
-    return (dealt.withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "cell"])
+    return (dealt.withColumn("nth", F.row_number().over(within)).join(offsets, ["shard", "cell"])
             .withColumn("slot", (F.col("first") + F.col("nth") - 1).cast("long")).drop("first", "nth", "cell"))

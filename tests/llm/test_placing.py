@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sourcetally.llm import catalog, packing, sharding
@@ -122,6 +123,16 @@ def test_islands_reach_the_least_number(spark):
     assert 60 <= check_packing(got, 100) <= len(packing.decreasing(lengths, 100))
 
 
+def test_equal_rows_spread_over_blocks(spark):
+    """40,000 rows that are equal in every column do not share a block, a part or a cell."""
+    same = spark.range(40_000).select(F.lit(None).cast("long").alias("id"), F.lit(700).cast("long").alias("length"))
+    got = packing.pack(same, block=8192).groupBy(F.shiftright("sequence_id", 32).alias("block")).count().collect()
+    assert len(got) == 5 and sum(r["count"] for r in got) == 40_000 and max(r["count"] for r in got) < 8192 * 1.1
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    slots = sharding.shard(sharding.measured(docs), 8).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(slots) == 8 and all(r.n == r.slots == r["last"] + 1 and abs(r.n - 5000) < 300 for r in slots)
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(4)
     sizes = [rng.randrange(1, 90) for _ in range(300)]
