@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from sourcetally.llm.arrow import byte_slices
-from sourcetally.llm.rows import one_row_an_id
+from sourcetally.llm.rows import few, one_row_an_id, repeated_ids
 from sourcetally.session import stored
 
 #: Bytes that the gear hash looks back on; white spaces on either side that a cut's hash must beat;
@@ -151,10 +151,15 @@ def runs(starts: list[int], sizes: list[int], least: int) -> list[tuple[int, int
 
 def repeated_spans(docs: DataFrame, least: int = RUN) -> DataFrame:
     """(id, spans) of (id, text), for texts that have any: spans [start, end) in bytes whose chunks
-    all occur in a document with a smaller id."""
-    found = chunks(docs, least)
-    first = found.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    again = found.join(first, ["hi", "lo"]).where("first < id").select("id", "start", "size")
+    all occur in a document with a smaller id.
+
+    Chunks are cut once and written.  Half of a digest shows which chunks can repeat at all; whole
+    digests decide among those, so most chunks are counted and never move again.
+    """
+    found = stored(chunks(docs, least), "chunking-chunks")
+    several = lambda rows, *key: rows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    again = stored(found.join(few(several(found, "hi").select("hi"), "chunking-halves"), "hi", "left_semi"), "chunking-repeated")
+    again = again.join(several(again, "hi", "lo").drop("last"), ["hi", "lo"]).where("first < id").select("id", "start", "size")
     gathered = again.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
     pair = ArrayType(IntegerType())
     schema = StructType([docs.schema["id"], StructField("spans", ArrayType(pair))])
@@ -176,21 +181,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document with a smaller id, of ``least`` bytes or more; shorter runs are chance.  Chunks that repeat within one
     document stay.  Where a passage goes the texts around it meet, and both sides end at white space
     or a chunk's end.  All rows stay, also those whose text becomes empty; null texts stay null.
-    Rows without an id stay as they are.  Rows that share an id are changed alike only where the
-    text is the one that ``one_row_an_id`` chooses; the others stay.  Copies of one text differ in
+    Rows without an id stay as they are.  Of rows that share an id, those whose text is the one that
+    ``one_row_an_id`` chooses (by its hash) are changed alike; the others stay.  Copies of one text differ in
     id, so all but the first become empty.
     """
-    spans = stored(repeated_spans(one_row_an_id(docs, id_col, text_col), least), "chunking-spans")
+    repeated = repeated_ids(docs, id_col, text_col)
+    spans = stored(repeated_spans(one_row_an_id(docs, id_col, text_col, repeated), least)
+                   .join(repeated, "id", "left").select(F.col("id").alias("_spans_id"), F.col("spans").alias("_spans_found"), F.col("hash").alias("_spans_hash")), "chunking-spans")
     kept = [c for c in docs.columns if c not in ("n_spans", "removed_bytes")]
-    both = docs.select(*[F.col(f"`{c}`") for c in kept]).join(
-        spans.select(F.col("id").alias("_spans_id"), F.col("spans").alias("_spans")), F.col(f"`{id_col}`") == F.col("_spans_id"), "left")
+    texts = docs.select(*[F.col(f"`{c}`") for c in kept])
+    ids = few(spans.select("_spans_id"), "chunking-ids")
+    key = F.col(f"`{id_col}`")
+    # Texts without spans are not joined with anything that would move them.
+    spanned = texts.join(ids, key == F.col("_spans_id"), "left_semi").join(spans, key == F.col("_spans_id"))
+    mine = F.col("_spans_hash").isNull() | (F.col("_spans_hash") == F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    same = [F.col(f"`{c}`") for c in kept]
+    both = spanned.select(*same, F.when(mine, F.col("_spans_found")).alias("_spans"))
+    plain = texts.join(ids, key == F.col("_spans_id"), "left_anti").select(*same, F.lit(0).cast("long").alias("n_spans"), F.lit(0).cast("long").alias("removed_bytes"))
 
     def take_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for given, spans in batches:
             texts, counts, gone = [], [], []
             for text, found in zip(given.to_pylist(), spans.to_pylist()):
                 raw = text.encode() if text and found else b""
-                if not raw or found[-1][1] > len(raw) or any(b < len(raw) and raw[b] & 0xC0 == 0x80 for s in found for b in s):
+                if not raw:
                     texts.append(text), counts.append(0), gone.append(0)
                     continue
                 at, parts = 0, []
@@ -203,4 +217,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = F.arrow_udf(take_out, "text string, n_spans long, removed_bytes long")(F.col(f"`{text_col}`"), F.col("_spans"))
     done = both.select(*[F.col(f"`{c}`") for c in kept if c != text_col], found.alias("_done"))
-    return done.select(*[F.col("_done.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept], "_done.n_spans", "_done.removed_bytes")
+    changed = done.select(*[F.col("_done.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept], "_done.n_spans", "_done.removed_bytes")
+    return plain.unionByName(changed)

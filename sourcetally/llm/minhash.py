@@ -17,15 +17,13 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from sourcetally.llm.arrow import byte_slices, words_of
 from sourcetally.llm.blocks import blocks_of, dealt, roots, sides, together
 from sourcetally.llm.graph import components
-from sourcetally.llm.rows import one_row_an_id
+from sourcetally.llm.rows import few, one_row_an_id
 from sourcetally.session import stored
 
 #: Values in a band; chance that a linked pair meets in no band; bytes of the sketch that rules pairs out.
 ROWS, MISS, SKETCH = 8, 1e-7, 256
 #: Sets of a group that meet in one task; distinct shingles that are compared at a time.
 CHUNK, COLUMNS = 256, 4096
-#: Ids that are sent to every task at most: 8 bytes each.
-SENT = 4_000_000
 SEED = 20_240_229
 
 
@@ -146,11 +144,9 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def sets_for(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents that ``ids`` (id) names, written.  Up to SENT ids are sent to
-    the texts; more are joined, which moves the texts."""
-    ids = stored(ids.distinct(), "minhash-wanted")
-    side = F.broadcast(ids) if ids.count() <= SENT else ids
-    return stored(sets_of(docs.join(side, "id", "left_semi"), words), "minhash-sets")
+    """(id, shingles) of the documents that ``ids`` (id) names, written.  The ids are sent to the texts
+    if they are ``few``; else they are joined, which moves the texts."""
+    return stored(sets_of(docs.join(few(ids, "minhash-wanted"), "id", "left_semi"), words), "minhash-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -255,7 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     docs = one_row_an_id(docs, id_col, text_col)
     signed = stored(signatures(docs, words, bands_for(threshold, rows), rows), "minhash-signatures")
     classes = stored(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "minhash-classes")
-    reps = stored(signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "minhash-reps")
+    # Copies are fewer than representatives, and signatures stay where they are if their ids can be sent.
+    copies = signed.select("id", "digest").join(classes, "digest").where("id != rep").select("id")
+    reps = stored(signed.where("n > 0").join(few(copies, "minhash-copies"), "id", "left_anti"), "minhash-reps")
 
     entries = reps.select("id", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")

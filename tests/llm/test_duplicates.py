@@ -188,6 +188,23 @@ def test_repeated_passages_go_and_others_stay(spark):
     assert all(r.removed_bytes == len((rows[r.doc_id] or "").encode()) - len((r.text or "").encode()) for r in done if r.doc_id is not None)
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark, monkeypatch):
+    """Twenty ids with two texts each: one has a passage of an earlier document, the other is unrelated and long enough for its places."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    passage = say(60)
+    rows = [(0, f"{say(9)} {passage}", 1, "x")] + [(i, f"{say(20)} {passage} {say(20)}", 1, "x") for i in range(1, 21)] + [(i, say(200), 1, "x") for i in range(1, 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int, spans string")
+    for sent in (4_000_000, 3):                                                  # both ways of the joins
+        monkeypatch.setattr("sourcetally.llm.rows.SENT", sent)
+        chosen = {r["id"]: r.text for r in chunking.one_row_an_id(docs, "doc_id", "text").collect()}
+        got = chunking.without_repeats(docs).collect()
+        assert len(got) == len(rows)
+        changed = [r for r in got if r.n_spans]
+        assert sorted((r.doc_id, r.text) for r in got if not r.n_spans) == sorted(r[:2] for r in rows if r[0] == 0 or passage not in r[1] or chosen[r[0]] != r[1])
+        assert {r.doc_id for r in changed} == {i for i, t in chosen.items() if i and passage in t} and all(r.removed_bytes > 300 for r in changed)
+
+
 @pytest.mark.parametrize("period", [1, 2, 3, 4, 5])
 def test_passages_of_few_words_go_wherever_they_lie(spark, period):
     """Words said over and over, behind and before different text in each document."""
