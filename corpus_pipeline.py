@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from sourcetally.llm import catalog, chunking, language, minhash, toxicity
 from sourcetally.llm.arrow import small_batches
+from sourcetally.llm.rows import few
 from sourcetally.session import stored
 
 #: Documents whose best language has less than this share of the text go.
 LEAST_LANGUAGE = 0.35
+#: Values in a band: at a similarity of 0.8, six miss as few pairs with 54 bands as eight with 88.
+NEAR_ROWS = 6
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +34,8 @@ def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of documents whose five-word shingles are 0.8 alike, directly or through others, keep that
     with the smallest id."""
     small_batches(spark)
-    found = minhash.near_duplicates(docs)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    copies = minhash.near_duplicates(docs, rows=NEAR_ROWS).where("not kept").select("doc_id")
+    return docs.join(few(copies, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def by_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
