@@ -20,9 +20,13 @@ def few(keys: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash): ids that several rows share, and the smallest hash of their texts, null ones as empty."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    return stored(rows.groupBy("id").agg(F.min("hash").alias("hash"), F.count("*").alias("n")).where("n > 1").select("id", "hash"), "repeated-ids")
+    """(id, hash): ids that several rows share, and the smallest hash of their texts, null ones as empty.
+    Texts are read only if there are such ids, and hashed only for those."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    several = stored(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    if several.isEmpty():
+        return several.withColumn("hash", F.lit(None).cast("long"))
+    return stored(rows.join(several, "id", "left_semi").groupBy("id").agg(F.min(F.xxhash64("text")).alias("hash")), "repeated-ids")
 
 
 def one_row_an_id(docs: DataFrame, id_col: str, text_col: str, repeated: DataFrame | None = None) -> DataFrame:
