@@ -21,7 +21,7 @@ def _when(condition: Column, value: Column, kind: str = "array<string>") -> Colu
 
 def file_features(files: DataFrame, patterns: Patterns | None = None,
                   rules: P.IgnoreRules | None = None, max_depth: int = MAX_DEPTH,
-                  engine: str = "automaton", max_bytes: int | None = None,
+                  engine: str = "indexed", max_bytes: int | None = None,
                   max_content: int | None = None) -> DataFrame:
     """Features of every kept file.  ``max_bytes`` and ``max_content`` limit the size of files and
     of texts that take part in detection; nothing is limited by default.

@@ -33,7 +33,7 @@ class Scan:
 
 
 def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: IgnoreRules | None = None,
-                  max_depth: int = corpus.MAX_DEPTH, engine: str = "automaton", keep: bool = True,
+                  max_depth: int = corpus.MAX_DEPTH, engine: str = "indexed", keep: bool = True,
                   max_bytes: int | None = None, max_content: int | None = None) -> Scan:
     """Features, scores and classified projects of a files table.  ``keep`` stores the features
     and the tally; without it everything stays one lazy plan.  Sizes have no limit unless
@@ -145,7 +145,7 @@ def service_report_tables(scan: Scan, detection: Detection, keep: bool = True) -
 
 
 def run_analysis(files: DataFrame, patterns: Patterns | None = None, rules: IgnoreRules | None = None,
-                 max_depth: int = corpus.MAX_DEPTH, engine: str = "automaton",
+                 max_depth: int = corpus.MAX_DEPTH, engine: str = "indexed",
                  detect: bool = True, max_bytes: int | None = None,
                  max_content: int | None = None, keep: bool = True) -> dict[str, DataFrame]:
     """Everything: scan, detection (before the summary, so that the summary counts services),

@@ -1,6 +1,7 @@
 """Extraction rules on single files."""
 
 import json
+import random
 
 import pytest
 from conftest import column
@@ -148,17 +149,30 @@ def test_hits_score_as_defined(files_of):
     assert got[("redis.txt", "microservice", "message_queue", "content")] == 2
 
 
-def test_matching_plans_agree(spark):
-    literals = default_patterns().literals("content")
-    rows = [(" ".join(literals[i::7]) + "é\U0001F600",) for i in range(7)] + [("",), (None,)]
-    df = spark.createDataFrame(rows, "t string")
-    both = df.select(matching.content_matches(F.col("t"), literals).alias("a"),
-                     matching.content_matches(F.col("t"), literals, "builtin").alias("b"))
-    assert both.where("NOT (a <=> b)").count() == 0
+def test_matching_plans_agree(spark, monkeypatch):
+    """Both plans find what `in` finds: built-in literals, anchors across each other, signs of the search's own language, odd texts."""
+    rng = random.Random(3)
+    own = ["", "a", "ab", "]^-", "\\d+", "a.b", "'\"\\", "\n\t ", "é\U0001F600z", "\U0001F600\U0001F601\U0001F602", "aaa", "aaaa", "{1}[(", "x\u0000y"]
+    for literals in (default_patterns().literals("content"), own, []):
+        texts = [" ".join(literals[i::7]) + "é\U0001F600" for i in range(7)] + ["", None, "aaaaa", "\U0001F600" * 5 + "\U0001F601\U0001F602"]
+        texts += ["".join(rng.choice("".join(literals) or "ab") for _ in range(rng.randrange(300))) for _ in range(200)]
+        texts += [t[:len(t) // 2] + p + t[len(t) // 2:] for p in literals for t in rng.choices(texts[-200:], k=2)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4).cache()
+        want = {i: sorted(p for p in literals if t is not None and p in t) for i, t in enumerate(texts)}
+        for engine in ("indexed", "plain"):
+            for most in (matching.INDEXED, 100):                             # long texts take the plain way
+                monkeypatch.setattr(matching, "INDEXED", most)
+                got = df.select("i", matching.content_matches(F.col("t"), literals, engine).alias("m")).collect()
+                assert {r.i: sorted(r.m) for r in got} == want
     with pytest.raises(ValueError):
         matching.content_matches(F.col("t"), literals, "other")
 
 
+def test_features_need_no_python_workers(spark, files_of):
+    plan = file_features(files_of({"r/a.py": "import flask"}))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
 def test_package_dictionary(files_of):
     patterns = default_patterns({"react": ["react"]})
     features = file_features(files_of({"r/package.json": json.dumps({"dependencies": {"react": "1"}})}), patterns)
