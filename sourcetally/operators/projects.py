@@ -18,6 +18,12 @@ def project_name(project: Column) -> Column:
     return F.substring_index(project, "/", -1)
 
 
+def ancestor(directory: Column, up: Column) -> Column:
+    """The directory ``up`` levels above, itself for 0."""
+    parts = F.split(directory, "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.size(parts) - up), "/")
+
+
 def project_tally(features: DataFrame, patterns: Patterns | None = None) -> DataFrame:
     """Counts and scores of every project in long form, in one pass over the features.
 
@@ -37,13 +43,16 @@ def project_tally(features: DataFrame, patterns: Patterns | None = None) -> Data
     scored = F.transform(file_hits(patterns), lambda h: F.struct(
         h["family"].alias("family"), h["name"].alias("entry"), F.lit(None).cast("string").alias("lang"),
         *no_flags))
-    rows = (features.select("root", "projects", F.explode(F.concat(F.array(facts), scored)).alias("r"))
-            .select("root", "projects", "r.*"))
-    directories = rows.groupBy("root", "projects", "family", "entry").agg(
+    # The projects of a file are neighbouring ancestors: the deepest and their number say which, in a short key.
+    deepest = [F.element_at("projects", -1).alias("deepest"), F.size("projects").alias("levels")]
+    rows = (features.where(F.size("projects") > 0).select("root", *deepest, F.explode(F.concat(F.array(facts), scored)).alias("r"))
+            .select("root", "deepest", "levels", "r.*"))
+    directories = rows.groupBy("root", "deepest", "levels", "family", "entry").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("lang") == lang).alias(lang) for lang in LANGUAGES],
         *[F.bool_or(f).alias(f) for f in flags])
-    grouped = (directories.withColumn("project", each("projects")).groupBy(*PROJECT, "family", "entry").agg(
+    above = F.explode(F.sequence(F.lit(0), F.col("levels") - 1))
+    grouped = (directories.withColumn("up", above).withColumn("project", ancestor(F.col("deepest"), F.col("up"))).groupBy(*PROJECT, "family", "entry").agg(
         *[F.sum(c).alias(c) for c in ["n", *LANGUAGES]], *[F.bool_or(f).alias(f) for f in flags]))
     names = F.broadcast(patterns.entries(features.sparkSession).withColumnRenamed("name", "entry"))
     return (grouped.join(names, ["family", "entry"], "left")

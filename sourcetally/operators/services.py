@@ -14,9 +14,8 @@ from .projects import PROJECT, by_project, project_name
 
 GRAM = 4          # anchor of a spelling
 WINDOW = 64       # longest spelling that is read off a window
-CHUNK = 4096      # start positions per row, so that a very long URL is many small rows
-
-_WINDOWS = rf"(?s)(?=(.{{1,{WINDOW}}}))."
+CHUNK = 512       # start positions per row, so that a very long URL is many small rows
+BITS = 1 << 20    # of the Bloom filter of anchors: 128 KiB, whatever the tables hold
 
 
 def dedup_endpoints(features: DataFrame) -> DataFrame:
@@ -76,49 +75,76 @@ def url_id(url: Column) -> Column:
     return F.unhex(F.sha2(url, 256))
 
 
-def contained_spellings(url_table: DataFrame, spellings: DataFrame) -> DataFrame:
-    """(root, uid, pattern, ...) for every place of a spelling in a lower-cased URL, by equality.
+def anchors_of(spellings: DataFrame) -> DataFrame:
+    """(root, anchor, n): the anchors of the spellings that are not empty and the lengths behind each.
+    An anchor is the first ``GRAM`` characters, a shorter spelling itself, and of one longer than
+    ``WINDOW`` its first ``WINDOW``."""
+    size = F.length("pattern")
+    return spellings.where(size > 0).select(
+        "root", F.left("pattern", F.when(size > WINDOW, F.lit(WINDOW)).otherwise(F.lit(GRAM))).alias("anchor"), size.alias("n")).distinct()
 
-    A spelling of up to three characters is looked for among the pieces of that length.  A
-    longer one is anchored: its first four characters (its first ``WINDOW``, if it is longer
-    than that) lead to the lengths that spellings with this anchor have, and the piece of each
-    such length is a candidate, once for each URL.  A candidate that equals a spelling is contained,
-    and no other can be, so the result is exact while nothing grows with (URLs x spellings).  The
-    empty spelling is in every URL; it is a value of the root and no candidate.
-    """
-    everywhere = url_table.select("root", "uid").join(spellings.where("pattern = ''"), "root")
-    spellings = spellings.where("pattern <> ''")
+
+def _bit(root: Column, anchor: Column) -> Column:
+    return F.pmod(F.xxhash64(root, anchor), F.lit(BITS))
+
+
+def bloom_filter(anchors: DataFrame) -> Column:
+    """Bloom filter of (root, anchor) as a scalar: words of 64 bits, made by an aggregate of one row a
+    word.  Its size is fixed; with very many anchors it lets more through, and nothing is lost."""
+    bit = _bit(F.col("root"), F.col("anchor"))
+    words = (anchors.select(F.shiftright(bit, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+             .groupBy("id").agg(F.bit_or("bits").alias("bits")))
+    every = anchors.sparkSession.range(BITS // 64).join(words, "id", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))),
+                                 lambda w: w["bits"]).alias("words")).scalar()
+
+
+def anchored_places(url_table: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(root, uid, start, anchor, window): places of the lower-cased URLs whose gram the filter of
+    anchors lets through.  All others are ruled out before there is a row for them."""
+    words = bloom_filter(anchors)
     chunks = (url_table
               .withColumn("lu", F.lower("url"))
               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.length("lu") / CHUNK))))
               .select("root", "uid", "chunk",
-                      F.col("lu").substr((F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK + WINDOW)).alias("text")))
-    windows = (chunks
-               .select("root", "uid", "chunk", F.posexplode(
-                   F.regexp_extract_all("text", F.lit(_WINDOWS), F.lit(1))).alias("i", "window"))
-               .where(F.col("i") < CHUNK)
-               .select("root", "uid", (F.col("chunk") * CHUNK + F.col("i") + 1).cast("int").alias("start"), "window"))
+                      F.col("lu").substr((F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK + WINDOW)).alias("text"))
+              .withColumn("words", words))
 
-    size = F.length("pattern")
-    lengths = spellings.where(size >= GRAM).select(
-        "root", size.alias("n"),
-        F.when(size <= WINDOW, F.substring("pattern", 1, GRAM))
-        .otherwise(F.substring("pattern", 1, WINDOW)).alias("anchor")).distinct()
-
-    short = windows.select("root", "uid", F.explode(F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.length("window"))),
-        lambda n: F.left("window", n))).alias("pattern"))
-    anchored = windows.withColumn("anchor", F.explode(F.array_distinct(F.filter(
-        F.array(F.left("window", F.lit(GRAM)), F.col("window")),
-        lambda a: F.length(a).isin(GRAM, WINDOW)))))
-    led = anchored.join(lengths, ["root", "anchor"])
-    medium = led.where((F.col("n") <= WINDOW) & (F.col("n") <= F.length("window"))).select(
+    def places(n: int) -> Column:
+        def possible(i):
+            bit = _bit(F.col("root"), F.substring(F.col("text"), i, F.lit(n)))
+            word = F.element_at("words", (F.shiftright(bit, 6) + 1).cast("int"))
+            return F.getbit(word, bit.bitwiseAND(63).cast("int")) == 1
+        starts = F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.length("text") - (n - 1)))
+        found = F.transform(F.filter(starts, possible), lambda i: F.struct(i.alias("i"), F.lit(n).alias("size")))
+        return F.when(F.length("text") >= n, found).otherwise(F.array().cast("array<struct<i:int,size:int>>"))
+
+    placed = chunks.select("root", "uid", "chunk", "text", F.explode(F.concat(*[places(n) for n in (*range(1, GRAM + 1), WINDOW)])).alias("p"))
+    return placed.select("root", "uid", (F.col("chunk") * CHUNK + F.col("p.i")).cast("int").alias("start"),
+                         F.substring(F.col("text"), F.col("p.i"), F.col("p.size")).alias("anchor"),
+                         F.substring(F.col("text"), F.col("p.i"), F.lit(WINDOW)).alias("window"))
+
+
+def contained_spellings(url_table: DataFrame, spellings: DataFrame) -> DataFrame:
+    """(root, uid, pattern, ...) for every place of a spelling in a lower-cased URL, by equality.
+
+    Spellings are anchored (``anchors_of``), and a Bloom filter of the anchors is tested on the grams of
+    a URL before a row exists for any of its places.  Those let through are joined with the anchors,
+    which lead to the lengths that spellings with this anchor have; the piece of each such length is
+    a candidate, once for each URL.  A candidate that equals a spelling is contained, and no other
+    can be, so the result is exact while nothing grows with (URLs x spellings).  The empty
+    spelling is in every URL; it is a value of the root and no candidate.
+    """
+    everywhere = url_table.select("root", "uid").join(spellings.where("pattern = ''"), "root")
+    spellings = spellings.where("pattern <> ''")
+    anchors = anchors_of(spellings)
+    led = anchored_places(url_table, anchors).join(anchors, ["root", "anchor"])
+    near = led.where((F.col("n") <= WINDOW) & (F.col("n") <= F.length("window"))).select(
         "root", "uid", F.left("window", F.col("n")).alias("pattern"))
-    long = (led.where(F.col("n") > WINDOW).select("root", "uid", "start", "n")
+    long = (led.where((F.col("n") > WINDOW) & (F.length("anchor") == WINDOW)).select("root", "uid", "start", "n")
             .join(url_table, ["root", "uid"])
             .select("root", "uid", F.lower("url").substr(F.col("start"), F.col("n")).alias("pattern")))
-
-    candidates = short.unionByName(medium).unionByName(long).distinct()
+    candidates = near.unionByName(long).distinct()
     return candidates.join(spellings, ["root", "pattern"]).unionByName(everywhere)
 
 

@@ -8,7 +8,6 @@ results are written.  With ``keep=False`` nothing is written and every table is
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,12 +19,17 @@ from ..sources.patterns import Patterns, default_patterns
 from ..sources.sinks import write_results
 
 
-@dataclass
 class Scan:
-    """What detection and the reports build on."""
-    features: DataFrame
-    tally: DataFrame
-    projects: DataFrame
+    """What detection and the reports build on.  The classified projects are planned when first asked for."""
+
+    def __init__(self, features: DataFrame, tally: DataFrame, patterns: Patterns, projects: DataFrame | None = None):
+        self.features, self.tally, self.patterns, self._projects = features, tally, patterns, projects
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        if self._projects is not None:
+            return self._projects
+        return pj.classify_services(pj.classify(pj.project_wide(self.tally, self.patterns)))
 
     @property
     def framework_scores(self) -> DataFrame:
@@ -43,7 +47,7 @@ def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: Ign
     features = stored(features, "features") if keep else features
     tally = pj.project_tally(features, patterns)
     tally = stored(tally, "tally") if keep else tally
-    return Scan(features, tally, pj.classify_services(pj.classify(pj.project_wide(tally, patterns))))
+    return Scan(features, tally, patterns)
 
 
 def summary_tables(scan: Scan, keep: bool = True) -> dict[str, DataFrame]:
@@ -154,7 +158,7 @@ def run_analysis(files: DataFrame, patterns: Patterns | None = None, rules: Igno
     tables: dict[str, DataFrame] = {}
     if detect:
         detection = detect_microservices(scan, keep=keep)
-        scan = Scan(scan.features, scan.tally, detection.services)
+        scan = Scan(scan.features, scan.tally, scan.patterns, detection.services)
         tables.update({f"service_{k}" if not k.startswith("service") else k: v
                        for k, v in service_report_tables(scan, detection, keep).items()})
     tables.update({f"project_{k}": v for k, v in project_report_tables(scan).items()})

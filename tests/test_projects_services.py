@@ -117,6 +117,19 @@ def test_long_urls_across_chunk_borders(spark):
     assert resolved(spark, [border, long, "none"], spellings) == {border: "n", long: "w", "none": None}
 
 
+def test_filter_rules_out_most_places_before_they_are_rows(spark):
+    """2,000 URLs, 100 of them with a spelling: places become rows only at anchors, not at every character."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("bcdfghjklm") for _ in range(n))
+    url_list = [f"http://{say(30)}/{say(20)}" + ("/users/list" if i % 20 == 0 else "") for i in range(2000)]
+    calls = spark.createDataFrame([("r", u) for u in url_list], "root string, url string")
+    spellings = spark.createDataFrame([("r", "users/list"), ("r", "users"), ("other", "http"), ("r", "q" * 70)], "root string, pattern string")
+    places = sv.anchored_places(sv.distinct_urls(calls), sv.anchors_of(spellings))
+    assert 100 <= places.count() <= 100 + sum(map(len, url_list)) * 0.001
+    found = sv.contained_spellings(sv.distinct_urls(calls), spellings)
+    assert sorted(r.pattern for r in found.collect()) == ["users"] * 100 + ["users/list"] * 100
+
+
 def test_empty_spelling_catches_everything(spark):
     assert resolved(spark, ["anything", "users"], [("users", "u", 0), ("", "e", 1)]) == {"anything": "e", "users": "u"}
 
