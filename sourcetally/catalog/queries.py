@@ -713,14 +713,39 @@ def link_spellings(spark, sf):
 
 # ---- jobs as a whole, sources and sink --------------------------------------------------------------
 
-@query("SELECT doc_id, text, strlen(text)::BIGINT AS length FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN chr(65533) || text || chr(65534) || '01' ELSE text END AS text,
+  (strlen(text) + CASE WHEN doc_id % 3 < 2 THEN 8 ELSE 0 END)::BIGINT AS length FROM documents""")
 def decode_text(spark, sf):
-    """Raw bytes with a stray byte behind the text of every third document."""
-    raw = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    """Raw bytes: of every third document with a stray byte, of two in three with the characters that stand for such bytes."""
+    raw = F.concat(F.when(F.col("doc_id") % 3 < 2, F.concat(F.lit("\ufffd"), "text", F.lit("\ufffe01"))).otherwise(F.col("text")).cast("binary"),
+                   F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
     return table(spark, sf, "documents").select("doc_id", text.decode_text(raw).alias("text")).withColumn(
         "length", F.octet_length("text").cast("bigint"))
 
 
+def _laid_out(files: DataFrame, parent: str) -> str:
+    """The files of one root as raw files below ``parent``, written by tasks; returns the root's directory."""
+    def write(batches):
+        from pyarrow import fs
+        place, base = fs.FileSystem.from_uri(parent)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                place.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with place.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(content.encode())
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(write, "path string").count()
+    return f"{parent}/corpus"
+
+
+@query(q("SELECT root, path, length, md5(content) AS digest FROM files"))
+def read_tree(spark, sf):
+    """The source tree as raw files, with `__init__.py`, `.env` and the like, read back."""
+    directory = _laid_out(code_files(spark, sf), f"{stored_folder(spark)}/raw-{uuid.uuid4().hex}")
+    return src.read_tree(spark, directory).select("root", "path", "length", F.md5("content").alias("digest"))
+
+
 @query(q("SELECT CASE WHEN contains(path, '/api/') THEN 'one' ELSE 'two' END AS root, path, length FROM files"))
 def union_roots(spark, sf):
     files = code_files(spark, sf)

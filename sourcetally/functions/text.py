@@ -15,10 +15,15 @@ from .paths import glob_search, is_glob
 
 
 def decode_text(raw: Column) -> Column:
-    """UTF-8 text of raw bytes with the undecodable bytes dropped.  A text that is valid stays as it
-    is, also where it holds U+FFFD itself; in an invalid one that character goes as well."""
+    """UTF-8 text of raw bytes with the undecodable bytes dropped.  U+FFFD that the bytes themselves
+    spell stays: it is written otherwise, by way of U+FFFE, while the ones that stand for bad bytes
+    go.  Both are whole characters wherever their bytes occur, so bytes can be replaced."""
     text = raw.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    given, other = F.lit("\ufffd"), "\ufffe"
+    hidden = F.replace(F.replace(text, F.lit(other), F.lit(other + "0")), given, F.lit(other + "1"))
+    clean = F.replace(F.make_valid_utf8(hidden), given, F.lit(""))
+    shown = F.replace(F.replace(clean, F.lit(other + "1"), given), F.lit(other + "0"), F.lit(other))
+    return F.when(F.is_valid_utf8(text), text).otherwise(shown)
 
 
 def has_main(content: Column) -> Column:

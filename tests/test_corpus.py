@@ -1,5 +1,7 @@
 """Ignore rules, project membership, file facts: worked out by hand."""
 
+import random
+
 import pytest
 from conftest import column
 from pyspark.sql import functions as F
@@ -155,9 +157,43 @@ def test_valid_text_keeps_its_replacement_characters(spark):
     assert [r.t for r in got.collect()] == ["a\ufffdb", "ab", "", None]
 
 
-def test_names_that_a_tree_reader_leaves_out(spark, tmp_path):
-    for name in ("a.py", "__init__.py", "_d/x.py", ".git/_x"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text("x")
-    assert src.left_out(spark, str(tmp_path)) == 2
-    assert column(src.read_tree(spark, str(tmp_path)), "path") == [f"{tmp_path.name}/a.py"]
+def test_decoding_equals_dropping_bad_bytes(spark):
+    """Random bytes around whole characters, with U+FFFD and U+FFFE among them, against Python's own decoding."""
+    rng = random.Random(6)
+    units = [b"a", b"0", b"1", b"\xff", b"\xc3", b"\xe2\x82", b"\xf0\x9f\x98", b"\x80", b"\xed\xa0\x80", "\ufffd".encode(), "\ufffe".encode(), "\u00e9\U0001F600".encode(), b"\xef\xbf"]
+    raw = [b"".join(rng.choice(units) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    got = spark.createDataFrame([(r,) for r in raw], "raw binary").select("raw", text.decode_text(F.col("raw")).alias("t")).collect()
+    assert all(r.t == bytes(r.raw).decode("utf-8", "ignore") for r in got)
+
+
+def test_tree_with_every_kind_of_name(spark, tmp_path):
+    """Names with `_` and `.`, odd characters, an unreadable file, links, empty and deep directories."""
+    root = tmp_path / "_corp"
+    deep = "/".join("d%d" % i for i in range(12))
+    tree = {"a.py": b"x", "__init__.py": b"", "_d/x.py": b"import os", ".git/_x": b"g", f"{deep}/f.txt": b"deep", "b c/100% #1?.txt": b"\xff\xc3\xa9", "\u00e9/\U0001F600.js": b"1", "big.bin": b"z" * 300}
+    for name, content in tree.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    (root / "empty").mkdir()
+    (root / "gone.py").symlink_to(root / "nowhere")
+    (root / "again").symlink_to(root)                                       # a circle, if it were followed
+    (root / "linked.py").symlink_to(root / "a.py")
+    got = {r.path: (r.root, r.length, r.content) for r in src.read_tree(spark, str(root)).collect()}
+    want = {f"_corp/{name}": ("_corp", len(content), content.decode("utf-8", "ignore")) for name, content in tree.items()}
+    assert got == want | {"_corp/gone.py": ("_corp", 0, None), "_corp/linked.py": ("_corp", 1, "x")}
+    assert "_corp/big.bin" not in column(src.read_tree(spark, f"file://{root}", max_bytes=299), "path")
+    assert src.read_tree(spark, str(root / "empty")).count() == 0
+    assert src.read_tree(spark, str(root / "not there")).count() == 0
+
+
+def test_tree_of_ten_thousand_files(spark, tmp_path):
+    """One directory holds half of the files; tasks share the rest."""
+    root = tmp_path / "wide"
+    names = [f"pkg{i % 70}/sub{i % 7}/m{i}.py" for i in range(5000)] + [f"all/_m{i}.py" for i in range(5000)]
+    for directory in {n.rpartition("/")[0] for n in names}:
+        (root / directory).mkdir(parents=True)
+    for i, name in enumerate(names):
+        (root / name).write_text(f"n = {i}")
+    got = src.read_tree(spark, str(root))
+    assert got.rdd.getNumPartitions() > 1
+    assert {r.path: r.content for r in got.collect()} == {f"wide/{name}": f"n = {i}" for i, name in enumerate(names)}
