@@ -20,7 +20,7 @@ from ..plans import jobs
 from ..session import spread, stored_folder
 from ..sources import files as src
 from ..sources.patterns import Patterns, default_patterns, family as pattern_family
-from ..sources.sinks import write_results
+from ..sources.sinks import replace_roots, write_results
 from . import oracle
 from .corpus_sql import CODE_FILES
 from .oracle import lit, q, q_roots
@@ -762,6 +762,25 @@ def written_results(spark, sf):
     return spark.read.parquet(paths["projects"]).select("root", "project", "project_type", "confidence", "file_count", "is_microservice")
 
 
+def _three_roots(files: DataFrame) -> DataFrame:
+    """Three roots by directory."""
+    has = lambda part: F.contains(F.col("path"), F.lit(part))
+    return files.withColumn("root", F.when(has("/api/"), F.lit("one")).when(has("/web/"), F.lit("two")).otherwise(F.lit("three")))
+
+
+@query(f"""SELECT CASE WHEN contains(path, '/api/') THEN 'one' WHEN contains(path, '/web/') THEN 'two' ELSE 'three' END AS root, project, count(*) AS n
+  FROM (SELECT * FROM ({_members_sql(3)}) WHERE NOT contains(path, '/web/') OR contains(path, '/api/')
+        UNION ALL SELECT * FROM ({_members_sql(1)}) WHERE contains(path, '/web/') AND NOT contains(path, '/api/')) GROUP BY ALL""")
+def replaced_root(spark, sf):
+    """Results of three roots, then a second run of one of them with another depth put in the place of its first."""
+    out = f"{stored_folder(spark)}/results-{uuid.uuid4().hex}"
+    files = _three_roots(code_files(spark, sf))
+    sized = lambda files, depth: corpus.assign_projects(corpus.kept_files(files, max_depth=depth)).groupBy("root", "project").agg(F.count("*").alias("n"))
+    write_results({"sizes": sized(files, 3)}, out)
+    paths = replace_roots({"sizes": sized(files.where("root = 'two'"), 1)}, out, ["two"])
+    return spark.read.parquet(paths["sizes"]).select("root", "project", "n")
+
+
 @query(q("""SELECT 'score' AS section, project, entry AS item, score10 FROM scores WHERE family = 'framework' AND score10 > 0
   UNION ALL SELECT 'indicator', project, entry, score10 FROM scores WHERE family = 'microservice'
   UNION ALL SELECT 'import', project, import, rank FROM (

@@ -10,7 +10,7 @@ from sourcetally.functions import scoring, urls
 from sourcetally.operators import projects as pj, services as sv, summary as sm
 from sourcetally.plans import jobs
 from sourcetally.session import stored
-from sourcetally.sources.sinks import write_results
+from sourcetally.sources.sinks import replace_roots, write_results
 
 
 def classified(files_of, tree, project="r"):
@@ -185,6 +185,35 @@ def test_run_analysis_and_sink(two_services, tmp_path):
     assert spark.read.json(as_json["totals"]).count() == 1
 
 
+def test_one_root_of_three_is_replaced(spark, files_of, tmp_path):
+    """A second run of one root: the others keep their files byte for byte, rows it no longer has go, new roots come in."""
+    def state():
+        return {str(p.relative_to(tmp_path)): (p.read_bytes(), p.stat().st_mtime_ns) for p in tmp_path.rglob("root=*/*.parquet")}
+
+    def run(tree):
+        scan = jobs.scan_projects(files_of(tree), keep=False)
+        return {"projects": scan.projects.select("root", "project", "file_count"), "errors": pj.project_errors(scan.features), "all": scan.projects.agg(F.count("*").alias("n"))}
+
+    first = {"a b/x.py": "", "a b/package.json": "{bad", "q%1/y.py": "", "q%1/package.json": "{bad", "007/z.py": ""}
+    write_results(run(first), str(tmp_path))
+    before = state()
+    with pytest.raises(Exception):
+        write_results(run(first), str(tmp_path))
+    paths = replace_roots(run({"a b/x.py": "", "a b/s/t.py": "", "new/n.py": ""}), str(tmp_path), ["a b", "new"])
+    assert set(paths) == {"projects", "errors"}
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        got = spark.read.parquet(paths["projects"])
+        assert column(got, "root", "project", "file_count") == [("007", "007", 1), ("a b", "a b", 2), ("a b", "a b/s", 1), ("new", "new", 1), ("q%1", "q%1", 2)]
+        assert column(spark.read.parquet(paths["errors"]), "root") == ["q%1"]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
+    other = lambda s: {k: v for k, v in s.items() if "root=a b" not in k and "root=new" not in k}
+    assert other(state()) == other(before) and len(other(before)) >= 3
+    with pytest.raises(ValueError):
+        replace_roots(run({"q%1/y.py": ""}), str(tmp_path), ["new"])
+
+
 def test_roots_are_kept_apart(files_of):
     files = files_of({"p/a.py": "", "q/a.py": "", "q/b.py": ""})
     projects = jobs.scan_projects(files, keep=False).projects
