@@ -67,6 +67,16 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]
     tidy()
 
 
+def whole_texts(texts: pa.Array) -> pa.LargeStringArray:
+    """The texts, null ones as empty, with offsets from 0.  Some Arrow functions go wrong on a cast slice,
+    whose first offset is not 0."""
+    texts = texts.fill_null("")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width, len(texts) + 1, texts.offset * np.dtype(width).itemsize).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = (texts.buffers()[2] or pa.py_buffer(b"")).slice(offsets[0], offsets[-1] - offsets[0])
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), data)
+
+
 def words_of(texts: list[str] | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space of each text: (codes of all words in order, the distinct
     words, number of words of each text)."""

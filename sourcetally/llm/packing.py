@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sourcetally.llm.arrow import byte_slices, gathered, merged, words_of
+from sourcetally.llm.arrow import byte_slices, gathered, merged, whole_texts, words_of
 from sourcetally.session import stored
 
-ROOM, BLOCK, END, CALL_WORDS, SLICE, MEMORY = 2048, 8192, 0, 8192, 12 << 20, 400_000
+ROOM, BLOCK, END, CALL_WORDS, SLICE, MEMORY = 2048, 8192, 0, 8192, 6 << 20, 250_000
 ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 3, 2, 8, 6
 
 
@@ -139,7 +139,7 @@ def word_tokenizer(path: str) -> Tokenizer:
 def token_stream(tokenizer: Tokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, each followed by ``end``, and where each text begins, the length of the
     whole last.  Null texts are empty ones."""
-    codes, words, counts = words_of(tokenizer.plain(texts.cast(pa.large_string()).fill_null("")))
+    codes, words, counts = words_of(tokenizer.plain(whole_texts(texts)))
     starts, sizes, flat = tokenizer.words(words, codes)
     closed = np.insert(codes, np.cumsum(counts), len(words)) if len(codes) else np.full(len(counts), len(words))
     ids, ends = gathered(np.append(flat, np.uint32(end)), np.append(starts, len(flat))[closed], np.append(sizes, 1)[closed])

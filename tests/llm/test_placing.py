@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,20 @@ def test_islands_reach_the_least_number(spark):
     assert 60 <= check_packing(got, 100) <= len(packing.decreasing(lengths, 100))
 
 
+def test_slices_of_a_batch_are_encoded_as_lists_are():
+    """Texts beyond the first slice of a batch, nulls, both widths of offsets, and a memory that is full."""
+    tokenizer = packing.Tokenizer(catalog.tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(12)
+    make = lambda: "".join(rng.choice(["\u00e9ta", "Wort", "\u00df", " ", "\n", "x1,", "\u0130", "don't ", "\U0001F600", "\u00a0", "<|", "a\u0301"]) for _ in range(rng.randrange(40)))
+    texts = [make() if rng.random() < 0.95 else None for _ in range(900)]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for a, n in ((0, 900), (300, 200), (899, 1), (450, 0), (501, 399)):
+            ids, cuts = packing.token_stream(tokenizer, whole.slice(a, n), 7)
+            want = [[*tokenizer.ids(t or ""), 7] for t in texts[a:a + n]]
+            assert [ids[x:y].tolist() for x, y in zip(cuts, cuts[1:])] == want and len(cuts) == n + 1
+
+
 def test_equal_rows_spread_over_blocks(spark):
     """40,000 rows that are equal in every column do not share a block, a part or a cell."""
     same = spark.range(40_000).select(F.lit(None).cast("long").alias("id"), F.lit(700).cast("long").alias("length"))
