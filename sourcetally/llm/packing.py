@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import random
 from collections.abc import Iterator
 from zlib import crc32
@@ -18,7 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from sourcetally.llm.arrow import byte_slices, gathered, merged, whole_texts, words_of
 from sourcetally.session import stored
 
-ROOM, BLOCK, END, CALL_WORDS, SLICE, MEMORY = 2048, 8192, 0, 8192, 6 << 20, 250_000
+ROOM, BLOCK, END, CALL_WORDS, SLICE, MEMORY = 2048, 8192, 0, 8192, 3 << 20, 250_000
 ISLANDS, EPOCHS, GENERATIONS, MEMBERS = 3, 2, 8, 6
 
 
@@ -29,6 +30,7 @@ class Tokenizer:
     token, which is checked on a few strings, as is what the short cuts below rest on."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")                  # Spark's tasks are the threads; more cost memory
         import tokenizers
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]

@@ -14,7 +14,7 @@ from sourcetally.llm.arrow import byte_slices, merged
 from sourcetally.llm.packing import token_stream, word_tokenizer
 
 #: Tokens of a sequence, pieces of a group, the id that ends a document, bytes of text tokenised at a time.
-ROOM, GROUP, END, SLICE = 2048, 8192, 1, 6 << 20
+ROOM, GROUP, END, SLICE = 2048, 8192, 1, 3 << 20
 
 #: A piece's part in a sequence: (piece, first token, tokens).
 Part = tuple[int, int, int]
