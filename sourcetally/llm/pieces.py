@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +115,7 @@ class Pieces:
         is longest, and so on towards the front."""
         base, check, value = self.lists
         scores, count = self.score_list, len(raw)
-        best, origin, piece = [-np.inf] * (count + 1), [0] * (count + 1), [-1] * (count + 1)
+        best, origin, piece = array("d", [-np.inf]) * (count + 1), array("q", [0]) * (count + 1), array("i", [-1]) * (count + 1)
         best[0] = 0.0
         for i in range(count):
             if best[i] == -np.inf:
@@ -133,12 +134,15 @@ class Pieces:
             end = min(count, i + width)
             if not covered and best[i] + self.lost > best[end]:
                 best[end], origin[end], piece[end] = best[i] + self.lost, i, -1
-        ids: list[int] = []
-        at = count
+        ids, at = array("i"), count                          # read from the end, turned round at last
         while at:
-            ids[:0] = [piece[at]] if piece[at] >= 0 else self._spelled(raw[origin[at]:at])
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids.extend(reversed(self._spelled(raw[origin[at]:at])))
             at = origin[at]
-        return ids, best[count]
+        ids.reverse()
+        return ids.tolist(), best[count]
 
     def _side_by_side(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same for many short units at once: one step of the trie moves all of them."""

@@ -1,6 +1,7 @@
 """Token counts, language, toxicity and piece encoding against brute force and held-out rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -214,6 +215,19 @@ def test_long_and_short_units_agree():
     assert flat.tolist() == [i for ids, _ in one for i in ids] and scores.tolist() == [s for _, s in one]
 
 
+def test_long_text_without_spaces():
+    """Ten megabytes in one unit; its first half has the ids that it has alone but for the last few."""
+    vocabulary = pieces.vocabulary(catalog.tokenizer_path("piece_bpe_32k.model"))
+    text = "".join(random.Random(9).choices("漢字仮名交文日本国人é😀ab", k=4_000_000))
+    assert len(text.encode()) > 10_000_000
+    begun = time.time()
+    (ids,), _ = vocabulary.encode([text])
+    assert time.time() - begun < 60
+    assert vocabulary.decode(ids.tolist()) == text
+    (half,), _ = vocabulary.encode([text[:2_000_000]])
+    assert ids[:len(half) - 40].tolist() == half[:-40].tolist()
+
+
 def test_encode_and_decode_columns(spark):
     path = catalog.tokenizer_path("piece_bpe_32k.model")
     docs = odd_docs(spark).withColumnRenamed("n_tokens", "ids")
