@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"), every=100)
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Classifier:

@@ -104,8 +104,23 @@ def edited(docs: DataFrame) -> DataFrame:
         F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half("n_chars")), F.col("head")).alias("edited"))
 
 
-def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+def searched(found: DataFrame, asked: Column, radius: int) -> DataFrame:
+    """``found`` (f0_0.. are its fingerprints) with n_close: for rows of ``asked`` the number of other
+    fingerprints in all of ``found`` within ``radius`` bits, each value once; null for the rest, which
+    stay where they are."""
+    words = [f"f{i}" for i in range(WORDS)]
+    values = [F.col(f"f0_{i}").alias(w) for i, w in enumerate(words)]
+    met = near(found.select(*values), found.where(asked).select(*values), radius)
+    counts = met.where("distance > 0").groupBy(*[F.col(f"q{i}").alias(f"f0_{i}") for i in range(WORDS)]).agg(F.count("*").alias("n_close"))
+    answered = (found.where(asked).join(counts, [f"f0_{i}" for i in range(WORDS)], "left")
+                .withColumn("n_close", F.coalesce("n_close", F.lit(0).cast("long"))))
+    return answered.unionByName(found.where(~asked).withColumn("n_close", F.lit(None).cast("long")))
+
+
+def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int | None = None, radius: int = 3) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), and with
+    ``every`` also n_close: of ids divisible by it the number of other fingerprints of the table within
+    ``radius`` bits, by the block tables of ``near``; null for other ids.
 
     A null text counts as empty.  Rows without an id have no place in the order and are left out;
     rows that share an id are one document, that with the smallest hash of the text.  A single
@@ -121,9 +136,11 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own, other = ([F.col(f"f{n}_{i}") for i in range(WORDS)] for n in (0, 1))
     after = [F.col(f"n{i}") for i in range(WORDS)]
     following = found.select(F.col("id").alias("next_id"), *[F.col(f"f0_{i}").alias(f"n{i}") for i in range(WORDS)])
+    if every is not None:
+        found = searched(found, F.col("id") % every == 0, radius)
     return found.join(following, "next_id").select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(other).alias("edited_fingerprint"),
-        likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"))
+        likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"), *(["n_close"] if every is not None else []))
 
 
 def block_tables(radius: int, blocks: int) -> list[tuple[int, ...]]:

@@ -1,8 +1,11 @@
 """SimHash against a plain computation, and its search against all pairs."""
 
+import functools
 import hashlib
+import re
 
 import pytest
+import xxhash
 
 from sourcetally.llm import catalog, simhash
 
@@ -31,6 +34,41 @@ def test_op3_query(spark):
     assert sum(r.near_edited > r.near_next for r in got.values()) > 0.95 * len(got)
     by_text = {}
     assert all(by_text.setdefault(texts[i], r.fingerprint) == r.fingerprint for i, r in got.items())
+    assert all(r.fingerprint == plain_fingerprint(texts[i]) for i, r in got.items())
+    ids, value = sorted(got, reverse=True), {i: int(r.fingerprint, 16) for i, r in got.items()}
+    share = lambda a, b: 1 - (a ^ b).bit_count() / 128
+    for k, i in enumerate(ids):
+        r = got[i]
+        assert r.near_edited == pytest.approx(share(value[i], int(r.edited_fingerprint, 16)))
+        assert r.near_next == pytest.approx(share(value[i], value[ids[(k + 1) % len(ids)]]))
+        assert r.n_close == close(value[i], value.values(), 3) if i % 100 == 0 else r.n_close is None
+
+
+def plain_fingerprint(text):
+    """The vote counted bit by bit, with the hash function's own library."""
+    words = re.sub("[ \t\n\x0b\f\r]+", " ", text.lower()).split(" ")
+    words = [w.encode() for w in words if w]
+    hashed = lambda *parts: functools.reduce(lambda seed, part: xxhash.xxh64_intdigest(part, seed), parts, 42)
+    terms = [hashed(*pair) for pair in zip(words, words[1:])] if len(words) != 1 else [hashed(words[0])]
+    halves = [terms, [hashed(t.to_bytes(8, "little"), (1).to_bytes(4, "little")) for t in terms]]
+    return "".join(f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in half) > len(half)):016x}" for half in halves)
+
+
+def close(own, values, radius):
+    return sum(0 < (own ^ v).bit_count() <= radius for v in set(values))
+
+
+def test_search_of_the_report(spark):
+    """Long texts that differ in a word, and copies; every second id is searched."""
+    import random
+    rng = random.Random(4)
+    words = [rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(3000)]
+    texts = [" ".join(words)] * 3 + [" ".join([*words[:k], "other", *words[k + 1:]]) for k in range(0, 3000, 100)] + ["", None, "apart"]
+    rows = [(k, t, 0) for k, t in enumerate(texts)] + [(None, "x", 0)]
+    got = simhash.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string, n_close int"), every=2, radius=5).collect()
+    value = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    assert len(got) == len(texts) and max(r.n_close or 0 for r in got) > 3
+    assert all(r.n_close == (close(value[r.doc_id], value.values(), 5) if r.doc_id % 2 == 0 else None) for r in got)
 
 
 def test_odd_rows(spark):
