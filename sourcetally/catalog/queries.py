@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import dictionaries as D
 from ..functions import paths as P, scoring, text, urls
@@ -788,7 +788,7 @@ def replaced_root(spark, sf):
   UNION ALL SELECT 'extension', project, ext, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, ext) AS rank FROM histogram) WHERE rank <= 15"""))
 def project_report(spark, sf):
-    """Four tables of the project report in one."""
+    """Four tables of the project report in one; ``project_report_lists`` has the others."""
     made = jobs.project_report_tables(scan(spark, sf, keep=True))
     part = lambda section, df, item, n: df.select(F.lit(section).alias("section"), "project", F.col(item).alias("item"), F.col(n).cast("bigint").alias("score10"))
     return (part("score", made["scores"], "name", "score10").unionByName(part("indicator", made["indicators"], "name", "score10"))
@@ -807,7 +807,7 @@ def summary_job(spark, sf):
     row_number() OVER (PARTITION BY root ORDER BY source, target, type) AS no FROM relationships
   UNION ALL SELECT 'service', pname, project, primary_communication, row_number() OVER (PARTITION BY root ORDER BY pname, project) FROM services"""))
 def service_report(spark, sf):
-    """Two listings of the service report, with their order."""
+    """Two listings of the service report, with their order; ``service_report_lists`` has the others."""
     base = scan(spark, sf, keep=True)
     made = jobs.service_report_tables(base, jobs.detect_microservices(base))
     part = lambda section, df, *columns: df.select(F.lit(section).alias("section"), *[F.col(c).alias(n) for c, n in zip(columns, "abc")], "no")
@@ -828,6 +828,114 @@ def project_index_unwritten(spark, sf):
     return sm.project_index(scan(spark, sf).projects, keep=False).select("root", "name", "project", "project_type", "no")
 
 
+# ---- every table of the jobs, with its order ---------------------------------------------------------
+
+_LABELS = oracle.strings([label for _, label in D.CONFIDENCE_LEVELS] + [D.LOWEST_CONFIDENCE])
+_PLACE = (f"row_number() OVER (PARTITION BY d.root, dimension ORDER BY CASE WHEN dimension = 'confidence' "
+          f"THEN list_position({_LABELS}, key) ELSE -n END, key)")
+
+
+@query(q(f"""SELECT d.root, dimension, key, n, n / t.total * 100 AS pct, {_PLACE} AS no FROM dist d
+  JOIN (SELECT root, count(*) AS total FROM projects GROUP BY root) t ON t.root = d.root"""))
+def summary_ranked(spark, sf):
+    """The whole summary table: every key of every dimension with its share and its place."""
+    return jobs.summary_tables(scan(spark, sf, keep=True))["summary"].select("root", "dimension", "key", "n", "pct", "no")
+
+
+@query(q(f"SELECT d.root, dimension, key, n, {_PLACE} AS no FROM dist d"))
+def summary_ranked_unwritten(spark, sf):
+    """The same places from a run that writes nothing."""
+    return jobs.summary_tables(scan(spark, sf), keep=False)["summary"].select("root", "dimension", "key", "n", "no")
+
+
+def _sections(tables: dict[str, tuple[DataFrame, list]]) -> DataFrame:
+    """Several tables as one: the columns of each as strings in a, b, c and a number."""
+    made = None
+    for section, (df, columns) in tables.items():
+        *texts, number = [c if isinstance(c, Column) else F.col(c) for c in columns]
+        part = df.select(F.lit(section).alias("section"), *[c.cast("string").alias(n) for c, n in zip(texts, "abc")], number.cast("bigint").alias("no"))
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+_ENTRIES = _TREE[:_TREE.index("SELECT project, parent, name, is_file, level")]
+
+
+@query(q(_ENTRIES + """
+  SELECT 'score' AS section, project AS a, entry AS b, confidence AS c, row_number() OVER (PARTITION BY project ORDER BY score10 DESC, ord) AS no
+    FROM (SELECT *, {0} AS confidence FROM scores) WHERE family = 'framework' AND score10 > 0
+  UNION ALL SELECT CASE family WHEN 'framework' THEN 'top framework' ELSE 'top indicator' END, project, entry, score10::VARCHAR, place
+    FROM (SELECT *, row_number() OVER (PARTITION BY project, family ORDER BY score10 DESC, ord) AS place FROM scores)
+    WHERE family IN ('framework', 'microservice') AND place <= 5
+  UNION ALL SELECT 'key file', project, substr(path, length(project) + 2), name, NULL FROM member WHERE key_file
+  UNION ALL SELECT 'error', project, file, error, place FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file, error) AS place
+    FROM (SELECT o.project, substr(e.path, length(o.project) + 2) AS file, error FROM errors e JOIN owner o USING (path))) WHERE place <= 20
+  UNION ALL SELECT 'entry', project, parent, name, level FROM entry
+  UNION ALL SELECT 'project', project, project_type, primary_language, file_count FROM projects""".format(
+      oracle._CONFIDENCE("least(score10 / 30.0::DOUBLE, 0.95::DOUBLE)"))))
+def project_report_lists(spark, sf):
+    """The other tables of the project report: scores with labels, both tops, key files, errors, tree and overview."""
+    base = scan(spark, sf, keep=True)
+    made = jobs.project_report_tables(base)
+    return _sections({
+        "score": (made["scores"], ["project", "name", "confidence_text", "no"]),
+        "top framework": (made["top_frameworks"], ["project", "name", "score10", "rank"]),
+        "top indicator": (made["top_indicators"], ["project", "name", "score10", "rank"]),
+        "key file": (made["key_files"], ["project", "key_file", "name", F.lit(None)]),
+        "error": (made["errors"], ["project", "file", "error", "rank"]),
+        "entry": (made["listing"], ["project", "parent", "name", "level"]),
+        "project": (made["overview"], ["project", "project_type", "primary_language", "file_count"])})
+
+
+@query(q("""SELECT 'endpoint' AS section, e.project AS a, e.endpoint AS b, e.method || ' ' || e.file AS c,
+    row_number() OVER (PARTITION BY e.root ORDER BY e.project, e.endpoint, e.method, e.file, e.framework) AS no
+    FROM endpoints e JOIN services s USING (project)
+  UNION ALL SELECT 'call', c.project, c.url, coalesce(r.target, 'Unknown') || ' ' || c.file, row_number() OVER (PARTITION BY c.root ORDER BY c.project, c.url, c.file)
+    FROM service_calls c LEFT JOIN (SELECT root, source, url, min(target) AS target FROM relationships GROUP BY ALL) r
+      ON r.root = c.root AND r.source = c.service AND r.url = c.url
+  UNION ALL SELECT 'indicator', c.project, entry, '', score10 FROM scores c JOIN services s USING (project) WHERE family = 'microservice'
+  UNION ALL SELECT 'edge', regexp_replace(source, '[^a-zA-Z0-9]', '_', 'g'), regexp_replace(target, '[^a-zA-Z0-9]', '_', 'g'), '', NULL FROM relationships"""))
+def service_report_lists(spark, sf):
+    """The other tables of the service report: endpoints and call targets in their order, indicators, edges."""
+    base = scan(spark, sf, keep=True)
+    made = jobs.service_report_tables(base, jobs.detect_microservices(base))
+    return _sections({
+        "endpoint": (made["endpoints"], ["project", "endpoint", F.concat_ws(" ", "method", "file"), "no"]),
+        "call": (made["call_targets"], ["project", "url", F.concat_ws(" ", "target", "file"), "no"]),
+        "indicator": (made["service_indicators"], ["project", "name", F.lit(""), "score10"]),
+        "edge": (made["diagram_edges"], ["source", "target", F.lit(""), F.lit(None)])})
+
+
+_FIRST = lambda rows, keys, k: f"(SELECT least(count(*), {k}) AS n FROM {rows} GROUP BY {keys})"
+_SIZES = {
+    "services": "services", "service_relationships": "relationships", "service_diagram_edges": "relationships",
+    "service_indicators": "scores JOIN services USING (project) WHERE family = 'microservice'",
+    "service_endpoints": "endpoints JOIN services USING (project)", "service_call_targets": "service_calls",
+    "project_overview": "projects", "project_scores": "scores WHERE family = 'framework'",
+    "project_indicators": "scores WHERE family = 'microservice'", "project_key_files": "member WHERE key_file", "project_listing": "entry",
+    "project_top_frameworks": ("scores WHERE family = 'framework'", "project", 5), "project_top_indicators": ("scores WHERE family = 'microservice'", "project", 5),
+    "project_imports": ("project_imports", "project", 30), "project_extensions": ("histogram", "project", 15),
+    "project_errors": ("errors JOIN owner USING (path)", "project", 20),
+    "summary": "dist", "project_index": "projects", "totals": "(SELECT DISTINCT root FROM projects)",
+    "summary_shown": ("dist", "root, dimension", "CASE any_value(dimension) " + " ".join(f"WHEN {lit(d)} THEN {k}" for d, k in sm.TOP.items()) + " ELSE 2147483647 END"),
+    "stats": "(SELECT DISTINCT dimension, key FROM dist WHERE dimension IN ('project_type', 'language', 'confidence', 'framework'))",
+}
+
+
+@query(q(_ENTRIES + " UNION ALL ".join(
+    f"SELECT {lit(name)} AS \"table\", coalesce(sum(n), 0)::BIGINT AS n FROM {_FIRST(*rows)}" if isinstance(rows, tuple)
+    else f"SELECT {lit(name)}, count(*) FROM {rows}" for name, rows in sorted(_SIZES.items(), key=lambda x: not isinstance(x[1], tuple))))
+    .replace("kept AS (SELECT * FROM files WHERE", "kept AS (SELECT * FROM files WHERE length <= 4000 AND NOT contains(path, '/web/') AND"))
+def analysis_with_options(spark, sf):
+    """Rows of every table of a whole run with a size limit and an ignore pattern more."""
+    made = jobs.run_analysis(code_files(spark, sf), rules=P.IgnoreRules(extra=["/web/"]), max_bytes=4000)
+    counts = None
+    for name, df in made.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
 _HIDDEN = """WITH t AS (SELECT '.r' AS root, '.r/' || CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN '' WHEN 1 THEN '.hid/' WHEN 2 THEN 'node_modules/'
     WHEN 3 THEN 'a/.hid/b/' WHEN 4 THEN 'a/b/' WHEN 5 THEN 'a/b/c/d/e/.hid/' ELSE 'a/b/c/d/e/' END || 'f' || CAST(doc_id AS {kind}) || '.py' AS path
   FROM {documents})"""

@@ -100,38 +100,68 @@ def topk_scores(scores: DataFrame, k: int = 5) -> DataFrame:
     return topk_per(scores.where(F.col("score10") > 0), PROJECT, [F.desc("score10"), F.asc("ord")], k)
 
 
-def first_with_overflow(rows: DataFrame, order: list, k: int) -> DataFrame:
-    """First k rows per project with the number of rows left out (``overflow``)."""
-    totals = rows.groupBy(*PROJECT).agg(F.count("*").alias("total"))
-    return (topk_per(rows, PROJECT, order, k).join(totals, PROJECT)
-            .withColumn("overflow", F.greatest(F.col("total") - k, F.lit(0))).drop("total"))
+PARTS = 64        # parts by hash of a project's or a group's rows, each of which keeps a few
+
+
+def first_with_overflow(rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    """First k rows per project with the number of rows left out (``overflow``).
+
+    The rows are read once.  A project, which may own every file, falls into PARTS parts by a hash of
+    the row; each part counts itself and keeps its first k, and at most PARTS * k rows of a project
+    meet.
+    """
+    parted = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+    one = Window.partitionBy(*PROJECT, "part")
+    kept = (parted.withColumns({"place": F.row_number().over(one.orderBy(*order)), "size": F.count("*").over(one)})
+            .where(F.col("place") <= k).withColumn("size", F.when(F.col("place") == 1, F.col("size"))))
+    whole = Window.partitionBy(*PROJECT)
+    return (kept.withColumns({"rank": F.row_number().over(whole.orderBy(*order)), "total": F.sum("size").over(whole)})
+            .where(F.col("rank") <= k).withColumn("overflow", F.greatest(F.col("total") - k, F.lit(0)))
+            .drop("part", "place", "size", "total"))
 
 
 def first_imports(imports: DataFrame, k: int = 30) -> DataFrame:
-    return first_with_overflow(imports, [F.asc("import")], k)
+    return first_with_overflow(imports, ["import"], k)
 
 
 def first_errors(errors: DataFrame, k: int = 20) -> DataFrame:
-    return first_with_overflow(errors, [F.asc("file"), F.asc("error")], k)
+    return first_with_overflow(errors, ["file", "error"], k)
+
+
+RANGES, DRAWN = 128, 32      # of a group in numbered() without writing: ranges, rows drawn for each
 
 
-def numbered(rows: DataFrame, order: list[str], keep: bool = True) -> DataFrame:
-    """Add ``no``: the place of a row in its root by the columns ``order``, from 1.
+def _bounds(rows: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    """(by, bounds): at most RANGES values of the order columns that cut a group into ranges of like
+    size.  They come from at most RANGES * DRAWN of its rows, those with the smallest hashes in each of
+    PARTS parts, so a task sends no more than that; whole values are compared, so a common prefix of
+    any length is no matter."""
+    hashed = F.xxhash64(*order)
+    parted = rows.select(*by, *order, F.pmod(hashed, F.lit(PARTS)).alias("part"))
+    drawn = topk_per(parted, [*by, "part"], [hashed], RANGES * DRAWN // PARTS)
+    values = drawn.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("values"))
+    step = F.greatest(F.floor(F.size("values") / RANGES), F.lit(1)).cast("int")
+    return values.select(*by, F.filter("values", lambda v, i: (i > 0) & (i % step == 0)).alias("bounds"))
+
+
+def numbered(rows: DataFrame, order: list[str], keep: bool = True, by: list[str] = ["root"]) -> DataFrame:
+    """Add ``no``: the place of a row in its group ``by`` in ascending order of the columns ``order``, from 1.
 
     The rows fall into ranges in that order; a row's number is its number inside its range plus
     the sizes of the ranges before it.  With ``keep`` the ranges are Spark's, of like size, and
-    stored, so no task sees a whole root.  Without it nothing is written and a range is what shares
-    the first three characters of the first column.
+    stored, so no task sees a whole group.  Without it nothing is written and the ranges of a group
+    are cut at the quantiles of rows drawn from it.  Columns of ``by`` and ``order`` are not null.
     """
     if keep:
-        ranged = stored(rows.repartitionByRange("root", *order).withColumn("part", F.spark_partition_id()), "numbered")
+        ranged = stored(rows.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()), "numbered")
     else:
-        ranged = rows.withColumn("part", F.left(order[0], F.lit(3)))
-    sizes = ranged.groupBy("root", "part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(      # rows: at most roots x ranges
-        Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("root", "part").orderBy(*order)))
-    return (inside.join(before, ["root", "part"])
+        ranged = rows.join(_bounds(rows, order, by), by).withColumn(
+            "part", F.size(F.filter("bounds", lambda b: b <= F.struct(*order)))).drop("bounds")
+    sizes = ranged.groupBy(*by, "part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(      # rows: at most groups x ranges
+        Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order)))
+    return (inside.join(before, [*by, "part"])
             .withColumn("no", F.col("inside") + F.coalesce("before", F.lit(0)))
             .drop("part", "inside", "size", "before"))
 
@@ -159,7 +189,7 @@ def multi_root_stats(projects: DataFrame, framework_scores: DataFrame) -> DataFr
 ORDERS = {
     "services": ["name", "project"],
     "relationships": ["source", "target", "type"],
-    "endpoints": ["project", "endpoint", "method", "file"],
+    "endpoints": ["project", "endpoint", "method", "file", "framework"],
     "call_targets": ["project", "url", "file"],
 }
 
@@ -169,19 +199,16 @@ def listed(tables: dict[str, DataFrame], keep: bool = True) -> dict[str, DataFra
     return {name: numbered(table, ORDERS[name], keep) if name in ORDERS else table for name, table in tables.items()}
 
 
-def by_frequency(dist: DataFrame) -> DataFrame:
-    return dist.orderBy(F.desc("n"), "key")
-
-
-def by_confidence_rank(dist: DataFrame) -> DataFrame:
-    return dist.orderBy(scoring.confidence_rank(F.col("key")))
-
-
-def scores_descending(scores: DataFrame) -> DataFrame:
-    return scores.orderBy("project", F.desc("score10"), "ord")
+def ranked(dist: DataFrame, keep: bool = True) -> DataFrame:
+    """Distributions with ``no``, the place of a key in its dimension: confidence labels from high to
+    low, other keys by frequency, then by name."""
+    first = F.when(F.col("dimension") == "confidence", scoring.confidence_rank(F.col("key")).cast("long")).otherwise(-F.col("n"))
+    return numbered(dist.withColumn("_first", first), ["_first", "key"], keep, ["root", "dimension"]).drop("_first")
 
 
 def scores_with_confidence(scores: DataFrame) -> DataFrame:
-    """Scores above zero with the label of the capped score."""
-    return scores.where(F.col("score10") > 0).withColumn(
-        "confidence_text", scoring.confidence_level(scoring.capped_score(F.col("score10"), 3)))
+    """Scores above zero with the label of the capped score and ``no``, the place in their project: the
+    best first, then in dictionary order.  A project has no more rows than the dictionary has entries."""
+    place = Window.partitionBy(*PROJECT).orderBy(F.desc("score10"), "ord")
+    return scores.where(F.col("score10") > 0).withColumns({
+        "confidence_text": scoring.confidence_level(scoring.capped_score(F.col("score10"), 3)), "no": F.row_number().over(place)})

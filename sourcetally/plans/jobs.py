@@ -51,8 +51,9 @@ def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: Ign
 
 
 def summary_tables(scan: Scan, keep: bool = True) -> dict[str, DataFrame]:
-    """One tall table of all distributions, its shares and rankings, totals and the listing.  With
-    ``keep`` the distributions and the listing's ranges are stored; without it nothing is written."""
+    """One tall table of all distributions with shares and the place of each key (``no``), what of it is
+    shown, totals and the listing.  With ``keep`` the distributions and the ranges are stored; without
+    it nothing is written."""
     projects = scan.projects
     parts = {
         "project_type": sm.summary_types(projects),
@@ -66,14 +67,11 @@ def summary_tables(scan: Scan, keep: bool = True) -> dict[str, DataFrame]:
     for part in parts.values():
         tall = part if tall is None else tall.unionByName(part)
     dist = stored(tall, "summary") if keep else tall
-    order = [F.desc("n"), F.asc("key")]
-    cut = F.coalesce(*[F.when(F.col("dimension") == d, F.lit(k)) for d, k in sm.TOP.items()], F.lit(2**31 - 1))
-    ranked = sm.topk_per(dist.where(F.col("dimension").isin(*sm.TOP)), ["root", "dimension"], order,
-                         max(sm.TOP.values())).where(F.col("rank") <= cut).drop("rank")
-    shown = ranked.unionByName(dist.where(~F.col("dimension").isin(*sm.TOP)))
+    dist = sm.ranked(dist, keep)
+    shown = F.coalesce(*[F.when(F.col("dimension") == d, F.col("no") <= k) for d, k in sm.TOP.items()], F.lit(True))
     return {
         "summary": sm.with_share(dist, projects),
-        "summary_shown": sm.with_share(shown, projects),
+        "summary_shown": sm.with_share(dist.where(shown), projects),
         "totals": sm.summary_totals(projects),
         "project_index": sm.project_index(projects, keep),
     }

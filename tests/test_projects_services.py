@@ -1,5 +1,6 @@
 """Classification, the service graph and the composite jobs."""
 
+import bisect
 import random
 
 import pytest
@@ -239,10 +240,43 @@ def test_topk_and_overflow(files_of):
     assert first.count() == 30 and column(first, "overflow")[0] == 3
 
 
-def test_confidence_rank(spark):
+@pytest.mark.parametrize("keep", [True, False])
+def test_ranked_distributions(spark, keep):
     labels = ["Low", "Very High", "Unknown", "Medium", "Very Low", "High"]
-    df = spark.createDataFrame([(x,) for x in labels], "key string")
-    assert [r[0] for r in sm.by_confidence_rank(df).collect()] == ["Very High", "High", "Medium", "Low", "Very Low", "Unknown"]
+    rows = [("r", "confidence", x, n) for n, x in enumerate(labels)] + [("r", "extension", x, n) for x, n in ((".b", 2), (".a", 2), (".c", 9))]
+    got = {(r.dimension, r.no): r.key for r in sm.ranked(spark.createDataFrame(rows, "root string, dimension string, key string, n long"), keep).collect()}
+    assert [got["confidence", n] for n in range(1, 7)] == ["Very High", "High", "Medium", "Low", "Very Low", "Unknown"]
+    assert [got["extension", n] for n in range(1, 4)] == [".c", ".a", ".b"] and len(got) == 9
+
+
+def test_numbering_without_writing_with_a_common_prefix(spark):
+    """100,000 names with one long prefix, nine in ten of them with a longer one: the ranges are of like
+    size, the numbers whole; a small root and an empty table beside it."""
+    prefix = "very/long/common/prefix/of/all/names/"
+    name = F.concat(F.lit(prefix), F.when(F.col("id") % 10 > 0, F.lit("and/of/most/of/them/")).otherwise(F.lit("")), F.hex(F.xxhash64("id")))
+    rows = spark.range(100_000).select(F.lit("big").alias("root"), name.alias("name"), F.col("id").cast("string").alias("project"))
+    rows = rows.unionByName(spark.createDataFrame([("small", "b", "2"), ("small", "a", "1")], rows.schema))
+    got = sm.numbered(rows, ["name", "project"], keep=False)
+    listed = [(r.name, r.no) for r in got.where("root = 'big'").collect()]
+    assert [n for _, n in sorted(listed)] == list(range(1, 100_001))
+    assert column(got.where("root = 'small'"), "name", "no") == [("a", 1), ("b", 2)]
+    bounds = sm._bounds(rows, ["name", "project"], ["root"]).where("root = 'big'").first().bounds
+    values = sorted((n,) for n, _ in listed)
+    cuts = [0, *[bisect.bisect_left(values, (b["name"],)) for b in bounds], len(values)]
+    assert len(cuts) >= sm.RANGES and max(b - a for a, b in zip(cuts, cuts[1:])) <= 2 * len(values) / sm.RANGES
+    tasks = got.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert tasks.max() <= 2 * tasks.mean()
+    assert sm.numbered(rows.limit(0), ["name", "project"], keep=False).count() == 0
+
+
+def test_overflow_reads_its_input_once(spark, tmp_path):
+    """One scan; the first of a project with very many rows beside a small one."""
+    spark.range(50_000).selectExpr("'r' AS root", "if(id < 3, 'r/small', 'r') AS project", "concat('m', lpad(id, 6, '0')) AS import").write.parquet(str(tmp_path / "i"))
+    first = sm.first_imports(spark.read.parquet(str(tmp_path / "i")), 5)
+    assert column(first, "project", "import", "rank", "overflow") == (
+        [("r", f"m{n + 3:06d}", n + 1, 49_992) for n in range(5)] + [("r/small", f"m{n:06d}", n + 1, 0) for n in range(3)])
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
 
 
 def test_scores_of_very_large_corpora_are_exact(spark):
