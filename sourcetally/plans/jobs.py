@@ -8,13 +8,14 @@ results are written.  With ``keep=False`` nothing is written and every table is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import IgnoreRules
 from ..operators import corpus, features as ft, projects as pj, services as sv, summary as sm
-from ..session import release, stored
+from ..session import run_scope, stored
 from ..sources.patterns import Patterns, default_patterns
 from ..sources.sinks import write_results
 
@@ -166,8 +167,14 @@ def run_analysis(files: DataFrame, patterns: Patterns | None = None, rules: Igno
 
 
 def analyse(files: DataFrame, out: str, fmt: str = "parquet", **options) -> dict[str, str]:
-    """``run_analysis`` with its tables written below ``out`` and the intermediate ones removed."""
-    try:
+    """``run_analysis`` as a run of its own: its tables are written below ``out`` and the intermediate ones
+    removed, also after an error; those of other runs stay."""
+    with run_scope(files.sparkSession):
         return write_results(run_analysis(files, **options), out, fmt)
-    finally:
-        release(files.sparkSession)
+
+
+def write_query(query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, source: str, out: str, fmt: str = "parquet") -> str:
+    """A single query (``spark``, folder of its tables) as a run of its own, written to ``out``."""
+    with run_scope(spark):
+        query(spark, source).write.format(fmt).save(out)
+    return out

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,23 +41,48 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored_folder(spark: SparkSession) -> str:
-    """Where this application's intermediate tables lie."""
+#: Folder of the run that this thread is in, see ``run_scope``.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def _application_folder(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the application's intermediate tables, once its results are written: also those behind
-    other results of this application, which then can't be read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(stored_folder(spark))
+def stored_folder(spark: SparkSession) -> str:
+    """Where intermediate tables lie: those of this run, if there is one, else of this application."""
+    return "/".join(filter(None, [_application_folder(spark), _run.get()]))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """A run: tables that ``stored`` writes inside, in this thread, are removed when it ends, also by an
+    error, and no others are.  Results must be written or collected before; a run inside a run ends
+    by itself."""
+    token = _run.set(f"run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        folder = stored_folder(spark)
+        _run.reset(token)
+        _remove(spark, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all of the application's intermediate tables: also those behind lazy results and in other
+    runs of this application, which then can't be read any more; ``run_scope`` ends one run alone."""
+    _remove(spark, _application_folder(spark))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the scratch folder and read it back: cuts the lineage, survives the
-    loss of executors and, unlike a checkpoint, keeps column pruning for its readers.  ``release``
-    removes all such tables."""
+    loss of executors and, unlike a checkpoint, keeps column pruning for its readers.  It goes when
+    its ``run_scope`` ends, or by ``release``."""
     path = f"{stored_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,9 @@
 """Classification, the service graph and the composite jobs."""
 
 import bisect
+import glob
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import column
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from sourcetally.functions import scoring, urls
 from sourcetally.operators import projects as pj, services as sv, summary as sm
 from sourcetally.plans import jobs
-from sourcetally.session import stored
+from sourcetally.session import run_scope, stored, stored_folder
 from sourcetally.sources.sinks import replace_roots, write_results
 
 
@@ -315,3 +317,38 @@ def test_analyse_leaves_no_intermediate_tables(spark, files_of, tmp_path):
     written = jobs.analyse(files, str(tmp_path / "out"))
     assert not os.path.exists(stored_folder(spark).removeprefix("file:"))
     assert spark.read.parquet(written["totals"]).select("total_projects").first()[0] == before[0].total_projects
+
+
+def test_a_run_removes_its_own_tables_alone(files_of, spark, tmp_path):
+    """After a run, after an error, in a run within a run, and for a single query."""
+    files = files_of({"r/app.py": "import flask\n", "r/a/b.py": "x = 1\n"})
+    lies = lambda: sorted(glob.glob(f"{stored_folder(spark)}/*"))
+    other = stored(files, "other")
+    before = lies()
+    paths = jobs.analyse(files, str(tmp_path / "out"))
+    assert lies() == before and other.count() == 2
+    assert spark.read.parquet(paths["totals"]).count() == 1
+    with pytest.raises(Exception):
+        jobs.analyse(files, str(tmp_path / "out"))                       # is there already
+    with pytest.raises(ZeroDivisionError), run_scope(spark):
+        assert stored(files, "lost").count() == 2 and lies()
+        1 / 0
+    assert lies() == before
+    with run_scope(spark):
+        own = stored(files, "own")
+        with run_scope(spark):
+            stored(files, "inner")
+        assert own.count() == 2 and len(lies()) == 1
+    assert lies() == before and other.count() == 2
+    made = jobs.write_query(lambda s, _: stored(files, "single"), spark, "", str(tmp_path / "single"))
+    assert spark.read.parquet(made).count() == 2 and lies() == before
+
+
+def test_runs_of_two_threads(files_of, spark, tmp_path):
+    files = files_of({"r/app.py": "import flask\n"})
+    with run_scope(spark):
+        mine = stored(files, "mine")
+        with ThreadPoolExecutor(1) as pool:
+            pool.submit(jobs.write_query, lambda s, _: stored(files, "theirs"), spark, "", str(tmp_path / "theirs")).result()
+        assert mine.count() == 1
+    assert spark.read.parquet(str(tmp_path / "theirs")).count() == 1
