@@ -310,12 +310,11 @@ def test_one_project_owns_all_calls(files_of):
 
 
 def test_analyse_leaves_no_intermediate_tables(spark, files_of, tmp_path):
-    import os
-    from sourcetally.session import stored_folder
     files = files_of({"r/app.py": "import flask"})
+    there = sorted(glob.glob(f"{stored_folder(spark)}/**", recursive=True))
     before = jobs.summary_tables(jobs.scan_projects(files, keep=False), keep=False)["totals"].collect()
     written = jobs.analyse(files, str(tmp_path / "out"))
-    assert not os.path.exists(stored_folder(spark).removeprefix("file:"))
+    assert [p for p in sorted(glob.glob(f"{stored_folder(spark)}/*/**", recursive=True)) if p not in there] == []
     assert spark.read.parquet(written["totals"]).select("total_projects").first()[0] == before[0].total_projects
 
 
