@@ -82,8 +82,9 @@ def _unpack(best: str, names: list[str]) -> Column:
         F.element_at(string_array(names), (ord_ + 1).cast("int")).alias("name")))
 
 
-def project_wide(tally: DataFrame, patterns: Patterns | None = None) -> DataFrame:
-    """One row per project: counts, flags, best framework, microservice score, communication."""
+def project_wide(tally: DataFrame, patterns: Patterns | None = None, *more: Column) -> DataFrame:
+    """One row per project: counts, flags, best framework, microservice score, communication, and
+    what else ``more`` aggregates of its tally."""
     patterns = patterns or default_patterns()
     base = F.col("family").isNull()
     flags = ["has_main", "has_setup", "has_package_json", "has_docker"]
@@ -93,7 +94,7 @@ def project_wide(tally: DataFrame, patterns: Patterns | None = None) -> DataFram
         *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags],
         _best("framework").alias("_framework"),
         F.coalesce(F.sum(F.when(F.col("family") == "microservice", F.col("score10"))), F.lit(0)).alias("total10"),
-        _best("communication").alias("_communication"))
+        _best("communication").alias("_communication"), *more)
     return (wide.withColumns({"framework": _unpack("_framework", patterns.names("framework")),
                               "communication": _unpack("_communication", patterns.names("communication")),
                               "name": project_name(F.col("project"))})

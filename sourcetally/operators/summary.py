@@ -42,6 +42,33 @@ def summary_extensions(histogram: DataFrame, by: list[str] = ["root"]) -> DataFr
             .select(*by, F.lit("extension").alias("dimension"), "key", "n"))
 
 
+def counting_frameworks() -> Column:
+    """Aggregate of a project's tally: ``frameworks`` scored above 1.0, no more than the dictionary has."""
+    counts = (F.col("family") == "framework") & (F.col("score10") > FRAMEWORK_BAR10)
+    return F.collect_list(F.when(counts, F.col("entry"))).alias("frameworks")
+
+
+def _entry(dimension: str, key: Column) -> Column:
+    return F.struct(F.lit(dimension).alias("dimension"), key.alias("key"))
+
+
+def summary_projects(projects: DataFrame, by: list[str] = ["root"]) -> DataFrame:
+    """Types, languages, confidence and frameworks of projects with their ``frameworks``, in one pass."""
+    single = F.array(_entry("project_type", F.col("project_type")), _entry("language", F.col("primary_language")),
+                     _entry("confidence", F.col("confidence_text")))
+    entries = F.concat(single, F.transform("frameworks", lambda name: _entry("framework", name)))
+    return (projects.select(*by, F.explode(entries).alias("e")).groupBy(*by, "e.dimension", "e.key")
+            .agg(F.count("*").alias("n")))
+
+
+def summary_files(features: DataFrame, by: list[str] = ["root"]) -> DataFrame:
+    """Key files and extensions in one pass: a file counts once for each of its projects."""
+    entries = F.array_compact(F.array(F.when(F.col("is_key_file"), _entry("key_file", F.col("name"))),
+                                      F.when(F.col("ext") != "", _entry("extension", F.col("ext")))))
+    return (features.where(F.size("projects") > 0).select(*by, F.size("projects").alias("levels"), F.explode(entries).alias("e"))
+            .groupBy(*by, "e.dimension", "e.key").agg(F.sum("levels").alias("n")))
+
+
 def summary_totals(projects: DataFrame, by: list[str] = ["root"]) -> DataFrame:
     """Projects, files (once per project that owns them) and microservices."""
     return projects.groupBy(*by).agg(
@@ -58,6 +85,12 @@ def with_share(dist: DataFrame, projects: DataFrame, by: list[str] = ["root"]) -
     return shared.withColumn("pct", F.col("n") / F.col("total") * 100).drop("total")
 
 
+def with_share_of_types(dist: DataFrame, types: DataFrame, by: list[str] = ["root"]) -> DataFrame:
+    """``with_share`` where the number of projects comes from a distribution: each has one type."""
+    totals = types.groupBy(*by).agg(F.sum(F.when(F.col("dimension") == "project_type", F.col("n"))).alias("total"))
+    return dist.join(totals, by).withColumn("pct", F.col("n") / F.col("total") * 100).drop("total")
+
+
 def _whole(dist: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """Attach an aggregate of the distribution to each of its rows: an aggregate and a join,
     no window, since one distribution may have very many keys."""
@@ -151,10 +184,17 @@ def numbered(rows: DataFrame, order: list[str], keep: bool = True, by: list[str]
     the sizes of the ranges before it.  With ``keep`` the ranges are Spark's, of like size, and
     stored, so no task sees a whole group.  Without it nothing is written and the ranges of a group
     are cut at the quantiles of rows drawn from it.  Columns of ``by`` and ``order`` are not null.
+
+    Without writing the rows are read for the cuts, for the sizes and for the numbers.  Each reader
+    orders equal rows by a hash of all columns, so all need the same columns of one exchange, which
+    Spark makes once and reuses: what is behind the rows runs once.
     """
     if keep:
         ranged = stored(rows.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()), "numbered")
     else:
+        columns = [f.name for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        rows = rows.repartition(*columns).withColumn("_row", F.xxhash64(*columns))
+        order = [*order, "_row"]
         ranged = rows.join(_bounds(rows, order, by), by).withColumn(
             "part", F.size(F.filter("bounds", lambda b: b <= F.struct(*order)))).drop("bounds")
     sizes = ranged.groupBy(*by, "part").agg(F.count("*").alias("size"))
@@ -163,7 +203,7 @@ def numbered(rows: DataFrame, order: list[str], keep: bool = True, by: list[str]
     inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order)))
     return (inside.join(before, [*by, "part"])
             .withColumn("no", F.col("inside") + F.coalesce("before", F.lit(0)))
-            .drop("part", "inside", "size", "before"))
+            .drop("part", "inside", "size", "before", "_row"))
 
 
 def project_index(projects: DataFrame, keep: bool = True) -> DataFrame:

@@ -54,25 +54,29 @@ def scan_projects(files: DataFrame, patterns: Patterns | None = None, rules: Ign
 def summary_tables(scan: Scan, keep: bool = True) -> dict[str, DataFrame]:
     """One tall table of all distributions with shares and the place of each key (``no``), what of it is
     shown, totals and the listing.  With ``keep`` the distributions and the ranges are stored; without
-    it nothing is written."""
+    it nothing is written, and as every dimension on its own would search the texts again, those of
+    the projects come from one pass over the tally and those of the files from one over the paths."""
     projects = scan.projects
-    parts = {
-        "project_type": sm.summary_types(projects),
-        "language": sm.summary_languages(projects),
-        "confidence": sm.summary_confidence(projects),
-        "framework": sm.summary_frameworks(scan.framework_scores),
-        "key_file": sm.summary_key_files(pj.project_key_files(scan.features)),
-        "extension": sm.summary_extensions(pj.extension_histogram(scan.features)),
-    }
-    tall = None
-    for part in parts.values():
-        tall = part if tall is None else tall.unionByName(part)
+    if keep:
+        parts = [
+            sm.summary_types(projects), sm.summary_languages(projects), sm.summary_confidence(projects),
+            sm.summary_frameworks(scan.framework_scores),
+            sm.summary_key_files(pj.project_key_files(scan.features)),
+            sm.summary_extensions(pj.extension_histogram(scan.features)),
+        ]
+    else:
+        counted = pj.classify(pj.project_wide(scan.tally, scan.patterns, sm.counting_frameworks()))
+        parts = [sm.summary_projects(counted), sm.summary_files(scan.features)]
+    tall = parts[0]
+    for part in parts[1:]:
+        tall = tall.unionByName(part)
     dist = stored(tall, "summary") if keep else tall
     dist = sm.ranked(dist, keep)
+    share = (lambda d: sm.with_share(d, projects)) if keep else (lambda d: sm.with_share_of_types(d, parts[0]))
     shown = F.coalesce(*[F.when(F.col("dimension") == d, F.col("no") <= k) for d, k in sm.TOP.items()], F.lit(True))
     return {
-        "summary": sm.with_share(dist, projects),
-        "summary_shown": sm.with_share(dist.where(shown), projects),
+        "summary": share(dist),
+        "summary_shown": share(dist.where(shown)),
         "totals": sm.summary_totals(projects),
         "project_index": sm.project_index(projects, keep),
     }
